@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decontaminate, mixing, ngram_join, quality_rules, sharding
-from .common import id_text, materialize, table
+from . import byte_cnn, decontaminate, licenses, lm, mixing, ngram_join, pii, quality_rules, sharding, warc
+from .common import id_text, materialize, shared_dir, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "quality_score")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_chunks(spark, folder, with_payload=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", sharding.byte_size().alias("size"), sharding.text_crc().alias("text_crc32"))
     out = sharding.interleave(docs, tie=("doc_id", "text_crc32", "size"))
@@ -47,13 +55,32 @@ def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return out.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lm.split()
+    out = lm.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), part != 2)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
     "op5_shards": op5_shards,
     "op6_decontamination": op6_decontamination,
     "op7_byte_cnn": op7_byte_cnn,
+    "op8_licence_scans": op8_licence_scans,
+    "op9_pseudonyms": op9_pseudonyms,
+    "op10_log_bilinear_lm": op10_log_bilinear_lm,
 }
 
 OP1_SQL = r"""
