@@ -46,18 +46,21 @@ def windows(embed: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.concatenate([pairs[:, k : k + n] for k in range(WIDTH // STRIDE)], axis=2)
 
 
-def block_maxima(net: ByteCnn, raw: np.ndarray, n: int) -> np.ndarray:
-    """Each filter's maximum in each of n blocks; raw has PAD bytes more. A block's windows reach into the next block."""
-    rows = np.lib.stride_tricks.as_strided(raw, (n, BLOCK + PAD), (BLOCK, 1))
-    return np.concatenate([(windows(net.embed, rows[k : k + AT_ONCE]) @ net.filters).max(axis=1) for k in range(0, n, AT_ONCE)])
+def block_maxima(net: ByteCnn, raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Each filter's maximum in each block (a row of raw). A block's windows reach into the next block; after a text's last one stand zeros."""
+    after = np.zeros((len(raw), PAD), np.uint8)
+    after[:-1] = raw[1:, :PAD]
+    after[last] = 0
+    rows = np.concatenate([raw, after], 1)
+    return np.concatenate([(windows(net.embed, rows[k : k + AT_ONCE]) @ net.filters).max(axis=1) for k in range(0, len(rows), AT_ONCE)])
 
 
 def probabilities(net: ByteCnn, batch: list[bytes]) -> np.ndarray:
     """Each text is cut into overlapping chunks, from its first byte to its last; an empty text is one block of padding."""
     n = np.array([blocks_of(t) for t in batch], np.int64)
-    raw = np.frombuffer(b"".join(t + bytes(k * BLOCK - len(t)) for t, k in zip(batch, n.tolist(), strict=True)) + bytes(PAD), np.uint8)
-    most = block_maxima(net, raw, int(n.sum()))
+    raw = np.frombuffer(b"".join(t + bytes(k * BLOCK - len(t)) for t, k in zip(batch, n.tolist(), strict=True)), np.uint8)
     first, last = spans(n)
+    most = block_maxima(net, raw.reshape(-1, BLOCK), last - 1)
     chunk = most.copy()
     inner = np.ones(len(most), bool)
     inner[last - 1] = False
@@ -69,8 +72,9 @@ def probabilities(net: ByteCnn, batch: list[bytes]) -> np.ndarray:
     h[~keep] = 0
     count = np.maximum(n - 1, 1)
     mean, top = np.add.reduceat(h, first) / count[:, None], np.maximum.reduceat(h, first)
-    z = np.concatenate([mean, top], 1) @ net.out + net.offset
-    return 1 / (1 + np.exp(-np.clip(net.slope * z + net.shift, -30, 30).astype(np.float64)))
+    # rounded, as matrix products differ in their last digits by what else is in a batch
+    z = np.round(np.concatenate([mean, top], 1).astype(np.float64) @ net.out + net.offset, 4)
+    return 1 / (1 + np.exp(-np.clip(net.slope * z + net.shift, -30, 30)))
 
 
 def sample_chunks(text: bytes) -> bytes:
