@@ -17,7 +17,7 @@ IMAGES = ("png", "jpg", "jpeg", "bmp")
 
 
 def files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, name, depth, length, modified) of every file; contents aren't read."""
+    """(path, name, depth, length, modified) of every file that isn't empty; contents aren't read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     rows = reader.load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
     inner = F.expr("substring(path, position(:top in path) + length(:top) + 1)".replace(":top", repr(folder.rstrip("/").removeprefix("file://"))))
