@@ -98,7 +98,8 @@ def mix(docs: DataFrame, keys: DataFrame, shares: tuple[float, ...] = (SHARE,),
     """docs with source_size, and target and copies of the largest share; copies_by_share: of each share, the smaller ones nested.
 
     docs needs source, h (0 to 2**60 - 1) and size; keys has these three of the same rows and is read several times.
-    A null source is a source of its own. Null or empty texts have size 0 and change nothing; a source of size 0 has target 0.
+    A null source is a source of its own. Null or empty texts have size 0 and change nothing; a source of size 0 has target 0,
+    and its rows are taken once.
     Rows that are equal in id, source and text share their hash and are taken or left together. An empty table gives no rows.
     Columns of docs with the names of new ones are replaced.
     """
