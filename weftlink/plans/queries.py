@@ -357,10 +357,10 @@ def unmapped_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a photo of its customer; one of five has no id."""
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS cand_seq", "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('x', o_custkey + o_orderkey % 3) END AS external_id")
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS cand_seq", "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('x', 2 * (o_custkey + o_orderkey % 3)) END AS external_id")
 
 
-PHOTOS_SQL = CUSTOMERS_SQL + ", photos AS (SELECT o_orderkey AS cand_seq, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'x' || (o_custkey + o_orderkey % 3) END AS external_id FROM orders)"
+PHOTOS_SQL = CUSTOMERS_SQL + ", photos AS (SELECT o_orderkey AS cand_seq, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'x' || (2 * (o_custkey + o_orderkey % 3)) END AS external_id FROM orders)"
 
 
 @query(PHOTOS_SQL + " SELECT cand_seq, external_id FROM photos WHERE external_id <> '' AND lower(external_id) NOT IN (SELECT lower(ext) FROM players WHERE ext IS NOT NULL)")
