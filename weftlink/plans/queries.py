@@ -399,7 +399,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user, kept by a stream over the events."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("user_id", "event_type", "event_id", F.struct("ts", "event_id").alias("at"))
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type", "event_id", F.struct("ts", "event_id").alias("at"))
     upserts.keep_upserted(rows, f"{folder}/table", f"{folder}/checkpoint", ["user_id"], "at").awaitTermination()
     return upserts.current(spark, f"{folder}/table", rows.schema).select("user_id", "event_type", "event_id")
 
