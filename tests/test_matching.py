@@ -78,7 +78,8 @@ def test_many_of_one_name_pair_off(spark):
 
 def test_pairs_left_out_cannot_matter(spark):
     rng = random.Random(9)
-    p, c = frames(spark, [(name(rng), None) for _ in range(80)], [(f"x{k}", name(rng)) for k in range(80)])
+    longer = lambda: " ".join([name(rng), *rng.sample(["marian", "marien", "clara", "klara", "steven", "stefen"], rng.choice([0, 1, 2]))])
+    p, c = frames(spark, [(longer(), None) for _ in range(150)], [(f"x{k}", longer()) for k in range(150)])
     scores = all_scores(p, c)
     a, b = matching.with_names(p, "FullName"), matching.with_names(c, "display_name")
     for threshold, bound in ((0.8, matching.STRICT), (0.45, matching.LOOSE)):

@@ -11,9 +11,8 @@ from ..schemas import MARGIN, SURE
 from ..storage import written
 from .numbering import numbered
 
-#: A pair of names that share one token only, and are neither close nor hold parts of each other, scores below this; pairs
-#: that share none score less than LOOSE.
-STRICT, LOOSE = 0.6417, 0.35
+#: Pairs that don't meet by the strict keys score below STRICT, those that don't meet by the loose ones at most LOOSE.
+STRICT, LOOSE = 0.73, 0.35
 
 
 def first_of(rows: DataFrame, key: Column, seq: str, *cols: str) -> DataFrame:
@@ -55,25 +54,36 @@ def key(kind: str, *parts: Column) -> Column:
 def name_keys(mine: str, theirs: str, loose: bool) -> Column:
     """The keys under which a name meets others; mine and theirs name the sides, for kinds that go one way.
 
-    Loose: each token. Else, what a pair needs for a score of STRICT or more: equal; alike in every third place; two tokens in
-    common; one, if either name has just that; one, with another that begins alike, or that holds a part of four characters
-    with which one of the other name's begins.
+    Loose: equal names, names alike in every third place, and each token. Strict: what a score of STRICT takes at least.
+    Where a name's tokens are all in the other one: one or two of them, or three. Where one is missing: three others; or two, and
+    a letter to begin with or a pair of letters in common with the missing one; or one, and such a letter. Else a token in
+    common, and one with four letters by which a token of the other name begins: one may hold the other.
     """
     t, norm = F.array_distinct("tokens"), F.col("norm")
+    none = F.array().cast("array<string>")
+    each = lambda items, make: F.transform(items, make)
+    flat = lambda items, make: F.flatten(F.transform(items, make))
     thirds = lambda c: F.array_join(F.filter(F.split(norm, ""), lambda _, i: i % 3 == c), "")
     same = F.array(key("=", norm), *[key(f"~{c}", thirds(c)) for c in range(3)])
     if loose:
-        return F.array_distinct(F.concat(same, F.transform(t, lambda x: key("t", x))))
-    others = lambda make: F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y != x), lambda y: make(x, y))))
-    pairs = F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: key("2", x, y))))
-    alike = others(lambda x, y: key("a", x, F.substring(y, 1, 1)))
-    alone = F.when(F.size(t) == 1, F.transform(t, lambda x: key(f"1{mine}", x))).otherwise(F.array().cast("array<string>"))
-    any_ = F.transform(t, lambda x: key(f"1{theirs}", x))
+        return F.array_distinct(F.concat(same, each(t, lambda x: key("t", x))))
+    of_size = lambda n, keys: F.when(F.size(t) == n, keys).otherwise(none)
+    at_least = lambda n, keys: F.when(F.size(t) >= n, keys).otherwise(none)
+    rest = lambda *xs: F.filter(t, lambda y: ~y.isin(*xs))
+    begins = lambda y: F.concat(F.lit("^"), F.substring(y, 1, 1))
+    marks = lambda y: F.concat(F.array(begins(y)), F.when(F.length(y) > 1, each(F.sequence(F.lit(1), F.length(y) - 1), lambda k: F.substring(y, k, F.lit(2)))).otherwise(none))
+    pairs = lambda make: flat(t, lambda x: flat(F.filter(t, lambda y: y > x), lambda y: make(x, y)))
+    two = lambda side: pairs(lambda x, y: F.array(key(f"2{side}", x, y)))
+    triples = pairs(lambda x, y: each(F.filter(t, lambda z: z > y), lambda z: key("3", x, y, z)))
+    two_and_mark = lambda side: pairs(lambda x, y: flat(rest(x, y), lambda z: each(marks(z), lambda m: key(f"m{side}", x, y, m))))
+    one_and_letter = lambda side: flat(t, lambda x: each(rest(x), lambda y: key(f"a{side}", x, begins(y))))
     long = F.filter(t, lambda y: F.length(y) >= 4)
-    starts = F.flatten(F.transform(t, lambda x: F.transform(long, lambda y: key(f"c{theirs}", x, F.substring(y, 1, 4)))))
-    grams = F.flatten(F.transform(F.filter(long, lambda y: F.length(y) > 4), lambda y: F.transform(F.sequence(F.lit(1), F.length(y) - 3), lambda k: F.substring(y, k, F.lit(4)))))
-    holds = F.flatten(F.transform(t, lambda x: F.transform(grams, lambda g: key(f"c{mine}", x, g))))
-    return F.array_distinct(F.concat(same, pairs, alike, alone, any_, starts, holds))
+    starts = flat(t, lambda x: each(long, lambda y: key(f"c{theirs}", x, F.substring(y, 1, 4))))
+    grams = flat(F.filter(long, lambda y: F.length(y) > 4), lambda y: each(F.sequence(F.lit(1), F.length(y) - 3), lambda k: F.substring(y, k, F.lit(4))))
+    holds = flat(t, lambda x: each(grams, lambda g: key(f"c{mine}", x, g)))
+    small = [of_size(1, each(t, lambda x: key(f"1{mine}", x))), of_size(2, F.concat(two(mine), one_and_letter(mine))), of_size(3, two_and_mark(mine))]
+    large = [each(t, lambda x: key(f"1{theirs}", x)), at_least(2, F.concat(two(theirs), one_and_letter(theirs))), at_least(3, F.concat(triples, two_and_mark(theirs)))]
+    return F.array_distinct(F.concat(same, *small, *large, starts, holds))
 
 
 def name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -84,7 +94,7 @@ def name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     """
     if threshold < LOOSE + MARGIN:
         raise ValueError(f"a threshold below {LOOSE + MARGIN} would take a comparison of all names with all")
-    loose = threshold < STRICT + MARGIN
+    loose = threshold < STRICT + MARGIN - 1e-9
     kinds = ["name", "norm", "tokens"]
     distinct = [x.where(F.size("tokens") > 0).select(*kinds).groupBy("name").agg(F.first("norm").alias("norm"), F.first("tokens").alias("tokens")) for x in (left, right)]
     lk, rk = (d.select(F.col("name").alias(f"{s}_name"), F.explode(name_keys(m, o, loose)).alias("key")) for d, s, m, o in ((distinct[0], "left", "L", "R"), (distinct[1], "right", "R", "L")))
