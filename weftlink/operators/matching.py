@@ -57,7 +57,7 @@ def name_keys(mine: str, theirs: str, loose: bool) -> Column:
     Loose: equal names, names alike in every third place, and each token. Strict: what a score of STRICT takes at least.
     Where a name's tokens are all in the other one: one or two of them, or three. Where one is missing: three others; or two, and
     a letter to begin with or a pair of letters in common with the missing one; or one, and such a letter. Else a token in
-    common, and one with four letters by which a token of the other name begins: one may hold the other.
+    common, and one that holds a token of the other name, of at least four letters and half its length.
     """
     t, norm = F.array_distinct("tokens"), F.col("norm")
     none = F.array().cast("array<string>")
@@ -78,9 +78,11 @@ def name_keys(mine: str, theirs: str, loose: bool) -> Column:
     two_and_mark = lambda side: pairs(lambda x, y: flat(rest(x, y), lambda z: each(marks(z), lambda m: key(f"m{side}", x, y, m))))
     one_and_letter = lambda side: flat(t, lambda x: each(rest(x), lambda y: key(f"a{side}", x, begins(y))))
     long = F.filter(t, lambda y: F.length(y) >= 4)
-    starts = flat(t, lambda x: each(long, lambda y: key(f"c{theirs}", x, F.substring(y, 1, 4))))
-    grams = flat(F.filter(long, lambda y: F.length(y) > 4), lambda y: each(F.sequence(F.lit(1), F.length(y) - 3), lambda k: F.substring(y, k, F.lit(4))))
-    holds = flat(t, lambda x: each(grams, lambda g: key(f"c{mine}", x, g)))
+    least = lambda y: F.greatest(F.lit(4), F.ceil(F.length(y) / 2).cast("int"))
+    cut = lambda y, n: each(F.sequence(F.lit(1), F.length(y) - n + 1), lambda k: F.substring(y, k, n))
+    parts = flat(F.filter(long, lambda y: F.length(y) > 4), lambda y: flat(F.sequence(least(y), F.length(y) - 1), lambda n: cut(y, n)))
+    starts = flat(t, lambda x: each(long, lambda y: key(f"c{theirs}", x, y)))
+    holds = flat(t, lambda x: each(F.array_distinct(parts), lambda g: key(f"c{mine}", x, g)))
     small = [of_size(1, each(t, lambda x: key(f"1{mine}", x))), of_size(2, F.concat(two(mine), one_and_letter(mine))), of_size(3, two_and_mark(mine))]
     large = [each(t, lambda x: key(f"1{theirs}", x)), at_least(2, F.concat(two(theirs), one_and_letter(theirs))), at_least(3, F.concat(triples, two_and_mark(theirs)))]
     return F.array_distinct(F.concat(same, *small, *large, starts, holds))
