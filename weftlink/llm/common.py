@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Text bytes that one step of an Arrow task handles at a time.
-SLICE_BYTES = 1 << 20
+#: Text bytes that one step of an Arrow task handles at a time, and those whose words are hashed together.
+SLICE_BYTES, HASH_BYTES = 1 << 20, 1 << 18
 LOWER = np.frombuffer(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"), np.uint8)
 #: Marks the bytes that words are made of: all but ASCII whitespace; ASCII letters and digits, and all that isn't ASCII.
 SOLID = np.array([x not in b" \t\n\r\x0b\x0c" for x in range(256)])
@@ -138,10 +138,16 @@ def words_of(batch: list[bytes], solid: np.ndarray = SOLID, lower: bool = False)
     if len(raw) and inner[0]:
         edge = np.concatenate([[0], edge])
     begin, end = edge[::2], edge[1::2]
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((VALUE[LOWER] if lower else VALUE)[raw] * up[: len(raw)], out=total[1:])
-    hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    hashes, k = np.empty(len(begin), np.uint64), 0
+    while k < len(begin):  # some words at a time, as the sums take eight times the bytes
+        to = max(k + 1, int(np.searchsorted(end, begin[k] + HASH_BYTES, side="right")))
+        part, base = raw[begin[k] : end[to - 1]], begin[k]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((VALUE[LOWER] if lower else VALUE)[part] * up[: len(part)], out=total[1:])
+        first, last = begin[k:to] - base, end[k:to] - base
+        hashes[k:to] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+        k = to
     return Words(raw, at, hashes, np.diff(np.append(np.searchsorted(begin, at), len(begin))), begin, end)
 
 

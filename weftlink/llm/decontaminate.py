@@ -15,7 +15,7 @@ from .common import ALNUM, materialize, quoted, slices, spans, texts, words_of
 
 WINDOW = 10
 #: Words of a shard, each with a suffix array of its own, and of the benchmark items searched in one pass.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 BLOCK_WORDS = 1 << 19
 #: Occurrences handled at a time.
 AT_ONCE = 1 << 18

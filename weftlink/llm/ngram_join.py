@@ -125,7 +125,7 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, m
     row, col = row[often[col]], number[col[often[col]]]
     by = np.argsort(col, kind="stable")
     row, col = row[by], col[by]
-    width = max(64, (1 << 23) // max(len(used), 1))
+    width = max(64, (1 << 22) // max(len(used), 1))
     l, r = np.searchsorted(used, left), np.searchsorted(used, right)
     for base in range(0, int(often.sum()), width):
         a, b = np.searchsorted(col, [base, base + width])
@@ -141,8 +141,8 @@ def verified(keys: np.ndarray, blocks: np.ndarray, copies: np.ndarray, bands: np
     left, right = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
     n, links = np.array([len(s) for s in sets], np.int64), np.zeros(len(keys), np.int64)
     label = np.arange(len(keys))
-    for base in range(0, len(left), 512):
-        part = left[base : base + 512]
+    for base in range(0, len(left), 256):
+        part = left[base : base + 256]
         mask = candidate_pairs(bands[part], bands[right], band)
         if first == second:
             mask &= part[:, None] < right[None, :]
