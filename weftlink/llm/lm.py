@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ ENDINGS = 1024
 CONTEXT, DIM, NOISE, BATCH = 3, 16, 24, 2048
 #: Counts that are broadcast (the most frequent words); all others are joined.
 KNOWN_WORDS = 1 << 17
-#: Training texts, whole ones, from which the model starts on the driver, before its pass over all of them.
-START_ROWS = 400
+#: About how many training texts, whole ones of at most START_BYTES, the model starts from on the driver, before its pass over all of them.
+START_ROWS, START_BYTES = 400, 1 << 16
 END = np.uint64(0x5E7D5E7D5E7D5E7D)
 
 
@@ -118,23 +119,38 @@ def counted(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(quoted(text_col))).mapInArrow(run, "hash long, class int, c long").groupBy("hash").agg(F.min("class").alias("class"), F.sum("c").alias("c"))
 
 
+def steps_down(counts: DataFrame) -> list[tuple[int, int]]:
+    """(step, words) from the most frequent words down: a step is an eighth of a doubling of the count, so that there are few."""
+    return [(r["step"], r["n"]) for r in counts.groupBy(frequency_step().alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()]
+
+
+def frequency_step() -> Column:
+    return F.floor(8 * F.log2(F.col("c").cast("double"))).cast("int")
+
+
 def corpus_of(counts: DataFrame, ends: int, known_words: int = KNOWN_WORDS) -> Corpus:
-    """Only the known_words most frequent words and one row per class reach the driver."""
+    """Only one row per step and class, the steps of frequent words that hold known_words at most, and the head reach the driver;
+    they are filtered before they are collected, as a sort with a limit would have every task send that many."""
     by_class = {r["class"]: r for r in counts.groupBy("class").agg(F.sum("c").alias("t"), F.count("*").alias("v")).collect()}
-    top = counts.orderBy(F.desc("c"), "hash").limit(known_words).toPandas()
+    steps = steps_down(counts)
+    reach = np.cumsum([n for _, n in steps])
+    within = int(np.searchsorted(reach, known_words, side="right"))
+    known = counts.where(frequency_step() >= steps[within - 1][0]).toPandas() if within else counts.limit(0).toPandas()
+    least = steps[min(int(np.searchsorted(reach, HEAD - 1)), len(steps) - 1)][0] if steps else 0
+    head = counts.where(frequency_step() >= least).orderBy(F.desc("c"), "hash").limit(HEAD - 1).toPandas()
     tokens, words = np.zeros(HEAD + TAIL, np.int64), np.zeros(HEAD + TAIL, np.int64)
     for k, r in by_class.items():
         tokens[k], words[k] = r["t"], r["v"]
     total, distinct = int(tokens.sum()), int(words.sum())
-    hashes, c = top["hash"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    head = top.iloc[: HEAD - 1]
     for k, n in zip(head["class"], head["c"], strict=True):
         tokens[k] -= n
         words[k] -= 1
-    by = np.argsort(hashes[: HEAD - 1])
-    tokens[0], tokens[1 : 1 + len(by)] = ends, c[: HEAD - 1][by]
-    some, order = int(ends > 0), np.argsort(hashes)
-    return Corpus(total + ends, distinct + some, ends, hashes[: HEAD - 1][by], c[: HEAD - 1][by], hashes[order], c[order], tokens, words)
+    of = lambda rows: (rows["hash"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64))
+    (top, top_c), (near, near_c) = of(head), of(pd.concat([known, head]).drop_duplicates("hash"))
+    by, order = np.argsort(top), np.argsort(near)
+    tokens[0], tokens[1 : 1 + len(by)] = ends, top_c[by]
+    some = int(ends > 0)
+    return Corpus(total + ends, distinct + some, ends, top[by], top_c[by], near[order], near_c[order], tokens, words)
 
 
 def new_model(corpus: Corpus, seed: int = 5) -> Lbl:
@@ -175,14 +191,22 @@ def fresh_memory(model: Lbl, start: float = 1e-6) -> list[np.ndarray]:
     return [np.full_like(p, start) for p in model.parts()]
 
 
+def start_texts(docs: DataFrame, rows: int, text_col: str, want: int = START_ROWS) -> list[bytes]:
+    """About `want` of docs' rows, chosen by a hash of each row, and never more than twice as many; sorted. Tasks send the driver
+    these texts alone, however many tasks there are."""
+    cut = -(1 << 63) + min((1 << 64) - 1, (want << 64) // max(rows, 1))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    some = docs.where((F.xxhash64(*[F.col(quoted(c)) for c in docs.columns]) <= cut) & (F.octet_length(text) <= START_BYTES))
+    return sorted(r[0].encode() for r in some.select(text).limit(2 * want).collect())
+
+
 def trained(docs: DataFrame, corpus: Corpus, text_col: str = "text", start_rows: int = START_ROWS) -> Lbl:
-    """A start on at most start_rows texts on the driver, then one pass over all of docs: each task trains a copy on its
+    """A start on about start_rows texts on the driver, then one pass over all of docs: each task trains a copy on its
     partition, and the copies are averaged by their tokens, in groups on the executors first. START_ROWS bounds the start alone."""
     share = (corpus.class_tokens + 1) / (corpus.class_tokens + 1).sum()
-    first = docs.orderBy(F.xxhash64(*[F.col(quoted(c)) for c in docs.columns])).select(F.coalesce(F.col(quoted(text_col)), F.lit(""))).limit(start_rows).toPandas()
     model, rng = new_model(corpus), np.random.default_rng(11)
     memory = fresh_memory(model)
-    start = tokens([t.encode() for t in sorted(first.iloc[:, 0])], corpus.head)
+    start = tokens(start_texts(docs, corpus.ends, text_col, start_rows), corpus.head)
     for _ in range(3):
         train_on(model, start, share, memory, rng, 0.1)
     sc = docs.sparkSession.sparkContext
@@ -249,7 +273,7 @@ def lm_scores(docs: DataFrame, learn: Column, text_col: str = "text", id_cols: t
     training = rows.where("learned")
     counts = materialize(counted(training, "text"), "counts")
     corpus = corpus_of(counts, training.count(), known_words)
-    model = trained(training.select("text"), corpus, "text")
+    model = trained(training.select(*[c for c in training.columns if c != "learned"]), corpus, "text")
     shared = docs.sparkSession.sparkContext.broadcast((model, corpus))
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("n_near", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("own", T.DoubleType()), T.StructField("rest", T.ArrayType(T.LongType()))]
 
