@@ -105,10 +105,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 100, l2:
     if len(set(y)) < 2:
         return QualityModel(w, 1.0, 0.0 if not len(y) else (4.0 if y[0] else -4.0))
     held = np.arange(len(rows)) % 4 == 3
-    index, value = np.concatenate([r[0] for r in rows]).astype(np.int32), np.concatenate([r[1] for r in rows])
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    into = ~held[owner]
-    ti, tv, to = index[into], value[into], owner[into]
+    rows = [r for r, h in zip(rows, held, strict=True) if not h] + [r for r, h in zip(rows, held, strict=True) if h]  # so that what is fitted on is one slice
+    y, held = np.array([r[2] for r in rows]), np.sort(held)
+    sizes = [len(r[0]) for r in rows]
+    index, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float32, copy=False)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    n = sum(sizes[: int((~held).sum())])
+    ti, tv, to = index[:n], value[:n], owner[:n]
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         z = np.bincount(to, tv * w[ti], len(rows)) + w[-1]
