@@ -1,6 +1,7 @@
 """Operators that treat texts one by one, against brute force."""
 
 import collections
+import dataclasses
 import hashlib
 import re
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftlink.llm import byte_cnn, decontaminate, licenses, lm, pii, quality_rules
 from weftlink.llm.common import table, words_of
@@ -93,6 +95,37 @@ def test_cnn_sees_the_whole_text_and_only_the_text(docs, empty, spark, sample):
     assert one != two  # what stands at the end counts
 
 
+def test_cnn_learns_from_all_of_a_text(spark):
+    """What tells the labels apart stands in one part of long texts, which four spread chunks of each would miss."""
+    rng = np.random.default_rng(5)
+    text = lambda: bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrst      ", np.uint8), 41 * 256 - 90)).decode()
+    texts = [x[:700] + "#### $$$$ " * 240 + x[3100:] if k // 4 % 2 else x for k, x in enumerate(text() for _ in range(720))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = byte_cnn.train(docs, docs.selectExpr("doc_id", "cast(doc_id div 4 % 2 AS int) AS quality"), only=F.col("doc_id") < 600)
+    p = byte_cnn.probabilities(net, [t.encode() for t in texts[600:]])
+    marked = np.arange(600, 720) // 4 % 2 == 1
+    assert p[marked].min() > 0.5 > p[~marked].max()
+
+
+def test_cnn_gradients():
+    """Against differences of the loss, on texts of one block, two and many."""
+    rng = np.random.default_rng(3)
+    net = byte_cnn.ByteCnn(rng.normal(0, 0.5, (256, byte_cnn.EMBED)), rng.normal(0, 0.2, (byte_cnn.WIDTH * byte_cnn.EMBED, byte_cnn.FILTERS)), rng.normal(0, 0.1, byte_cnn.FILTERS), rng.normal(0, 0.3, 2 * byte_cnn.FILTERS), 0.1)
+    texts = [rng.integers(32, 127, k).astype(np.uint8).tobytes() for k in (0, 100, 400, 9000)]
+    n, y = np.array([byte_cnn.blocks_of(t) for t in texts]), np.array([0.0, 1, 1, 0])
+    raw = np.frombuffer(b"".join(map(byte_cnn.padded, texts)), np.uint8)
+
+    def loss(net):
+        z = byte_cnn.pool(net, raw, n).features @ net.out + net.offset
+        return (np.log1p(np.exp(z)) - y * z).mean()
+
+    got = byte_cnn.gradients(net, byte_cnn.pool(net, raw, n, places=True), y, len(y))
+    for name in ("embed", "filters", "bias", "out"):
+        way = rng.normal(0, 1, getattr(net, name).shape) * (got[name] != 0)
+        step = [loss(dataclasses.replace(net, **{name: getattr(net, name) + e * way})) for e in (1e-3, -1e-3)]
+        assert abs((step[0] - step[1]) / 2e-3 - (got[name] * way).sum()) < 0.02 * np.abs(got[name] * way).sum() + 1e-4, name
+
+
 def brute_leaks(text, items):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))

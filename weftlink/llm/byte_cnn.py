@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import tempfile
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, map_text, platt, spans
+from .common import SLICE_BYTES, labelled_sample, map_text, materialize, platt, spans
 
 #: Bytes of a block; a chunk is two adjacent blocks, so that chunks overlap by half.
 BLOCK = 256
@@ -20,8 +20,8 @@ PAD = WIDTH - STRIDE
 #: Blocks that go through the filters at a time.
 AT_ONCE = 256
 PREDICT_AT = 0.3
-#: Bounds of what the network is fitted on: labelled rows, and evenly spaced chunks of each.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 3000, 4
+#: Bound of the labelled rows that the network is fitted on.
+SAMPLE_ROWS = 3000
 
 
 @dataclass(frozen=True)
@@ -46,47 +46,92 @@ def windows(embed: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.concatenate([pairs[:, k : k + n] for k in range(WIDTH // STRIDE)], axis=2)
 
 
-def block_maxima(net: ByteCnn, raw: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Each filter's maximum in each block (a row of raw). A block's windows reach into the next block; after a text's last one stand zeros."""
+def block_rows(raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Blocks (rows of raw), each with the PAD bytes its windows reach into: the next block's, after a text's last one zeros."""
     after = np.zeros((len(raw), PAD), np.uint8)
     after[:-1] = raw[1:, :PAD]
     after[last] = 0
-    rows = np.concatenate([raw, after], 1)
-    return np.concatenate([(windows(net.embed, rows[k : k + AT_ONCE]) @ net.filters).max(axis=1) for k in range(0, len(rows), AT_ONCE)])
+    return np.concatenate([raw, after], 1)
 
 
-def probabilities(net: ByteCnn, batch: list[bytes]) -> np.ndarray:
-    """Each text is cut into overlapping chunks, from its first byte to its last; an empty text is one block of padding."""
-    n = np.array([blocks_of(t) for t in batch], np.int64)
-    raw = np.frombuffer(b"".join(t + bytes(k * BLOCK - len(t)) for t, k in zip(batch, n.tolist(), strict=True)), np.uint8)
+@dataclass(frozen=True)
+class Pooled:
+    """Texts of n blocks each, from their first byte to their last, with what each filter makes of them."""
+
+    rows: np.ndarray
+    n: np.ndarray
+    at: np.ndarray | None  # where each filter's maximum in a block is, if asked for
+    second: np.ndarray  # chunks, named by their first block, whose maximum is in the second one
+    h: np.ndarray  # of chunks; 0 where none begins
+    keep: np.ndarray
+    features: np.ndarray  # mean and maximum over a text's chunks
+
+
+def pool(net: ByteCnn, raw: np.ndarray, n: np.ndarray, places: bool = False) -> Pooled:
+    """raw: the texts' blocks one after another. Each text is cut into overlapping chunks; a text of one block is one chunk."""
     first, last = spans(n)
-    most = block_maxima(net, raw.reshape(-1, BLOCK), last - 1)
+    rows = block_rows(raw.reshape(-1, BLOCK), last - 1)
+    most, at = np.empty((len(rows), FILTERS), np.float32), np.empty((len(rows), FILTERS), np.uint8) if places else None
+    for k in range(0, len(rows), AT_ONCE):
+        z = windows(net.embed, rows[k : k + AT_ONCE]) @ net.filters
+        most[k : k + AT_ONCE] = z.max(axis=1)
+        if places:
+            at[k : k + AT_ONCE] = z.argmax(axis=1)
     chunk = most.copy()
     inner = np.ones(len(most), bool)
     inner[last - 1] = False
-    at = np.flatnonzero(inner)
-    chunk[at] = np.maximum(most[at], most[at + 1])
+    begin = np.flatnonzero(inner)
+    chunk[begin] = np.maximum(most[begin], most[begin + 1])
     keep = inner.copy()
-    keep[last[n == 1] - 1] = True  # a text of one block is one chunk
+    keep[last[n == 1] - 1] = True
     h = np.maximum(chunk + net.bias, 0)
     h[~keep] = 0
-    count = np.maximum(n - 1, 1)
-    mean, top = np.add.reduceat(h, first) / count[:, None], np.maximum.reduceat(h, first)
-    # rounded, as matrix products differ in their last digits by what else is in a batch
-    z = np.round(np.concatenate([mean, top], 1).astype(np.float64) @ net.out + net.offset, 4)
-    return 1 / (1 + np.exp(-np.clip(net.slope * z + net.shift, -30, 30)))
+    mean, top = np.add.reduceat(h, first) / np.maximum(n - 1, 1)[:, None], np.maximum.reduceat(h, first)
+    return Pooled(rows, n, at, chunk > most, h, keep, np.concatenate([mean, top], 1).astype(np.float64))
+
 
+def logits(net: ByteCnn, raw: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rounded, as matrix products differ in their last digits by what else is in a batch."""
+    return np.round(pool(net, raw, n).features @ net.out + net.offset, 4)
 
-def sample_chunks(text: bytes) -> bytes:
-    """SAMPLE_CHUNKS chunks of the text, evenly spaced from its first block to its last."""
-    n = blocks_of(text)
-    whole = text + bytes(max(n, 2) * BLOCK + PAD - len(text))
-    starts = [round(k * max(n - 2, 0) / (SAMPLE_CHUNKS - 1)) * BLOCK for k in range(SAMPLE_CHUNKS)]
-    return b"".join(whole[s : s + 2 * BLOCK + PAD] for s in starts)
 
+def padded(text: bytes) -> bytes:
+    return text + bytes(blocks_of(text) * BLOCK - len(text))
 
-def fit(chunks: list[bytes], y: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 7) -> ByteCnn:
-    """Adam on the log loss over three quarters of the rows, Platt calibration on the rest. With one label only: a constant."""
+
+def probabilities(net: ByteCnn, batch: list[bytes]) -> np.ndarray:
+    """Each text is scored from its first byte to its last; an empty text is one block of padding."""
+    n = np.array([blocks_of(t) for t in batch], np.int64)
+    z = logits(net, np.frombuffer(b"".join(map(padded, batch)), np.uint8), n)
+    return 1 / (1 + np.exp(-np.clip(net.slope * z + net.shift, -30, 30)))
+
+
+def gradients(net: ByteCnn, got: Pooled, y: np.ndarray, total: int) -> dict[str, np.ndarray]:
+    """Of the log loss over `total` texts, these texts' part: through the block that wins for each filter, in each chunk."""
+    first, _ = spans(got.n)
+    z = got.features @ net.out + net.offset
+    d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
+    dh = np.repeat(d[:, None] * net.out[:FILTERS] / np.maximum(got.n - 1, 1)[:, None], got.n, 0) * got.keep[:, None]
+    top = np.where(got.h == np.repeat(np.maximum.reduceat(got.h, first), got.n, 0), np.arange(len(got.h))[:, None], len(got.h))
+    dh[np.minimum.reduceat(top, first), np.arange(FILTERS)] += d[:, None] * net.out[FILTERS:]
+    dz = (dh * (got.h > 0)).astype(np.float32)
+    db = np.where(got.second, 0, dz)
+    db[1:] += np.where(got.second, dz, 0)[:-1]
+    de, df = np.zeros((256, EMBED)), np.zeros((WIDTH * EMBED, FILTERS))
+    for k in range(0, len(db), AT_ONCE):
+        part, at = db[k : k + AT_ONCE], got.at[k : k + AT_ONCE].astype(np.int64)
+        where = np.take_along_axis(got.rows[k : k + AT_ONCE], (at[:, :, None] * STRIDE + np.arange(WIDTH)).reshape(len(part), -1), 1)
+        df += np.einsum("bf,bfi->if", part, net.embed[where].reshape(len(part), FILTERS, -1))
+        dx = (part[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+        de += np.stack([np.bincount(where.ravel(), dx[:, e], 256) for e in range(EMBED)], 1)
+    return {"embed": de, "filters": df, "bias": dz.sum(0), "out": got.features.T @ d, "offset": d.sum(keepdims=True)}
+
+
+def fit(raw: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 7) -> ByteCnn:
+    """Adam on the log loss over three quarters of the texts, Platt calibration on the rest. With one label only: a constant.
+
+    raw: the whole texts (padded) of n blocks each; some are read at a time, of about SLICE_BYTES together or a single one.
+    """
     rng = np.random.default_rng(seed)
     p = {
         "embed": rng.normal(0, 0.5, (256, EMBED)), "filters": rng.normal(0, 0.2, (WIDTH * EMBED, FILTERS)),
@@ -95,51 +140,50 @@ def fit(chunks: list[bytes], y: np.ndarray, epochs: int = 6, rate: float = 0.01,
     p = {k: v.astype(np.float32) for k, v in p.items()}
     if len(set(y.tolist())) < 2:
         return ByteCnn(p["embed"], p["filters"], p["bias"], np.zeros_like(p["out"]), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
-    raw = np.frombuffer(b"".join(chunks), np.uint8).reshape(len(y), SAMPLE_CHUNKS, 2 * BLOCK + PAD)
+    first, last = (x * BLOCK for x in spans(n))
     held = np.arange(len(y)) % 4 == 3
 
-    def forward(rows: np.ndarray):
-        flat = raw[rows].reshape(-1, raw.shape[2])
-        x = windows(p["embed"], flat)
-        z = x @ p["filters"]
-        at = z.argmax(axis=1)
-        h = np.maximum(np.take_along_axis(z, at[:, None], 1)[:, 0] + p["bias"], 0).reshape(len(rows), SAMPLE_CHUNKS, FILTERS)
-        pooled = np.concatenate([h.mean(1), h.max(1)], 1)
-        return flat, x, at, h, pooled, pooled @ p["out"] + p["offset"]
+    def made() -> ByteCnn:
+        return ByteCnn(p["embed"], p["filters"], p["bias"], p["out"], float(p["offset"][0]))
+
+    def parts(rows: np.ndarray):
+        at, ends = 0, np.cumsum(n[rows]) * BLOCK
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            part = rows[at:to]
+            yield part, np.concatenate([raw[first[r] : last[r]] for r in part])
+            at = to
 
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     for _ in range(epochs):
         order = rng.permutation(np.flatnonzero(~held))
         for rows in np.array_split(order, max(1, len(order) // 48)):
-            flat, x, at, h, pooled, z = forward(rows)
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]).astype(np.float32) / len(rows)
-            dh = np.repeat((d[:, None] * p["out"][:FILTERS] / SAMPLE_CHUNKS)[:, None], SAMPLE_CHUNKS, 1)
-            best = h.argmax(1)
-            np.put_along_axis(dh, best[:, None], np.take_along_axis(dh, best[:, None], 1) + (d[:, None] * p["out"][FILTERS:])[:, None], 1)
-            dz = (dh * (h > 0)).reshape(-1, FILTERS)
-            seen = np.take_along_axis(x, at[:, :, None], 1)  # chunk, filter, inputs at the maximum
-            dx = dz[:, :, None] * p["filters"].T[None]
-            where = np.take_along_axis(flat, (at[:, :, None] * STRIDE + np.arange(WIDTH)).reshape(len(flat), -1), 1).ravel()
-            de = np.stack([np.bincount(where, dx.reshape(-1, EMBED)[:, k], 256) for k in range(EMBED)], 1)
-            grads = {"embed": de, "filters": np.einsum("cf,cfi->if", dz, seen), "bias": dz.sum(0), "out": pooled.T @ d, "offset": d.sum(keepdims=True)}
+            net, grads = made(), {k: np.zeros(x.shape) for k, x in p.items()}
+            for part, texts in parts(rows):
+                for k, g in gradients(net, pool(net, texts, n[part], places=True), y[part], len(rows)).items():
+                    grads[k] += g
             t += 1
             for k, g in grads.items():
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    rows = np.flatnonzero(held)
-    z = np.concatenate([forward(part)[-1] for part in np.array_split(rows, max(1, len(rows) // 48))]).astype(np.float64)
-    return ByteCnn(p["embed"], p["filters"], p["bias"], p["out"], float(p["offset"][0]), *platt(z, y[rows]))
+    net, rows = made(), np.flatnonzero(held)
+    z = np.concatenate([np.empty(0), *(logits(net, texts, n[part]) for part, texts in parts(rows))])
+    return replace(net, **dict(zip(("slope", "shift"), platt(z, y[rows]), strict=True)))
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: int = SAMPLE_ROWS, only=None) -> ByteCnn:
-    """Fit on at most `limit` labelled documents; of each, SAMPLE_CHUNKS chunks reach the driver."""
-
-    def start():
-        return lambda batch: [pa.array([sample_chunks(t) for t in batch], pa.binary())]
-
-    rows = map_text(labelled_sample(docs, labels, target, limit, only), "text", [T.StructField("chunks", T.BinaryType())], start, keep_text=False).toPandas()
-    rows = rows.sort_values(["doc_id", "chunks"], kind="stable")
-    return fit([bytes(x) for x in rows["chunks"]], rows["y"].to_numpy(np.float64))
+    """Fit on at most `limit` labelled documents, each of them whole: they come to the driver one by one and lie in a file there."""
+    rows = materialize(labelled_sample(docs, labels, target, limit, only), "labelled").orderBy("doc_id", "text", "y")
+    n, y = [], []
+    with tempfile.TemporaryFile() as file:
+        for r in rows.select(F.col("text").cast("binary").alias("text"), "y").toLocalIterator():
+            text = bytes(r.text or b"")
+            file.write(padded(text))
+            n.append(blocks_of(text))
+            y.append(r.y)
+        file.flush()
+        raw = np.memmap(file, np.uint8, "r") if n else np.empty(0, np.uint8)
+        return fit(raw, np.array(n, np.int64), np.array(y, np.float64))
 
 
 def cnn_scores(docs: DataFrame, net: ByteCnn, text_col: str = "text", keep_text: bool = True) -> DataFrame:
