@@ -91,6 +91,31 @@ def test_pairs_left_out_cannot_matter(spark):
         matching.name_pairs(a, b, 0.3)
 
 
+def lists(scores, k, least, gap):
+    """Each player's first k photos of all, by score and then by order, of those that reach least or are within gap of the best."""
+    out = set()
+    for p in {p for p, _ in scores}:
+        ranked = sorted((-s, c) for (q, c), s in scores.items() if q == p)
+        out |= {(p, c, i + 1, -s) for i, (s, c) in enumerate(ranked[:k]) if -s >= least or s - ranked[0][0] <= gap}
+    return out
+
+
+@pytest.mark.parametrize(("k", "least", "gap"), [(3, 0.0, 1.0), (8, 0.40, 0.30), (12, 0.25, 0.40)])
+def test_lists_hold_the_best_of_all(spark, monkeypatch, k, least, gap):
+    """Also photos that share nothing with a player, and names without tokens; one player's list is full by strict keys."""
+    monkeypatch.setattr(matching, "AT_ONCE", 7)
+    rng = random.Random(4)
+    people = [(name(rng), None) for _ in range(30)] + [("Zyxwv Qqq", None), ("Billy", None), ("123", None), (None, None), ("Ann Lee", None)]
+    shown = [name(rng) for _ in range(25)] + ["William", "Wilhelm Kraus", "77", "Юрий"] + ["Ann Lee"] * 13
+    p, c = frames(spark, people, [(f"x{i}", x) for i, x in enumerate(shown)])
+    a, b = matching.with_names(p, "FullName"), matching.with_names(matching.rankable(c), "display_name")
+    got = matching.ranked_candidates(matching.listed_pairs(a, b, k, least, gap), b, k, least, gap)
+    rows = got.join(a.select("player_seq", F.col("name").alias("left_name")), "left_name").collect()
+    want = lists(all_scores(p, c), k, least, gap)
+    assert len(rows) == len(want) and {(r.player_seq, r.cand_seq, r.place, r.score) for r in rows} == want
+    assert {r.player_seq for r in rows} == {p for p, *_ in want} and any(r.score <= matching.LOOSE for r in rows)
+
+
 def test_known_cases(spark):
     def run(players, photos, **more):
         p, c = frames(spark, players, photos)
@@ -172,3 +197,9 @@ def test_entry_runs_whole(spark):
     assert rows.count() == players.count() == rows.select("player_seq").distinct().count()
     taken = [r.cand_seq for r in rows.where("cand_seq is not null").collect()]
     assert len(taken) == len(set(taken)) > 50
+
+
+def test_rank_query_lists_three_of_all(spark):
+    p, c = queries.people_and_photos(spark, "/root/testdata/sf0.001")
+    want = {(a, b, place, round(s, 9)) for a, b, place, s in lists(all_scores(p, c), 3, 0.0, 1.0)}
+    assert {tuple(r) for r in queries.rank_topk_margin(spark, "/root/testdata/sf0.001").collect()} == want

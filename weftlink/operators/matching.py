@@ -13,6 +13,8 @@ from .numbering import numbered
 
 #: Pairs that don't meet by the strict keys score below STRICT, those that don't meet by the loose ones at most LOOSE.
 STRICT, LOOSE = 0.73, 0.35
+#: Names that are compared with all others at a time.
+AT_ONCE = 500
 
 
 def first_of(rows: DataFrame, key: Column, seq: str, *cols: str) -> DataFrame:
@@ -185,3 +187,38 @@ def ranked_candidates(pairs: DataFrame, photos: DataFrame, k: int, least: float,
     rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     top = F.max("score").over(Window.partitionBy("left_name"))
     return rows.withColumn("top", top).where((F.col("score") >= least) | (F.col("top") - F.col("score") <= gap)).select("left_name", "cand_seq", "score", "place")
+
+
+def listed_pairs(players: DataFrame, photos: DataFrame, k: int, least: float, gap: float) -> DataFrame:
+    """name_pairs' columns, with all pairs that ranked_candidates may list of all names with all (with_names), whatever they score.
+
+    Names meet by the strict keys. Those whose list isn't full by what scores above the keys' bound, so that a pair left out might
+    stand in it, meet by the loose keys; and those for which that isn't enough are compared with every name, AT_ONCE at a time.
+    """
+    kinds = ["name", "norm", "tokens"]
+    have = photos.select(*kinds, "cand_seq").groupBy("name").agg(F.first("norm").alias("norm"), F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.min("cand_seq").alias("cand_seq"))
+    have = written(have, "names")
+    rest = written(players.groupBy("name").agg(F.first("norm").alias("norm"), F.first("tokens").alias("tokens")), "names")
+    done = []
+    for bound in (STRICT, LOOSE):
+        pairs = written(name_pairs(rest, have, bound + MARGIN), "pairs")
+        above = pairs.where(F.col("score") > bound + 1e-9).join(have.select(F.col("name").alias("right_name"), "n"), "right_name")
+        full = F.col("n") >= k
+        if least > bound + 1e-9:
+            full = full | (F.col("top") - gap > bound + 1e-9)
+        complete = above.groupBy("left_name").agg(F.sum("n").alias("n"), F.max("score").alias("top")).where(full).select("left_name")
+        done.append(pairs.join(complete, "left_name", "left_semi"))
+        rest = written(rest.join(complete, F.col("name") == F.col("left_name"), "left_anti"), "rest")
+    n = rest.count()
+    asked = written(numbered(rest, [], ["name"], "i"), "asked") if n else rest
+    dealt = have.repartition(2 * have.sparkSession.sparkContext.defaultParallelism).select(F.col("name").alias("right_name"), F.col("norm").alias("right_norm"), F.col("tokens").alias("right_tokens"), "cand_seq")
+    for first in range(1, n + 1, AT_ONCE):
+        some = asked.where(F.col("i").between(first, first + AT_ONCE - 1)).select(F.col("name").alias("left_name"), F.col("norm").alias("left_norm"), F.col("tokens").alias("left_tokens"))
+        scored = with_name_score(dealt.crossJoin(F.broadcast(some)), "left_tokens", "left_norm", "right_tokens", "right_norm")
+        scored = scored.select("left_name", "right_name", "cand_seq", "score", (F.col("left_norm") == F.col("right_norm")).alias("equal"))
+        best = scored.withColumn("j", F.row_number().over(Window.partitionBy("left_name").orderBy(F.desc("score"), "cand_seq"))).where(F.col("j") <= k)
+        done.append(written(best.select("left_name", "right_name", "score", "equal"), "best"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

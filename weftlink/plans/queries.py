@@ -251,8 +251,10 @@ def named_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 @query()
 def rank_topk_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right, pairs = named_sides(spark, sf_dir)
-    ranked = matching.ranked_candidates(pairs, right, k=3, least=0.0, gap=1.0)
+    players, photos = people_and_photos(spark, sf_dir)
+    left, right = written(matching.with_names(players, "FullName"), "players"), written(matching.with_names(matching.rankable(photos), "display_name"), "photos")
+    best = {"k": 3, "least": 0.0, "gap": 1.0}
+    ranked = matching.ranked_candidates(matching.listed_pairs(left, right, **best), right, **best)
     return left.select("player_seq", F.col("name").alias("left_name")).join(ranked, "left_name").select("player_seq", "cand_seq", "place", F.round("score", 9).alias("score"))
 
 
