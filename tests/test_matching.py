@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from weftlink import schemas
 from weftlink.functions.text import with_name_score
 from weftlink.operators import matching, merging, numbering, scorers
 from weftlink.plans import mapping, queries
@@ -203,3 +204,14 @@ def test_rank_query_lists_three_of_all(spark):
     p, c = queries.people_and_photos(spark, "/root/testdata/sf0.001")
     want = {(a, b, place, round(s, 9)) for a, b, place, s in lists(all_scores(p, c), 3, 0.0, 1.0)}
     assert {tuple(r) for r in queries.rank_topk_margin(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+@pytest.mark.parametrize("number", [0, 1])
+def test_shortlists_take_the_best_of_all(spark, number):
+    """A nickname or another script shares no token with the photo it stands for, and is asked about all the same."""
+    people = [("Billy Zz", None), ("Дмитро Іваненко", None), ("Ann Lee", None), ("John Smith", None)]
+    shown = ["William Kraus", "Dmytro Ivanenko", "Lee Ann", "Jon Smyth", "Mario Garcia"]
+    p, c = frames(spark, people, [(f"x{i}", x) for i, x in enumerate(shown)])
+    want = lists(all_scores(p, c), *[schemas.PASSES[number][k] for k in ("k", "least", "gap")])
+    got = {(r.player_seq, r.cand_seq, r.place, r.score) for r in scorers.shortlists(p, c, number).collect()}
+    assert got == want and {r[0] for r in got} == {0, 1, 2, 3}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import PROVIDERS
 from ..schemas import BATCH, PASSES, SCORER_SURE
 from ..storage import written
-from .matching import name_pairs, rankable, ranked_candidates, winners, with_names
+from .matching import listed_pairs, rankable, ranked_candidates, winners, with_names
 
 ANSWER = "confidence double, reason string, error string, calls int, prompt int, completion int, total int"
 QUOTA = "quota"
@@ -173,12 +173,12 @@ def preferred(batch: DataFrame, single: DataFrame) -> DataFrame:
 def shortlists(players: DataFrame, photos: DataFrame, number: int) -> DataFrame:
     """(TeamId, player_seq, cand_seq, place, score, name1, name2, tokens1, tokens2): what a scorer is asked in pass `number`.
 
-    Each player's best photos by the deterministic score; the first k, then of photos shown by the same name the best. Photos
-    meet players by shared tokens (or close names): a photo without any isn't listed.
+    Each player's best of all photos by the deterministic score, also those that share nothing with the player's name; the first
+    k, then of photos shown by the same name the best.
     """
     p = PASSES[number]
-    people, left = with_names(players, "FullName"), with_names(rankable(photos), "display_name")
-    pairs = written(name_pairs(people, left, 0.45), "shortlist")
+    people, left = written(with_names(players, "FullName"), "players"), written(with_names(rankable(photos), "display_name"), "photos")
+    pairs = listed_pairs(people, left, p["k"], p["least"], p["gap"])
     ranked = ranked_candidates(pairs, left, p["k"], p["least"], p["gap"]).join(left.select("cand_seq", "display_name", F.col("tokens").alias("tokens2")), "cand_seq")
     once = ranked.groupBy("left_name", F.lower("display_name").alias("__shown")).agg(F.min_by(F.struct("cand_seq", "score", "place", F.col("display_name").alias("name2"), "tokens2"), "place").alias("r"))
     return people.select("TeamId", "player_seq", F.col("FullName").alias("name1"), F.col("tokens").alias("tokens1"), F.col("name").alias("left_name")).join(once, "left_name").select("TeamId", "player_seq", "r.cand_seq", "r.place", "r.score", "name1", "r.name2", "tokens1", "r.tokens2")
