@@ -128,6 +128,12 @@ def test_model_comparison(spark):
     assert got == {"a": (60, 50), None: (1, 1)}
 
 
+def test_issue_details_are_whole(spark):
+    issues = spark.createDataFrame([("a", f"{k:03}") for k in range(60)] + [(None, "z")], "label string, detail string")
+    got = [tuple(r) for r in reports.issue_details(issues).collect()]
+    assert len(got) == 61 and set(got) == {("a", k + 1, f"{k:03}") for k in range(60)} | {(None, 1, "z")}
+
+
 def test_stream_keeps_the_last(spark, tmp_path):
     schema = "k int, v string, t long"
     folder, table, check = (str(tmp_path / x) for x in ("in", "table", "check"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.responses import usage
 from ..functions.rules import blank, error_category, unmapped
+from .numbering import numbered
 
 
 def share(part: Column, all_: Column, times: float = 1.0) -> Column:
@@ -101,13 +102,18 @@ def batch_summary(teams: DataFrame) -> DataFrame:
 
 
 def issue_counts(issues: DataFrame, label: str = "label", detail: str = "detail", most: int = 50) -> DataFrame:
-    """(label, n, details) of each kind of issue; details are its first `most` in order, so that a kind can have any number of rows."""
+    """(label, n, details) of each kind of issue; details are a preview, its first `most` in order. issue_details has them all."""
     counts = issues.groupBy(label).agg(F.count("*").alias("n"))
     first = issues.withColumn("k", F.row_number().over(Window.partitionBy(label).orderBy(detail))).where(F.col("k") <= most)
     told = first.groupBy(F.col(label).alias("__l")).agg(F.array_sort(F.collect_list(detail)).alias("d"))
     return counts.join(told, counts[label].eqNullSafe(told["__l"])).select(label, "n", F.array_join("d", ", ").alias("details"))
 
 
+def issue_details(issues: DataFrame, label: str = "label", detail: str = "detail") -> DataFrame:
+    """(label, place, detail) of every issue, in order within its kind: rows, so that a kind can have any number of them."""
+    return numbered(issues.select(label, detail), [label], [detail]).select(label, "place", detail)
+
+
 def photo_grid(states: DataFrame, missing: DataFrame) -> DataFrame:
     """Counts of photos by state, and of players without a photo."""
     names = ["total", "mapped", "not_in_csv", "no_id", "csv_without_photo"]

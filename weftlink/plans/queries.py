@@ -482,6 +482,11 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.issue_counts(table(spark, sf_dir, "events").selectExpr("event_type AS label", "cast(event_id AS string) AS detail"))
 
 
+@query("""SELECT event_type AS label, row_number() OVER (PARTITION BY event_type ORDER BY event_id::VARCHAR) AS place, event_id::VARCHAR AS detail FROM events""")
+def issue_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.issue_details(table(spark, sf_dir, "events").selectExpr("event_type AS label", "cast(event_id AS string) AS detail"))
+
+
 @query("""WITH t AS (SELECT *, n_nationkey NOT IN (3, 4) AND n_nationkey IN (SELECT s_nationkey FROM supplier) AS done FROM nation)
 SELECT n_nationkey::INT AS "TeamId", n_name AS team, CASE WHEN done THEN 'Completed' ELSE 'Skipped' END AS status, count(c_custkey)::INT AS extracted, (CASE WHEN done THEN count(c_custkey) FILTER (c_custkey % 3 > 0) ELSE 0 END)::INT AS mapped
 FROM t LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name, done""")
