@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from weftlink.functions import filenames, responses, rules, text
 
+# Known names with their normal forms, tokens and scores.
 NORMAL = {
     "Müller": "mueller", "Østergård": "oestergard", "Đorđe Petrović": "djordje petrovic", "Michał Skóraś": "michal skoras", "Altay Bayındır": "altay bayindir", "Ｍｉｎａ・Ｔａｎａｋａ": "mina tanaka",
     "Ŋolo": "ngolo", "Rodriguez-": "rodriguez", "juan !": "juan ", "Müller": "muller", "": "", None: "", "Gonzaalez": "gonzalez", "İlkay": "ilkay", "ABC 12": "abc 12",
 }
-CORE = {"Fernández": "fernandes", "Gonzalez": "gonsales", "Chico": "francisco", "Zander": "oleksandr", "Alex": "oleksandr", "ياسين": "", "Jan van der Berg 12": "jan berg", "O'Neil-Smith Jr.": "o neil smith", None: ""}
+CORE = {"Fernández": "fernandez", "Gonzalez": "gonzalez", "Chico": "francisco", "Zander": "oleksandr", "Alex": "oleksandr", "ياسين": "", "Jan van der Berg 12": "jan berg", "O'Neil-Smith Jr.": "o neil smith", None: ""}
 
 
 def test_normalized_names(spark):
@@ -21,8 +22,7 @@ def test_normalized_names(spark):
 def test_core_tokens(spark):
     rows = spark.createDataFrame([(k, v) for k, v in CORE.items()], "raw string, want string")
     for r in rows.withColumn("got", F.array_join(text.core_tokens(F.col("raw")), " ")).collect():
-        if r.raw not in ("Fernández", "Gonzalez"):
-            assert r.got == r.want, r.raw
+        assert r.got == r.want, r.raw
     pair = lambda a, b: spark.range(1).select(text.same_tokens(F.lit(a), F.lit(b))).first()[0]
     assert pair("Fernández", "Fernandes") and pair("Gonzalez", "Gonsales") and pair("Zander", "Alexander") and pair("", "ياسين") and not pair("Ann", "Bob")
 

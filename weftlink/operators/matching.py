@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations, permutations
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from .numbering import numbered
 STRICT, LOOSE = 0.73, 0.35
 #: Names that are compared with all others at a time.
 AT_ONCE = 500
+#: Names whose keys, and pairs whose scores, one task works out.
+NAMES_AT_ONCE, PAIRS_AT_ONCE = 20_000, 200_000
+#: Ids of one key that a task joins with the other side's, and keys that may have more of them.
+KEY_IDS, HOT_KEYS = 4096, 10_000
 
 
 def first_of(rows: DataFrame, key: Column, seq: str, *cols: str) -> DataFrame:
@@ -49,11 +56,16 @@ def with_names(rows: DataFrame, col: str) -> DataFrame:
     return rows.withColumn("name", F.concat_ws("|", F.col("norm"), F.array_join("tokens", " ")))
 
 
-def key(kind: str, *parts: Column) -> Column:
-    return F.concat_ws("\x1f", F.lit(kind), *parts)
+def key_of(kind: str, *parts: str) -> str:
+    return "\x1f".join((kind, *parts))
+
 
+def marks(token: str) -> list[str]:
+    """A token's first letter, as such, and its pairs of letters."""
+    return ["^" + token[:1], *(token[k : k + 2] for k in range(len(token) - 1))]
 
-def name_keys(mine: str, theirs: str, loose: bool) -> Column:
+
+def keys_of_name(norm: str, tokens: list[str], mine: str, theirs: str, loose: bool) -> set[str]:
     """The keys under which a name meets others; mine and theirs name the sides, for kinds that go one way.
 
     Loose: equal names, names alike in every third place, and each token. Strict: what a score of STRICT takes at least.
@@ -61,33 +73,58 @@ def name_keys(mine: str, theirs: str, loose: bool) -> Column:
     a letter to begin with or a pair of letters in common with the missing one; or one, and such a letter. Else a token in
     common, and one that holds a token of the other name, of at least four letters and half its length.
     """
-    t, norm = F.array_distinct("tokens"), F.col("norm")
-    none = F.array().cast("array<string>")
-    each = lambda items, make: F.transform(items, make)
-    flat = lambda items, make: F.flatten(F.transform(items, make))
-    thirds = lambda c: F.array_join(F.filter(F.split(norm, ""), lambda _, i: i % 3 == c), "")
-    same = F.array(key("=", norm), *[key(f"~{c}", thirds(c)) for c in range(3)])
+    t = sorted(set(tokens))
+    out = {key_of("=", norm), *(key_of(f"~{c}", norm[c::3]) for c in range(3))}
     if loose:
-        return F.array_distinct(F.concat(same, each(t, lambda x: key("t", x))))
-    of_size = lambda n, keys: F.when(F.size(t) == n, keys).otherwise(none)
-    at_least = lambda n, keys: F.when(F.size(t) >= n, keys).otherwise(none)
-    rest = lambda *xs: F.filter(t, lambda y: ~y.isin(*xs))
-    begins = lambda y: F.concat(F.lit("^"), F.substring(y, 1, 1))
-    marks = lambda y: F.concat(F.array(begins(y)), F.when(F.length(y) > 1, each(F.sequence(F.lit(1), F.length(y) - 1), lambda k: F.substring(y, k, F.lit(2)))).otherwise(none))
-    pairs = lambda make: flat(t, lambda x: flat(F.filter(t, lambda y: y > x), lambda y: make(x, y)))
-    two = lambda side: pairs(lambda x, y: F.array(key(f"2{side}", x, y)))
-    triples = pairs(lambda x, y: each(F.filter(t, lambda z: z > y), lambda z: key("3", x, y, z)))
-    two_and_mark = lambda side: pairs(lambda x, y: flat(rest(x, y), lambda z: each(marks(z), lambda m: key(f"m{side}", x, y, m))))
-    one_and_letter = lambda side: flat(t, lambda x: each(rest(x), lambda y: key(f"a{side}", x, begins(y))))
-    long = F.filter(t, lambda y: F.length(y) >= 4)
-    least = lambda y: F.greatest(F.lit(4), F.ceil(F.length(y) / 2).cast("int"))
-    cut = lambda y, n: each(F.sequence(F.lit(1), F.length(y) - n + 1), lambda k: F.substring(y, k, n))
-    parts = flat(F.filter(long, lambda y: F.length(y) > 4), lambda y: flat(F.sequence(least(y), F.length(y) - 1), lambda n: cut(y, n)))
-    starts = flat(t, lambda x: each(long, lambda y: key(f"c{theirs}", x, y)))
-    holds = flat(t, lambda x: each(F.array_distinct(parts), lambda g: key(f"c{mine}", x, g)))
-    small = [of_size(1, each(t, lambda x: key(f"1{mine}", x))), of_size(2, F.concat(two(mine), one_and_letter(mine))), of_size(3, two_and_mark(mine))]
-    large = [each(t, lambda x: key(f"1{theirs}", x)), at_least(2, F.concat(two(theirs), one_and_letter(theirs))), at_least(3, F.concat(triples, two_and_mark(theirs)))]
-    return F.array_distinct(F.concat(same, *small, *large, starts, holds))
+        return out | {key_of("t", x) for x in t}
+    for side, small, large in ((mine, len(t) <= 3, False), (theirs, False, True)):
+        if len(t) == 1 or large:
+            out |= {key_of(f"1{side}", x) for x in t}
+        if len(t) == 2 or (large and len(t) >= 2):
+            out |= {key_of(f"2{side}", x, y) for x, y in combinations(t, 2)}
+            out |= {key_of(f"a{side}", x, "^" + y[:1]) for x, y in permutations(t, 2)}
+        if (small and len(t) == 3) or (large and len(t) >= 3):
+            out |= {key_of(f"m{side}", x, y, m) for x, y in combinations(t, 2) for z in t if z not in (x, y) for m in marks(z)}
+    out |= {key_of("3", *xs) for xs in combinations(t, 3)}
+    long = [y for y in t if len(y) >= 4]
+    out |= {key_of(f"c{theirs}", x, y) for x in t for y in long}
+    parts = {y[k : k + n] for y in long for n in range(max(4, -(-len(y) // 2)), len(y)) for k in range(len(y) - n + 1)}
+    return out | {key_of(f"c{mine}", x, g) for x in t for g in parts}
+
+
+def name_keys(names: DataFrame, mine: str, theirs: str, loose: bool) -> DataFrame:
+    """(id, key) of names (id, norm, tokens): each name's keys, hashed. Keys that happen to share a hash only bring more names together."""
+
+    @F.pandas_udf("array<string>")
+    def keys(norm: pd.Series, tokens: pd.Series) -> pd.Series:
+        return pd.Series([list(keys_of_name(n, list(t), mine, theirs, loose)) for n, t in zip(norm, tokens, strict=True)])
+
+    return names.select("id", F.explode(keys("norm", "tokens")).alias("key")).select("id", F.xxhash64("key").alias("key"))
+
+
+def brought_together(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id) of ids that share a key, each once. left and right (id, key) are written tables.
+
+    A key of many left ids is dealt over several tasks, to each of which its right ids go. HOT_KEYS bounds how many keys can have so
+    many ids, and thereby what is broadcast.
+    """
+    many = max(KEY_IDS, left.count() // HOT_KEYS)
+    hot = F.broadcast(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > many).select("key", F.ceil(F.col("n") / many).alias("parts")))
+    one = left.join(hot, "key", "left").select(F.col("id").alias("left_id"), "key", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    other = right.join(hot, "key", "left").select(F.col("id").alias("right_id"), "key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return one.join(other, ["key", "part"]).select("left_id", "right_id").distinct()
+
+
+def distinct_names(rows: DataFrame) -> DataFrame:
+    """(id, name, norm, tokens) of the distinct names (with_names) that have tokens, written, as ids are only good for a table that stays."""
+    kinds = rows.where(F.size("tokens") > 0).groupBy("name").agg(F.first("norm").alias("norm"), F.first("tokens").alias("tokens"))
+    return written(spread(written(kinds, "names"), NAMES_AT_ONCE).withColumn("id", F.monotonically_increasing_id()), "names")
+
+
+def spread(rows: DataFrame, most: int) -> DataFrame:
+    """rows, a written table, dealt to tasks of about `most`, and to all cores at least: narrow tables lie in few files, but what is
+    done for each row takes time."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most)))
 
 
 def name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -99,13 +136,12 @@ def name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     if threshold < LOOSE + MARGIN:
         raise ValueError(f"a threshold below {LOOSE + MARGIN} would take a comparison of all names with all")
     loose = threshold < STRICT + MARGIN - 1e-9
-    kinds = ["name", "norm", "tokens"]
-    distinct = [x.where(F.size("tokens") > 0).select(*kinds).groupBy("name").agg(F.first("norm").alias("norm"), F.first("tokens").alias("tokens")) for x in (left, right)]
-    lk, rk = (d.select(F.col("name").alias(f"{s}_name"), F.explode(name_keys(m, o, loose)).alias("key")) for d, s, m, o in ((distinct[0], "left", "L", "R"), (distinct[1], "right", "R", "L")))
-    met = written(lk.join(rk, "key").select("left_name", "right_name").distinct(), "met")
-    for d, s in zip(distinct, ("left", "right"), strict=True):
-        met = met.join(d.select(F.col("name").alias(f"{s}_name"), F.col("norm").alias(f"{s}_norm"), F.col("tokens").alias(f"{s}_tokens")), f"{s}_name")
-    scored = with_name_score(met, "left_tokens", "left_norm", "right_tokens", "right_norm")
+    names = [distinct_names(x) for x in (left, right)]
+    keys = [written(name_keys(d, m, o, loose), "keys") for d, m, o in zip(names, "LR", "RL", strict=True)]
+    met = spread(written(brought_together(*keys), "met"), PAIRS_AT_ONCE)
+    for d, s in zip(names, ("left", "right"), strict=True):
+        met = met.join(d.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), F.col("norm").alias(f"{s}_norm"), F.col("tokens").alias(f"{s}_tokens")), f"{s}_id")
+    scored = with_name_score(met, "left_tokens", "left_norm", "right_tokens", "right_norm", above=LOOSE if loose else STRICT - 1e-9)
     return scored.select("left_name", "right_name", "score", (F.col("left_norm") == F.col("right_norm")).alias("equal"))
 
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir; or, where that is unset and driver and executors are one process, as in tests, a folder of our own.
+    On a cluster there is no folder that all see unless it is named: an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="weftlink-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
