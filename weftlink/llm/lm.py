@@ -13,17 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text, map_text, materialize, mix, quoted, range_sums, slices, spans, texts, words_of
-
-#: Outputs: the end, the most frequent words, and classes of all other words by their last two bytes.
-HEAD, TAIL = 128, 128
-#: Inputs: the same first ones, and classes by the last three bytes.
-ENDINGS = 1024
-CONTEXT, DIM, NOISE, BATCH = 3, 16, 24, 2048
+from .common import SLICE_BYTES, id_text, map_text, materialize, mix, quoted, range_sums, slices, spans, texts, words_of
+
+#: Words with an output and an input of their own, the most frequent ones; by frequency they form CLASSES of SLOTS words each.
+CLASSES, SLOTS = 64, 64
+HEAD = CLASSES * SLOTS
+#: All other words: as outputs in classes by their last two bytes, as inputs by their last three.
+TAIL, ENDINGS = 64, 1024
+#: Outputs of the first step: the end, the head's classes, the tail's.
+STEPS = 1 + CLASSES + TAIL
+CONTEXT, DIM, NOISE, SLOT_NOISE, BATCH = 3, 16, 24, 8, 2048
+RATE = 0.1
 #: Counts that are broadcast (the most frequent words); all others are joined.
 KNOWN_WORDS = 1 << 17
-#: About how many training texts, whole ones of at most START_BYTES, the model starts from on the driver, before its pass over all of them.
-START_ROWS, START_BYTES = 400, 1 << 16
+#: Training texts are dealt by a hash into ROUNDS parts, and each part into shards of about SHARD_TOKENS tokens over all rounds; the
+#: models of a round's shards are averaged, and sent and summed in PIECES.
+ROUNDS, SHARD_TOKENS, PIECES = 4, 1 << 21, 16
 END = np.uint64(0x5E7D5E7D5E7D5E7D)
 
 
@@ -31,8 +36,10 @@ END = np.uint64(0x5E7D5E7D5E7D5E7D)
 class Lbl:
     embed: np.ndarray  # inputs, DIM
     turn: np.ndarray  # CONTEXT, DIM, DIM
-    out: np.ndarray  # outputs, DIM
+    out: np.ndarray  # STEPS, DIM
     bias: np.ndarray
+    word: np.ndarray  # HEAD, DIM: of a word within its class
+    word_bias: np.ndarray
 
     def parts(self) -> list[np.ndarray]:
         return [getattr(self, f.name) for f in fields(self)]
@@ -40,16 +47,17 @@ class Lbl:
 
 @dataclass(frozen=True)
 class Corpus:
-    """What the counts say: totals, the head's and the broadcast words, and each class's tokens and words."""
+    """What the counts say: totals, the head's and the broadcast words, and each first output's tokens and words."""
 
     tokens: int
     words: int
     ends: int
     head: np.ndarray  # sorted hashes of the head's words
-    head_counts: np.ndarray
+    rank: np.ndarray  # their places by frequency
+    head_counts: np.ndarray  # by place
     known: np.ndarray  # sorted hashes of the broadcast words
     known_counts: np.ndarray
-    class_tokens: np.ndarray  # of all outputs
+    class_tokens: np.ndarray
     class_words: np.ndarray
 
 
@@ -65,7 +73,7 @@ def endings(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np.n
 
 
 def tail_class(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (HEAD + (endings(raw, begin, end, 2) >> np.uint64(40)) % np.uint64(TAIL)).astype(np.int64)
+    return (1 + CLASSES + (endings(raw, begin, end, 2) >> np.uint64(40)) % np.uint64(TAIL)).astype(np.int64)
 
 
 def place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,17 +89,19 @@ class Tokens:
     hashes: np.ndarray
     n: np.ndarray  # tokens of each text, the end with them
     inputs: np.ndarray
-    outputs: np.ndarray
+    outputs: np.ndarray  # of the first step
+    words: np.ndarray  # places of the head's words; -1: others
 
 
-def tokens(batch: list[bytes], head: np.ndarray) -> Tokens:
+def tokens(batch: list[bytes], head: np.ndarray, rank: np.ndarray) -> Tokens:
     """The tokens of all texts, one after another, each text's end last, as inputs and outputs of the model."""
     w = words_of(batch, lower=True)
     at, is_head = place(head, w.hashes)
-    out = np.where(is_head, at + 1, tail_class(w.raw, w.begin, w.end))
-    into = np.where(is_head, at + 1, HEAD + (endings(w.raw, w.begin, w.end, 3) >> np.uint64(40)).astype(np.int64) % ENDINGS)
+    word = np.where(is_head, rank[at], -1) if len(head) else np.full(len(at), -1)
+    out = np.where(is_head, 1 + word // SLOTS, tail_class(w.raw, w.begin, w.end))
+    into = np.where(is_head, 1 + word, 1 + HEAD + (endings(w.raw, w.begin, w.end, 3) >> np.uint64(40)).astype(np.int64) % ENDINGS)
     last = np.cumsum(w.n)
-    return Tokens(np.insert(w.hashes, last, END), w.n + 1, np.insert(into, last, 0), np.insert(out, last, 0))
+    return Tokens(np.insert(w.hashes, last, END), w.n + 1, np.insert(into, last, 0), np.insert(out, last, 0), np.insert(word, last, -1))
 
 
 def contexts(t: Tokens) -> np.ndarray:
@@ -130,141 +140,221 @@ def frequency_step() -> Column:
 
 def corpus_of(counts: DataFrame, ends: int, known_words: int = KNOWN_WORDS) -> Corpus:
     """Only one row per step and class, the steps of frequent words that hold known_words at most, and the head reach the driver;
-    they are filtered before they are collected, as a sort with a limit would have every task send that many."""
+    they are filtered before they are collected, and only where one step holds too many words is the head sorted out by Spark."""
     by_class = {r["class"]: r for r in counts.groupBy("class").agg(F.sum("c").alias("t"), F.count("*").alias("v")).collect()}
     steps = steps_down(counts)
     reach = np.cumsum([n for _, n in steps])
     within = int(np.searchsorted(reach, known_words, side="right"))
     known = counts.where(frequency_step() >= steps[within - 1][0]).toPandas() if within else counts.limit(0).toPandas()
-    least = steps[min(int(np.searchsorted(reach, HEAD - 1)), len(steps) - 1)][0] if steps else 0
-    head = counts.where(frequency_step() >= least).orderBy(F.desc("c"), "hash").limit(HEAD - 1).toPandas()
-    tokens, words = np.zeros(HEAD + TAIL, np.int64), np.zeros(HEAD + TAIL, np.int64)
+    if within and reach[within - 1] >= min(HEAD, reach[-1]):
+        head = known.sort_values(["c", "hash"], ascending=[False, True])[:HEAD]
+    else:
+        least = steps[min(int(np.searchsorted(reach, HEAD)), len(steps) - 1)][0] if steps else 0
+        head = counts.where(frequency_step() >= least).orderBy(F.desc("c"), "hash").limit(HEAD).toPandas()
+    tokens, words = np.zeros(STEPS, np.int64), np.zeros(STEPS, np.int64)
     for k, r in by_class.items():
         tokens[k], words[k] = r["t"], r["v"]
     total, distinct = int(tokens.sum()), int(words.sum())
-    for k, n in zip(head["class"], head["c"], strict=True):
+    for place, (k, n) in enumerate(zip(head["class"], head["c"], strict=True)):
         tokens[k] -= n
         words[k] -= 1
+        tokens[1 + place // SLOTS] += n
     of = lambda rows: (rows["hash"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64))
     (top, top_c), (near, near_c) = of(head), of(pd.concat([known, head]).drop_duplicates("hash"))
     by, order = np.argsort(top), np.argsort(near)
-    tokens[0], tokens[1 : 1 + len(by)] = ends, top_c[by]
-    some = int(ends > 0)
-    return Corpus(total + ends, distinct + some, ends, top[by], top_c[by], near[order], near_c[order], tokens, words)
+    tokens[0], some = ends, int(ends > 0)
+    return Corpus(total + ends, distinct + some, ends, top[by], by, top_c, near[order], near_c[order], tokens, words)
+
+
+#: The bias of a place in a class without a word.
+NO_WORD = -30.0
 
 
 def new_model(corpus: Corpus, seed: int = 5) -> Lbl:
+    """Small random vectors; biases by the counts: of each class, and of each word within its class."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     share = (corpus.class_tokens + 0.5) / (corpus.class_tokens + 0.5).sum()
-    return Lbl(draw(HEAD + ENDINGS, DIM), np.stack([np.eye(DIM, dtype=np.float32) / (k + 1) for k in range(CONTEXT)]), draw(HEAD + TAIL, DIM), np.log(share).astype(np.float32))
+    counts = np.zeros(HEAD)
+    counts[: len(corpus.head_counts)] = corpus.head_counts
+    own = counts / np.maximum(np.repeat(counts.reshape(CLASSES, SLOTS).sum(1), SLOTS), 1)
+    word_bias = np.where(counts > 0, np.log(np.maximum(own, 1e-12)), NO_WORD)
+    turn = np.stack([np.eye(DIM, dtype=np.float32) / (k + 1) for k in range(CONTEXT)])
+    return Lbl(draw(1 + HEAD + ENDINGS, DIM), turn, draw(STEPS, DIM), np.log(share).astype(np.float32), draw(HEAD, DIM), word_bias.astype(np.float32))
+
 
+def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places, in order, and the sums of their rows."""
+    by = np.argsort(at, kind="stable")
+    at = at[by]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+    return at[first], np.add.reduceat(rows[by], first, axis=0) if len(at) else rows
 
-def scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(at, rows[:, k], size) for k in range(rows.shape[1])], 1).astype(np.float32)
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.float32)
 
-def train_on(model: Lbl, t: Tokens, share: np.ndarray, memory: list[np.ndarray], rng: np.random.Generator, rate: float) -> None:
-    """One pass of noise-contrastive estimation over the tokens, by Adagrad; a batch shares its noise, drawn from `share`."""
+
+def train_on(model: Lbl, t: Tokens, share: np.ndarray, memory: list[np.ndarray], rng: np.random.Generator, rate: float = RATE) -> None:
+    """One pass of noise-contrastive estimation over the tokens, by Adagrad. A batch shares its noise: first outputs drawn from
+    `share`; and for the words within their classes, places in the class, all alike."""
     before = contexts(t)
     for base in range(0, len(t.outputs), BATCH):
-        ctx, y = before[:, base : base + BATCH], t.outputs[base : base + BATCH]
-        noise = rng.choice(len(share), NOISE, p=share)
+        ctx, y, w = before[:, base : base + BATCH], t.outputs[base : base + BATCH], t.words[base : base + BATCH]
+        noise, slots = rng.choice(len(share), NOISE, p=share), rng.integers(0, SLOTS, SLOT_NOISE)
         seen = [model.embed[c] for c in ctx]
         r = sum(x @ m for x, m in zip(seen, model.turn, strict=True))
-        z = (r * model.out[y]).sum(1) + model.bias[y] - np.log(NOISE * share[y])
-        zn = r @ model.out[noise].T + model.bias[noise] - np.log(NOISE * share[noise])
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - 1).astype(np.float32) / len(y)
-        gn = (1 / (1 + np.exp(-np.clip(zn, -30, 30)))).astype(np.float32) / len(y)
+        g = (sigmoid((r * model.out[y]).sum(1) + model.bias[y] - np.log(NOISE * share[y])) - 1) / len(y)
+        gn = sigmoid(r @ model.out[noise].T + model.bias[noise] - np.log(NOISE * share[noise])) / len(y)
         dr = g[:, None] * model.out[y] + gn @ model.out[noise]
-        d_out = scatter(y, g[:, None] * r, len(model.out))
-        np.add.at(d_out, noise, gn.T @ r)
-        d_bias = np.bincount(y, g, len(model.bias)) + np.bincount(noise, gn.sum(0), len(model.bias))
-        d_turn = np.stack([x.T @ dr for x in seen])
-        d_embed = scatter(ctx.ravel(), np.concatenate([dr @ m.T for m in model.turn]), len(model.embed))
-        for p, d, m in zip(model.parts(), (d_embed, d_turn, d_out, d_bias.astype(np.float32)), memory, strict=True):
-            m += d * d
-            p -= rate * d / (np.sqrt(m) + 1e-6)
+        out_at, d_out = summed(np.concatenate([y, noise]), np.concatenate([np.c_[g[:, None] * r, g], np.c_[gn.T @ r, gn.sum(0)]]))
+        changes = [(2, out_at, d_out[:, :-1]), (3, out_at, d_out[:, -1])]
+        on = np.flatnonzero(w >= 0)
+        if len(on):
+            on = on[np.argsort(w[on], kind="stable")]
+            w, rh = w[on], r[on]
+            others = (w // SLOTS)[:, None] * SLOTS + slots
+            far = model.word[others]
+            h = (sigmoid((rh * model.word[w]).sum(1) + model.word_bias[w] - np.log(SLOT_NOISE / SLOTS)) - 1) / len(y)
+            hn = sigmoid(np.einsum("bd,bkd->bk", rh, far) + model.word_bias[others] - np.log(SLOT_NOISE / SLOTS)) / len(y)
+            dr[on] += h[:, None] * model.word[w] + np.einsum("bk,bkd->bd", hn, far)
+            first = np.flatnonzero(np.append(True, w[1:] // SLOTS != w[:-1] // SLOTS))  # of each class in the batch
+            wide = np.add.reduceat(np.concatenate([hn[:, :, None] * rh[:, None, :], hn[:, :, None]], 2).reshape(len(on), -1), first, axis=0)
+            own_at, own = summed(w, np.c_[h[:, None] * rh, h])
+            word_at, d_word = summed(np.concatenate([own_at, others[first].ravel()]), np.concatenate([own, wide.reshape(-1, DIM + 1)]))
+            changes += [(4, word_at, d_word[:, :-1]), (5, word_at, d_word[:, -1])]
+        in_at, d_in = summed(ctx.ravel(), np.concatenate([dr @ m.T for m in model.turn]))
+        changes += [(0, in_at, d_in), (1, slice(None), np.stack([x.T @ dr for x in seen]))]
+        parts = model.parts()
+        for k, at, d in changes:
+            memory[k][at] += d * d
+            parts[k][at] -= rate * d / (np.sqrt(memory[k][at]) + 1e-6)
 
 
 def fresh_memory(model: Lbl, start: float = 1e-6) -> list[np.ndarray]:
     return [np.full_like(p, start) for p in model.parts()]
 
 
-def start_texts(docs: DataFrame, rows: int, text_col: str, want: int = START_ROWS) -> list[bytes]:
-    """About `want` of docs' rows, chosen by a hash of each row, and never more than twice as many; sorted. Tasks send the driver
-    these texts alone, however many tasks there are."""
-    cut = -(1 << 63) + min((1 << 64) - 1, (want << 64) // max(rows, 1))
-    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    some = docs.where((F.xxhash64(*[F.col(quoted(c)) for c in docs.columns]) <= cut) & (F.octet_length(text) <= START_BYTES))
-    return sorted(r[0].encode() for r in some.select(text).limit(2 * want).collect())
+def flat(model: Lbl, memory: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([p.ravel() for p in (*model.parts(), *memory)]).astype(np.float32)
 
 
-def trained(docs: DataFrame, corpus: Corpus, text_col: str = "text", start_rows: int = START_ROWS) -> Lbl:
-    """A start on about start_rows texts on the driver, then one pass over all of docs: each task trains a copy on its
-    partition, and the copies are averaged by their tokens, in groups on the executors first. START_ROWS bounds the start alone."""
-    share = (corpus.class_tokens + 1) / (corpus.class_tokens + 1).sum()
-    model, rng = new_model(corpus), np.random.default_rng(11)
-    memory = fresh_memory(model)
-    start = tokens(start_texts(docs, corpus.ends, text_col, start_rows), corpus.head)
-    for _ in range(3):
-        train_on(model, start, share, memory, rng, 0.1)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((model, corpus.head, share))
-    shapes = [p.shape for p in model.parts()]
+def unflat(model: Lbl, values: np.ndarray) -> tuple[Lbl, list[np.ndarray]]:
+    """The model and the memory that flat() made one row of; shapes as in `model`."""
+    shapes = [p.shape for p in model.parts()] * 2
+    parts = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(values, np.cumsum([math.prod(s) for s in shapes])[:-1]), shapes, strict=True)]
+    return Lbl(*parts[: len(parts) // 2]), parts[len(parts) // 2 :]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head, share = shared.value
-        own, seen = Lbl(*(p.copy() for p in model.parts())), 0
-        memory, rng = fresh_memory(own, 1e-4), np.random.default_rng(13)
-        for batch in batches:
-            for part in slices(batch, text_col):
-                t = tokens(texts(part, text_col), head)
-                train_on(own, t, share, memory, rng, 0.02)
-                seen += len(t.outputs)
-        if seen:
-            flat = np.concatenate([p.ravel() for p in own.parts()]).astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "sum"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, None
-        for batch in batches:
-            for k in range(len(batch)):
-                x = np.frombuffer(batch.column(1)[k].as_py(), np.float64)
-                n, total = n + batch.column(0)[k].as_py(), x if total is None else total + x
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "sum"])
-
-    copies = docs.select(F.col(quoted(text_col))).mapInArrow(run, "n long, sum binary")
-    groups = max(1, math.isqrt(docs.rdd.getNumPartitions()))
-    rows = copies.repartition(groups).mapInArrow(add, "n long, sum binary").collect()
-    n = sum(r["n"] for r in rows)
-    if not n:
-        return model
-    flat = sum(np.frombuffer(r["sum"], np.float64) for r in rows) / n
-    cuts = np.cumsum([math.prod(s) for s in shapes])[:-1]
-    return Lbl(*(x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, cuts), shapes, strict=True)))
+
+def trained(docs: DataFrame, corpus: Corpus, id_cols: tuple[str, ...] = (), text_col: str = "text") -> Lbl:
+    """One pass over all of docs, in rounds: in each, every shard trains a copy of the model on its texts, and the copies are
+    averaged by their tokens.
+
+    Shards and rounds go by a hash of id and text and by the number of tokens alone, and a shard takes its texts in the order of
+    their hashes: how docs is partitioned changes nothing. A shard streams through a task; rows that are wholly equal fall to one.
+    """
+    share = (corpus.class_tokens + 1) / (corpus.class_tokens + 1).sum()
+    shards = max(1, -(-corpus.tokens // SHARD_TOKENS))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    rows = docs.select(F.xxhash64(*[F.col(quoted(c)) for c in id_cols], text).alias("key"), text.alias("text"))
+    rows = rows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftright("key", 40), F.lit(ROUNDS)).alias("round"), "key", "text")
+    model = new_model(corpus)
+    memory, sc = fresh_memory(model), docs.sparkSession.sparkContext
+    for number in range(ROUNDS if corpus.tokens else 0):
+        shared = sc.broadcast((model, memory, corpus.head, corpus.rank, share))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            start, kept, head, rank, share = shared.value
+
+            def trainer(shard: int):
+                """Takes texts, and gives at None what came of all of them."""
+                own, mine, rng = Lbl(*(p.copy() for p in start.parts())), [m.copy() for m in kept], np.random.default_rng((number, shard))
+                seen, held, size = 0, [], 0
+                while True:
+                    text = yield
+                    if text is not None:
+                        held.append(text)
+                        size += len(text)
+                    if held and (text is None or size >= SLICE_BYTES):
+                        t = tokens(held, head, rank)
+                        train_on(own, t, share, mine, rng)
+                        seen, held, size = seen + len(t.outputs), [], 0
+                    if text is None:
+                        values = np.array_split(flat(own, mine), PIECES)
+                        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([shard] * PIECES, pa.int32()), pa.array([seen] * PIECES, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=["piece", "shard", "n", "sum"])
+
+            at, one = None, None
+            for batch in batches:
+                for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text"), strict=True):
+                    if shard != at:
+                        if one:
+                            yield one.send(None)
+                        at, one = shard, trainer(shard)
+                        next(one)
+                    one.send(text.as_py().encode())
+            if one:
+                yield one.send(None)
+
+        part = rows.where(F.col("round") == number).select("shard", "key", "text")
+        dealt = part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "text").select("shard", "text")
+        copies = dealt.mapInArrow(run, "piece int, shard int, n long, sum binary")
+        pieces = copies.repartition(PIECES, "piece").sortWithinPartitions("piece", "shard").mapInArrow(weighed, "piece int, sum binary").collect()
+        if pieces:
+            model, memory = unflat(model, np.concatenate([np.frombuffer(p["sum"], np.float64) for p in sorted(pieces, key=lambda p: p["piece"])]))
+        shared.unpersist()
+    return model
+
+
+def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The means of each piece's rows (piece, shard, n, sum), weighed by n, in the order in which they come."""
+
+    def mean(piece: int, n: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([(total / n).tobytes()], pa.binary())], names=["piece", "sum"])
+
+    at, n, total = None, 0, None
+    for batch in batches:
+        for piece, count, values in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist(), batch.column("sum"), strict=True):
+            x = np.frombuffer(values.as_py(), np.float32).astype(np.float64) * count
+            if piece != at:
+                if at is not None:
+                    yield mean(at, n, total)
+                at, n, total = piece, 0, 0.0
+            n, total = n + count, total + x
+    if at is not None:
+        yield mean(at, n, total)
+
+
+def log_softmax(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    top = z.max(1)
+    return z[np.arange(len(y)), y] - top - np.log(np.exp(z - top[:, None]).sum(1))
 
 
 def log_probabilities(model: Lbl, t: Tokens) -> np.ndarray:
-    """The natural logarithm of each token's output given its context, normalised over all outputs."""
+    """The natural logarithm of each token's first output given its context, normalised over all of them; and for a word of the
+    head also of its place, normalised over its class."""
     turned = [model.embed @ m for m in model.turn]
     before, out = contexts(t), np.zeros(len(t.outputs))
+    r = sum(x[c] for x, c in zip(turned, before, strict=True))
     for base in range(0, len(out), BATCH):
-        ctx, y = before[:, base : base + BATCH], t.outputs[base : base + BATCH]
-        r = sum(x[c] for x, c in zip(turned, ctx, strict=True))
-        z = r @ model.out.T + model.bias
-        top = z.max(1)
-        out[base : base + len(y)] = z[np.arange(len(y)), y] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        to = base + BATCH
+        out[base:to] = log_softmax(r[base:to] @ model.out.T + model.bias, t.outputs[base:to])
+    on = np.flatnonzero(t.words >= 0)
+    on = on[np.argsort(t.words[on] // SLOTS, kind="stable")]
+    edges = np.searchsorted(t.words[on] // SLOTS, np.arange(CLASSES + 1))
+    for k in range(CLASSES):
+        at, own = on[edges[k] : edges[k + 1]], slice(k * SLOTS, (k + 1) * SLOTS)
+        if len(at):
+            out[at] += log_softmax(r[at] @ model.word[own].T + model.word_bias[own], t.words[at] - k * SLOTS)
     return out
 
 
 def lm_scores(docs: DataFrame, learn: Column, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), known_words: int = KNOWN_WORDS) -> DataFrame:
     """(id_cols, learned, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
-    learn tells the rows that counts and model are learned from: all of them are counted and trained on. A token's probability is
-    that of its output, from the log-bilinear model, times its share of its class by the counts, one added to each word and one
-    word more for all unknown ones. Scores are log10 of whole texts.
+    learn tells the rows that counts and model are learned from: all of them are counted and trained on. The log-bilinear model
+    gives the probability of the end, of each of the HEAD most frequent words (of its class, and of the word in it), and of each
+    class of other words, which is shared out by the counts, one added to each word and one word more for all unknown ones. Scores
+    are log10 of whole texts.
 
     A null or empty text is one token, its end. Without rows to learn from, all words are unknown. Repeated rows and ties score
     alike, an empty table gives no rows. Columns other than id_cols and the text aren't read.
@@ -273,23 +363,23 @@ def lm_scores(docs: DataFrame, learn: Column, text_col: str = "text", id_cols: t
     training = rows.where("learned")
     counts = materialize(counted(training, "text"), "counts")
     corpus = corpus_of(counts, training.count(), known_words)
-    model = trained(training.select(*[c for c in training.columns if c != "learned"]), corpus, "text")
+    model = trained(training, corpus, id_cols)
     shared = docs.sparkSession.sparkContext.broadcast((model, corpus))
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("n_near", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("own", T.DoubleType()), T.StructField("rest", T.ArrayType(T.LongType()))]
 
     def start():
         model, corpus = shared.value
-        inner = np.where(np.arange(HEAD + TAIL) >= HEAD, np.log10(corpus.class_tokens + corpus.class_words + 1), 0)
+        inner = np.where(np.arange(STEPS) > CLASSES, np.log10(corpus.class_tokens + corpus.class_words + 1), 0)
 
         def score(batch: list[bytes]) -> list:
-            t = tokens(batch, corpus.head)
+            t = tokens(batch, corpus.head, corpus.rank)
             first, _ = spans(t.n)
             at, near = place(corpus.known, t.hashes)
             end = t.hashes == END
             c = np.where(near, corpus.known_counts[at] if len(corpus.known) else 0, 0)
             c[end] = corpus.ends
             log_c = np.log10(c + 1.0)
-            tail = t.outputs >= HEAD
+            tail = t.outputs > CLASSES
             own = log_probabilities(model, t) / np.log(10) - inner[t.outputs] - np.where(tail, 0, log_c)
             far = ~near & ~end
             size = range_sums(far, first, t.n)
