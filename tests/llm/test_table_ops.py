@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from weftlink.llm import components as components_module
 from weftlink.llm import decontaminate, mixing, ngram_join, quality_rules, queries, sharding, warc
 from weftlink.llm.common import table
 from weftlink.llm.components import components
@@ -129,10 +130,10 @@ def copies(spark):
     return [(k, t) for k, t in enumerate(rows)] + [(None, rows[0]), (None, rows[0]), (3, rows[3])]
 
 
-@pytest.mark.parametrize(("load", "most"), [(ngram_join.BLOCK_LOAD, ngram_join.MOST_BLOCKS), (150, 3), (60, 1)])
-def test_classes(spark, copies, load, most):
+@pytest.mark.parametrize(("load", "most", "block"), [(ngram_join.BLOCK_LOAD, ngram_join.MOST_BLOCKS, ngram_join.BLOCK_ROWS), (150, 3, 400), (1 << 20, 0, 2)])
+def test_classes(spark, copies, load, most, block):
     docs = spark.createDataFrame(copies, "doc_id long, text string")
-    got = [(r.id, r.class_id, r.n_copies, r.n_links) for r in ngram_join.ngram_classes(docs, load=load, most=most).collect()]
+    got = [(r.id, r.class_id, r.n_copies, r.n_links) for r in ngram_join.ngram_classes(docs, load=load, most=most, rows=block).collect()]
     assert sorted(got, key=str) == brute_classes(copies)
 
 
@@ -167,7 +168,10 @@ def test_minima_estimate_similarity():
     assert abs((sign[0] == sign[1]).mean() - 0.8) < 0.03
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [components_module.HUB, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components_module, "HUB", hub)
+    monkeypatch.setattr(components_module, "HUBS", 1000)
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(7, 7), (None, 3)]
     root = {}
@@ -184,6 +188,8 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    star = spark.createDataFrame([(k, 0) for k in range(1, 60)], "a long, b long")
+    assert {(r.node, r.root) for r in components(star).collect()} == {(k, 0) for k in range(60)}
 
 
 # --- WARC

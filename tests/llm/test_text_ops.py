@@ -246,12 +246,12 @@ def plain_log10(model, corpus, text):
     t = lm.tokens([" ".join(x.decode() for x in parts).encode()], corpus.head, corpus.rank)
     known, before, total = dict(zip(corpus.known.tolist(), corpus.known_counts.tolist())), [0] * lm.CONTEXT, 0.0
     for k, y in enumerate(t.outputs.tolist()):
-        r = sum(model.embed[c].astype(float) @ model.turn[j] for j, c in enumerate(before))
-        z = model.out @ r + model.bias
+        r = sum(model.embed[c].astype(float) @ model.turn[j * lm.DIM : (j + 1) * lm.DIM] for j, c in enumerate(before))
+        z = model.out[:, :-1] @ r + model.out[:, -1]
         total += np.log10(np.exp(z[y]) / np.exp(z).sum())
         if t.words[k] >= 0:
             own = slice((y - 1) * lm.SLOTS, y * lm.SLOTS)
-            z = model.word[own] @ r + model.word_bias[own]
+            z = model.word[own, :-1] @ r + model.word[own, -1]
             total += np.log10(np.exp(z[t.words[k] % lm.SLOTS]) / np.exp(z).sum())
         elif y:
             total += np.log10((known.get(int(t.hashes[k]), 0) + 1) / (corpus.class_tokens[y] + corpus.class_words[y] + 1))

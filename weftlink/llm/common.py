@@ -27,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder all executors and the driver see: spark.checkpoint.dir; where that is unset and all is one process, as in tests,
+    a folder of our own. On a cluster it has to be named: an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="weftlink-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -46,6 +49,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def others(columns: list[str], names) -> list[str]:
+    """Those of columns that bear none of the names, in whatever case, as Spark tells columns apart without it."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def id_text(col: str = "doc_id"):
     """The id as text; null counts as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
@@ -72,10 +81,9 @@ def map_text(df: DataFrame, text_col: str, fields: list[T.StructField], fn: Call
     """Append the columns `fields`, computed in Arrow batches from whole texts.
 
     fn() is called once a task and returns a function from a list of texts to one array per field.
-    All other columns pass through; a column of df that bears the name of a new one is replaced.
+    All other columns pass through; a column of df that bears the name of a new one, in any case, is replaced.
     """
-    names = {f.name for f in fields}
-    passed = [c for c in df.columns if c not in names and (keep_text or c != text_col)]
+    passed = [c for c in others(df.columns, [f.name for f in fields]) if keep_text or c != text_col]
     hidden = text_col not in passed
     source = df.select(*[F.col(quoted(c)) for c in passed], *([F.col(quoted(text_col)).alias("__text")] if hidden else []))
     column = "__text" if hidden else text_col

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, materialize, quoted, slices, spans, texts, words_of
+from .common import ALNUM, materialize, others, quoted, slices, spans, texts, words_of
 
 WINDOW = 10
 #: Words of a shard, each with a suffix array of its own, and of the benchmark items searched in one pass.
@@ -180,7 +180,7 @@ def one_pass(docs: DataFrame, items: Items, text_col: str, keep_text: bool) -> D
     shared = docs.sparkSession.sparkContext.broadcast(items)
     names = [f.name for f in FIELDS]
     earlier = all(c in docs.columns for c in names)
-    passed = [c for c in docs.columns if c not in names and c != text_col]
+    passed = [c for c in others(docs.columns, names) if c != text_col]
     source = docs.select(*[F.col(quoted(c)) for c in passed], F.col(quoted(text_col)), *([F.col(c) for c in names] if earlier else []))
     kept = passed + [text_col] * keep_text
     schema = T.StructType([source.schema[c] for c in kept] + FIELDS)

@@ -22,7 +22,7 @@ HEAD = CLASSES * SLOTS
 TAIL, ENDINGS = 64, 1024
 #: Outputs of the first step: the end, the head's classes, the tail's.
 STEPS = 1 + CLASSES + TAIL
-CONTEXT, DIM, NOISE, SLOT_NOISE, BATCH = 3, 16, 24, 8, 2048
+CONTEXT, DIM, NOISE, SLOT_NOISE, BATCH = 3, 16, 24, 6, 2048
 RATE = 0.1
 #: Counts that are broadcast (the most frequent words); all others are joined.
 KNOWN_WORDS = 1 << 17
@@ -35,11 +35,9 @@ END = np.uint64(0x5E7D5E7D5E7D5E7D)
 @dataclass
 class Lbl:
     embed: np.ndarray  # inputs, DIM
-    turn: np.ndarray  # CONTEXT, DIM, DIM
-    out: np.ndarray  # STEPS, DIM
-    bias: np.ndarray
-    word: np.ndarray  # HEAD, DIM: of a word within its class
-    word_bias: np.ndarray
+    turn: np.ndarray  # CONTEXT * DIM, DIM
+    out: np.ndarray  # STEPS, DIM and the bias
+    word: np.ndarray  # HEAD, DIM and the bias: of a word within its class
 
     def parts(self) -> list[np.ndarray]:
         return [getattr(self, f.name) for f in fields(self)]
@@ -179,56 +177,63 @@ def new_model(corpus: Corpus, seed: int = 5) -> Lbl:
     counts[: len(corpus.head_counts)] = corpus.head_counts
     own = counts / np.maximum(np.repeat(counts.reshape(CLASSES, SLOTS).sum(1), SLOTS), 1)
     word_bias = np.where(counts > 0, np.log(np.maximum(own, 1e-12)), NO_WORD)
-    turn = np.stack([np.eye(DIM, dtype=np.float32) / (k + 1) for k in range(CONTEXT)])
-    return Lbl(draw(1 + HEAD + ENDINGS, DIM), turn, draw(STEPS, DIM), np.log(share).astype(np.float32), draw(HEAD, DIM), word_bias.astype(np.float32))
+    turn = np.concatenate([np.eye(DIM, dtype=np.float32) / (k + 1) for k in range(CONTEXT)])
+    biased = lambda rows, bias: np.concatenate([rows, bias[:, None]], 1).astype(np.float32)
+    return Lbl(draw(1 + HEAD + ENDINGS, DIM), turn, biased(draw(STEPS, DIM), np.log(share)), biased(draw(HEAD, DIM), word_bias))
 
 
 def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places, in order, and the sums of their rows."""
-    by = np.argsort(at, kind="stable")
+    by = np.argsort(at.astype(np.uint16), kind="stable")
     at = at[by]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
-    return at[first], np.add.reduceat(rows[by], first, axis=0) if len(at) else rows
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[first], np.add.reduceat(rows[by], first, axis=0)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
-    return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.float32)
+    z = np.clip(z, -30, 30)
+    np.exp(-z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
 def train_on(model: Lbl, t: Tokens, share: np.ndarray, memory: list[np.ndarray], rng: np.random.Generator, rate: float = RATE) -> None:
     """One pass of noise-contrastive estimation over the tokens, by Adagrad. A batch shares its noise: first outputs drawn from
     `share`; and for the words within their classes, places in the class, all alike."""
-    before = contexts(t)
-    for base in range(0, len(t.outputs), BATCH):
-        ctx, y, w = before[:, base : base + BATCH], t.outputs[base : base + BATCH], t.words[base : base + BATCH]
-        noise, slots = rng.choice(len(share), NOISE, p=share), rng.integers(0, SLOTS, SLOT_NOISE)
-        seen = [model.embed[c] for c in ctx]
-        r = sum(x @ m for x, m in zip(seen, model.turn, strict=True))
-        g = (sigmoid((r * model.out[y]).sum(1) + model.bias[y] - np.log(NOISE * share[y])) - 1) / len(y)
-        gn = sigmoid(r @ model.out[noise].T + model.bias[noise] - np.log(NOISE * share[noise])) / len(y)
-        dr = g[:, None] * model.out[y] + gn @ model.out[noise]
-        out_at, d_out = summed(np.concatenate([y, noise]), np.concatenate([np.c_[g[:, None] * r, g], np.c_[gn.T @ r, gn.sum(0)]]))
-        changes = [(2, out_at, d_out[:, :-1]), (3, out_at, d_out[:, -1])]
+    before, odds, slot_odds = np.ascontiguousarray(contexts(t).T), np.log(NOISE * share).astype(np.float32), np.float32(np.log(SLOT_NOISE / SLOTS))
+    noises = rng.choice(len(share), (-(-len(t.outputs) // BATCH), NOISE), p=share)
+    for number, noise in enumerate(noises):
+        own = slice(number * BATCH, (number + 1) * BATCH)
+        ctx, y, w = before[own], t.outputs[own], t.words[own]
+        slots, unit = rng.integers(0, SLOTS, SLOT_NOISE), np.float32(1 / len(y))
+        x = model.embed[ctx].reshape(len(y), -1)
+        r = np.ones((len(y), DIM + 1), np.float32)  # the last column takes the bias
+        np.matmul(x, model.turn, out=r[:, :DIM])
+        mine, other = model.out[y], model.out[noise]
+        g = (sigmoid((r * mine).sum(1) - odds[y]) - 1) * unit
+        gn = sigmoid(r @ other.T - odds[noise]) * unit
+        dr = g[:, None] * mine + gn @ other
+        changes = [(2, *summed(np.concatenate([y, noise]), np.concatenate([g[:, None] * r, gn.T @ r])))]
         on = np.flatnonzero(w >= 0)
         if len(on):
-            on = on[np.argsort(w[on], kind="stable")]
-            w, rh = w[on], r[on]
-            others = (w // SLOTS)[:, None] * SLOTS + slots
-            far = model.word[others]
-            h = (sigmoid((rh * model.word[w]).sum(1) + model.word_bias[w] - np.log(SLOT_NOISE / SLOTS)) - 1) / len(y)
-            hn = sigmoid(np.einsum("bd,bkd->bk", rh, far) + model.word_bias[others] - np.log(SLOT_NOISE / SLOTS)) / len(y)
-            dr[on] += h[:, None] * model.word[w] + np.einsum("bk,bkd->bd", hn, far)
+            on = on[np.argsort(w[on].astype(np.uint16), kind="stable")]
+            w, r = w[on], r[on]
             first = np.flatnonzero(np.append(True, w[1:] // SLOTS != w[:-1] // SLOTS))  # of each class in the batch
-            wide = np.add.reduceat(np.concatenate([hn[:, :, None] * rh[:, None, :], hn[:, :, None]], 2).reshape(len(on), -1), first, axis=0)
-            own_at, own = summed(w, np.c_[h[:, None] * rh, h])
-            word_at, d_word = summed(np.concatenate([own_at, others[first].ravel()]), np.concatenate([own, wide.reshape(-1, DIM + 1)]))
-            changes += [(4, word_at, d_word[:, :-1]), (5, word_at, d_word[:, -1])]
-        in_at, d_in = summed(ctx.ravel(), np.concatenate([dr @ m.T for m in model.turn]))
-        changes += [(0, in_at, d_in), (1, slice(None), np.stack([x.T @ dr for x in seen]))]
+            others = (w[first] // SLOTS)[:, None] * SLOTS + slots
+            mine, far = model.word[w], np.repeat(model.word[others], np.diff(np.append(first, len(w))), axis=0)
+            h = (sigmoid((r * mine).sum(1) - slot_odds) - 1) * unit
+            hn = sigmoid((far @ r[:, :, None])[:, :, 0] - slot_odds) * unit
+            dr[on] += h[:, None] * mine + (hn[:, None, :] @ far)[:, 0]
+            wide = np.add.reduceat((hn[:, :, None] * r[:, None, :]).reshape(len(on), -1), first, axis=0)
+            each, d_word = summed(np.concatenate([w, others.ravel()]), np.concatenate([h[:, None] * r, wide.reshape(-1, DIM + 1)]))
+            changes.append((3, each, d_word))
+        dr = dr[:, :DIM]
+        changes += [(0, *summed(ctx.ravel(), (dr @ model.turn.T).reshape(-1, DIM))), (1, slice(None), x.T @ dr)]
         parts = model.parts()
         for k, at, d in changes:
-            memory[k][at] += d * d
-            parts[k][at] -= rate * d / (np.sqrt(memory[k][at]) + 1e-6)
+            m = memory[k][at] + d * d
+            memory[k][at] = m
+            parts[k][at] -= rate * d / (np.sqrt(m) + 1e-6)
 
 
 def fresh_memory(model: Lbl, start: float = 1e-6) -> list[np.ndarray]:
@@ -325,26 +330,28 @@ def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_softmax(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    top = z.max(1)
-    return z[np.arange(len(y)), y] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    """Of each row of z, which is overwritten, the entry y, normalised."""
+    z -= z.max(1)[:, None]
+    own = z[np.arange(len(y)), y]
+    return own - np.log(np.exp(z, out=z).sum(1))
 
 
 def log_probabilities(model: Lbl, t: Tokens) -> np.ndarray:
     """The natural logarithm of each token's first output given its context, normalised over all of them; and for a word of the
     head also of its place, normalised over its class."""
-    turned = [model.embed @ m for m in model.turn]
     before, out = contexts(t), np.zeros(len(t.outputs))
-    r = sum(x[c] for x, c in zip(turned, before, strict=True))
+    r = np.ones((len(out), DIM + 1), np.float32)
+    r[:, :DIM] = sum((model.embed @ m)[c] for m, c in zip(np.split(model.turn, CONTEXT), before, strict=True))
     for base in range(0, len(out), BATCH):
         to = base + BATCH
-        out[base:to] = log_softmax(r[base:to] @ model.out.T + model.bias, t.outputs[base:to])
+        out[base:to] = log_softmax(r[base:to] @ model.out.T, t.outputs[base:to])
     on = np.flatnonzero(t.words >= 0)
-    on = on[np.argsort(t.words[on] // SLOTS, kind="stable")]
+    on = on[np.argsort(t.words[on].astype(np.uint16), kind="stable")]
     edges = np.searchsorted(t.words[on] // SLOTS, np.arange(CLASSES + 1))
     for k in range(CLASSES):
-        at, own = on[edges[k] : edges[k + 1]], slice(k * SLOTS, (k + 1) * SLOTS)
+        at = on[edges[k] : edges[k + 1]]
         if len(at):
-            out[at] += log_softmax(r[at] @ model.word[own].T + model.word_bias[own], t.words[at] - k * SLOTS)
+            out[at] += log_softmax(r[at] @ model.word[k * SLOTS : (k + 1) * SLOTS].T, t.words[at] - k * SLOTS)
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, quoted
+from .common import id_text, materialize, others, quoted
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -116,7 +116,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs repeated as the mixture takes them: each row 0, 1 or 2 times; columns as before."""
     rows = docs.withColumn("h", mix_hash()).withColumn("size", n_words())
     keys = materialize(rows.select("source", "h", "size"), "sizes")
-    own = [c for c in docs.columns if c in ("h", "size", "copies", "source_size", "target", "copies_by_share", "top", "bounds")]
+    own = len(others(docs.columns, ("h", "size", "copies", "source_size", "target", "copies_by_share", "top", "bounds"))) < len(docs.columns)
     named = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__row"), "doc_id", "source", "text") if own else docs
     rows = named.withColumn("h", mix_hash()).withColumn("size", n_words())
     taken = mix(rows, keys).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,9 @@ SIMILAR = 0.8
 #: The chance that banding finds a pair of just the similarity asked for.
 RECALL = 0.9999
 ROWS = 5
-#: N-grams of the texts that one side of a verification task holds, and blocks up to which a whole component is verified
-#: together; the members of larger components meet bucket by bucket.
-BLOCK_LOAD = 1 << 20
+#: N-grams of the texts that one side of a verification task holds, and how many texts, and blocks up to which a whole component is
+#: verified together in any case; the members of larger ones meet bucket by bucket, if that brings fewer texts together.
+BLOCK_LOAD, BLOCK_ROWS = 1 << 20, 400
 MOST_BLOCKS = 8
 
 
@@ -69,7 +69,7 @@ def signatures(g: np.ndarray, n: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int) -> DataFrame:
-    """(key, id, set1, set2, n, bands) of each document; key identifies its id and text, set1 and set2 its n-gram set."""
+    """(k1, k2, id, set1, set2, n, bands) of each document; k1 and k2 identify its id and text, set1 and set2 its n-gram set."""
     fields = [T.StructField("set1", T.LongType()), T.StructField("set2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
     def start():
@@ -82,12 +82,14 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int) -> DataFrame
 
         return made
 
-    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    keyed = docs.select(*row_keys(id_col, text_col), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     return map_text(keyed, "text", fields, start, keep_text=False)
 
 
-def row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)), F.lit("")))
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of a row's id and text, as k1 and k2: with 64, some of ten billion rows would share them."""
+    ident, text = F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    return [F.xxhash64(ident, text).alias("k1"), F.xxhash64(F.lit(7), text, ident).alias("k2")]
 
 
 def candidate_pairs(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
@@ -200,34 +202,39 @@ def verify_tasks(rows: DataFrame, similar: float) -> DataFrame:
     return spread.mapInArrow(run, "key long, label long, links long")
 
 
-def routed(reps: DataFrame, members: DataFrame, load: int, most: int) -> DataFrame:
+def routed(reps: DataFrame, members: DataFrame, load: int, most: int, rows: int) -> DataFrame:
     """Which texts meet in which verification task: (key, routes: [(route, i, j, band, block)]).
 
-    reps: (key, n); members: (band, hash, key) of buckets with several texts. The texts of a component of buckets form a route;
-    where that is larger than `most` blocks, each bucket is one. A route of several blocks has a task for each two blocks.
+    reps: (key, n); members: (band, hash, key) of buckets with several texts. The texts of a component of buckets form a route, in
+    blocks of at most about `load` n-grams and `rows` texts; where that is more than `most` blocks, each bucket is a route, if so
+    fewer texts are sent. A route of several blocks has a task for each two blocks: however many texts are alike, a task holds two.
     """
     heads = members.groupBy("band", "hash").agg(F.min("key").alias("b"))
     groups = materialize(components(members.join(heads, ["band", "hash"]).select(F.col("key").alias("a"), "b")), "groups")
+    share = F.greatest(F.ceil(F.sum("n") / load), F.ceil(F.count("*") / rows)).alias("blocks")
     sized = groups.join(reps, groups.node == reps.key).select("key", "root", "n")
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n") / load).alias("blocks"))
-    sized = sized.join(blocks, "root")
-    whole = sized.where(F.col("blocks") <= most).select("key", F.col("root").alias("route"), "blocks", F.lit(-1).alias("band"))
-    wide = members.join(sized.where(F.col("blocks") > most).select("key", "n"), "key")
-    share = wide.groupBy("band", "hash").agg(F.ceil(F.sum("n") / load).alias("blocks"))
-    parts = wide.join(share, ["band", "hash"]).select("key", F.xxhash64("band", "hash").alias("route"), "blocks", "band")
-    placed = whole.union(parts).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), "blocks"))
+    whole = sized.groupBy("root").agg(share, F.count("*").alias("c"))
+    large = whole.where(F.col("blocks") > most).select("root", (F.col("c") * F.col("blocks")).alias("sent"))
+    wide = members.join(sized.join(large, "root"), "key")
+    buckets = wide.groupBy("root", "sent", "band", "hash").agg(share, F.count("*").alias("c"))
+    split = buckets.groupBy("root", "sent").agg(F.sum(F.col("c") * F.col("blocks")).alias("apart")).where(F.col("apart") < F.col("sent")).select("root")
+    split = materialize(split, "split")
+    together = sized.join(whole.select("root", "blocks"), "root").join(split, "root", "left_anti").select("key", F.col("root").alias("route"), "blocks", F.lit(-1).alias("band"))
+    parts = wide.join(split, "root", "left_semi").join(buckets.select("band", "hash", "blocks"), ["band", "hash"]).select("key", F.xxhash64("band", "hash").alias("route"), "blocks", "band")
+    placed = together.union(parts).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), "blocks"))
     each = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     task = F.struct("route", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "band", "block")
     return each.groupBy("key").agg(F.collect_list(task).alias("routes"))
 
 
-def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, recall: float = RECALL, load: int = BLOCK_LOAD, most: int = MOST_BLOCKS) -> DataFrame:
-    """One row per document: key, id, class_id, n_copies, n_links, first.
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, recall: float = RECALL, load: int = BLOCK_LOAD, most: int = MOST_BLOCKS, rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per document: k1, k2, id, class_id, n_copies, n_links, first.
 
     Documents are linked if the Jaccard similarity of their sets of word n-grams (A-Z in lower case, words by ASCII whitespace,
     a text of fewer words is one n-gram) is at least `similar`. n_links: how many other documents a document is linked to;
     n_copies: those of the very same set among them. class_id: the smallest id that links lead to. first marks the documents
-    of a class whose id is class_id (rows repeated as a whole are all marked).
+    of a class whose id is class_id (rows repeated as a whole are all marked). Copies count by their sets and are compared once;
+    n_links is exact, so that different texts which share a bucket are compared each with each, spread over many tasks.
 
     Null and empty texts have no n-grams: each is its own class, without links. A null id counts as the largest; a class of
     null ids only has class_id null. An empty table gives no rows. Columns other than the id and the text aren't read.
@@ -235,12 +242,12 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands = band_count(similar, recall)
     signs = materialize(signed(docs, id_col, text_col, bands), "signatures")
     some = signs.where(F.col("n") > 0)
-    sets = some.groupBy("set1", "set2").agg(F.min(F.struct("key", "n", "bands")).alias("r"), F.count("*").alias("copies"), F.min("id").alias("least"))
-    reps = materialize(sets.select("set1", "set2", "r.*", "copies", "least"), "sets")
+    sets = some.groupBy("set1", "set2").agg(F.min(F.struct("k1", "k2", "n", "bands")).alias("r"), F.count("*").alias("copies"), F.min("id").alias("least"))
+    reps = materialize(sets.select("set1", "set2", "r.*", "copies", "least", F.monotonically_increasing_id().alias("key")), "sets")
     spots = reps.select("key", F.posexplode("bands").alias("band", "hash"))
     full = spots.groupBy("band", "hash").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("band", "hash")
     members = materialize(spots.join(full, ["band", "hash"]), "buckets")
-    routes = routed(reps.select("key", "n"), members, load, most).join(reps.select("key", "copies", "bands"), "key")
+    routes = routed(reps.select("key", "n"), members, load, most, rows).join(reps.select("key", "k1", "k2", "copies", "bands"), "key")
 
     def start():
         def made(batch: list[bytes]) -> list:
@@ -249,18 +256,17 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return made
 
-    found = docs.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")).join(routes, "key")
-    rows = map_text(found, "text", [T.StructField("grams", T.ArrayType(T.LongType()))], start, keep_text=False)
-    rows = rows.select("key", "copies", "bands", "grams", F.inline("routes"))
-    checked = materialize(verify_tasks(rows, similar), "links")
+    found = docs.select(*row_keys(id_col, text_col), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")).join(routes, ["k1", "k2"]).drop("k1", "k2")
+    rows_ = map_text(found, "text", [T.StructField("grams", T.ArrayType(T.LongType()))], start, keep_text=False)
+    checked = materialize(verify_tasks(rows_.select("key", "copies", "bands", "grams", F.inline("routes")), similar), "links")
     linked = checked.groupBy("key").agg(F.sum("links").alias("links")).where(F.col("links") > 0)
     roots = components(checked.select(F.col("key").alias("a"), F.col("label").alias("b")))
     named = reps.select("set1", "set2", F.col("key").alias("node"), "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(linked.withColumnRenamed("key", "node"), "node", "left")
     tops = named.groupBy("root").agg(F.min("least").alias("class_id"))
     named = named.join(tops, "root").select("set1", "set2", "copies", F.coalesce("links", F.lit(0)).alias("links"), "class_id")
-    alone = signs.where(F.col("n") == 0).select("key", "id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
-    joined = some.join(named, ["set1", "set2"]).select("key", "id", "class_id", (F.col("copies") - 1).alias("n_copies"), (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.col("id").eqNullSafe(F.col("class_id")).alias("first"))
+    alone = signs.where(F.col("n") == 0).select("k1", "k2", "id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    joined = some.join(named, ["set1", "set2"]).select("k1", "k2", "id", "class_id", (F.col("copies") - 1).alias("n_copies"), (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.col("id").eqNullSafe(F.col("class_id")).alias("first"))
     return joined.union(alone)
 
 
@@ -271,13 +277,12 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     names = [F.col(quoted(c)) for c in docs.columns]
     classes = materialize(ngram_classes(docs, id_col, text_col), "classes")
-    firsts = classes.where("first and n_copies + n_links > 0").groupBy("class_id").agg(F.min("key").alias("least"))
-    many = classes.where("n_copies + n_links > 0").join(firsts, classes.class_id.eqNullSafe(firsts.class_id))
-    gone = many.where(F.col("key") != F.col("least")).select("key").distinct()
-    twice = materialize(classes.groupBy("key").count().where("count > 1").select("key"), "repeated")
-    left = docs.withColumn("__key", row_key(id_col, text_col))
-    left = left.join(gone, left["__key"] == gone["key"], "left_anti")
+    linked = classes.where("n_copies + n_links > 0").withColumn("key", F.struct("k1", "k2"))
+    firsts = linked.where("first").groupBy("class_id").agg(F.min("key").alias("least"))
+    gone = linked.join(firsts, linked.class_id.eqNullSafe(firsts.class_id)).where(F.col("key") != F.col("least")).select("k1", "k2").distinct()
+    twice = materialize(classes.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "repeated")
+    left = docs.select(F.struct(*names).alias("row"), *row_keys(id_col, text_col)).join(gone, ["k1", "k2"], "left_anti")
     if not twice.isEmpty():
-        once = left.join(twice, left["__key"] == twice["key"], "left_semi").dropDuplicates(["__key"])
-        left = left.join(twice, left["__key"] == twice["key"], "left_anti").union(once)
-    return left.select(*names)
+        once = left.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        left = left.join(twice, ["k1", "k2"], "left_anti").unionByName(once)
+    return left.select("row.*")

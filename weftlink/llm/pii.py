@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, quoted
+from .common import map_text, others, quoted
 
-KEY = b"weftlink pseudonyms"
+#: The setting of the session that holds the key. Spark keeps settings of this name out of its logs and pages.
+KEY_SETTING = "spark.weftlink.secret"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 KINDS = ("email", "phone", "card", "ip", "ssn", "date")
@@ -35,7 +37,7 @@ def rounded(key: bytes, tweak: str, n: int, half: int, size: int) -> int:
     return int.from_bytes(said, "big") % size
 
 
-def permute(value: int, size: int, tweak: str, key: bytes = KEY, back: bool = False) -> int:
+def permute(value: int, size: int, tweak: str, key: bytes, back: bool = False) -> int:
     """A keyed permutation of 0 to size - 1: a Feistel network on pairs (left, right), walked until it stays in range."""
     if size < 2:
         return value
@@ -163,7 +165,7 @@ def day(text: str, key: bytes, back: bool) -> str | None:
 RULES = {"email": email, "phone": phone, "card": card, "ip": ip, "ssn": ssn, "date": day}
 
 
-def pseudonyms(text: bytes, key: bytes = KEY, back: bool = False) -> tuple[bytes, dict[str, int]]:
+def pseudonyms(text: bytes, key: bytes, back: bool = False) -> tuple[bytes, dict[str, int]]:
     """The text with its validated values exchanged, and how many of each kind; back: undo it."""
     if not HINT.search(text):
         return text, {}
@@ -180,13 +182,24 @@ def pseudonyms(text: bytes, key: bytes = KEY, back: bool = False) -> tuple[bytes
     return FOUND.sub(swap, text), counts
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, back: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key: as set, or else drawn once, so that nobody without it can undo the pseudonyms."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool = False) -> DataFrame:
     """docs with each validated value in the text exchanged for its pseudonym, and the columns n_email, n_phone, n_card, n_ip, n_ssn, n_date.
 
     Equal values get equal pseudonyms in all documents, in the same format; back=True undoes it. Numbers that fail their check
     (Luhn, parts over 255, days that don't exist) stay. A null text stays null, an empty one empty; repeated rows are treated
     alike, an empty table gives none. Columns of docs with the names of the counts are replaced.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     counts = [f"n_{k}" for k in KINDS]
     fields = [T.StructField("__new", T.StringType())] + [T.StructField(c, T.LongType()) for c in counts]
 
@@ -197,6 +210,5 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, back
 
         return made
 
-    kept = [c for c in docs.columns if c not in counts]
-    out = map_text(docs.select(*[F.col(quoted(c)) for c in kept]), text_col, fields, start)
+    out = map_text(docs.select(*[F.col(quoted(c)) for c in others(docs.columns, counts)]), text_col, fields, start)
     return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__new"))).drop("__new")

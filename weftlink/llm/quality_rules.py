@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .common import Words, labelled_sample, map_text, mix, platt, range_sums, spans, window_hashes, words_of
 
-#: Weights a feature group has: words, word pairs, 3 bytes, 4 bytes.
+#: Weights a feature group has: words, word pairs, 3 characters, 4 characters.
 GROUP = 1 << 13
 GROUPS = 4
 SYMBOLS = b"#*$%&|<>"
@@ -62,16 +62,32 @@ def text_stats(batch: list[bytes], words: Words) -> list[np.ndarray]:
     return [words.n, range_sums(CHAR[words.raw], words.at, size), range_sums(SYMBOL[words.raw], words.at, size), np.array([len(x) - len(set(x)) for x in lines], np.int64), range_sums(np.cumsum(edge)[:-1] > 0, first, words.n)]
 
 
-def group_indexes(raw: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+def characters(raw: np.ndarray) -> np.ndarray:
+    """The characters of UTF-8 bytes, each as its bytes in one number."""
+    if not len(raw) or raw.max() < 128:
+        return raw.astype(np.uint32)
+    at = np.flatnonzero(raw & 0xC0 != 0x80)
+    size = np.diff(np.append(at, len(raw)))
+    out = raw[at].astype(np.uint32)
+    for k in range(1, 4):
+        long = np.flatnonzero(size > k)
+        out[long] |= raw[at[long] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
+def n_characters(batch: list[bytes]) -> np.ndarray:
+    return np.array([len(t) if t.isascii() else int((np.frombuffer(t, np.uint8) & 0xC0 != 0x80).sum()) for t in batch], np.int64)
+
+
+def group_indexes(chars: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
     """For each feature group, the weight that each n-gram of the whole text falls on."""
     mask = np.uint64(GROUP - 1)
     pairs = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) >> np.uint64(40) & mask
     pairs[hashes[:-1] == hashes[1:]] = 0  # a word that follows itself is one feature, whatever the word
-    wide = raw.astype(np.uint32)
-    three = wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16
-    four = three[:-1] | wide[3:] << 24
-    shift = np.uint32(32 - GROUP.bit_length() + 1)
-    return [x.astype(np.int64) for x in (hashes & mask, pairs, *((x * np.uint32(2654435761)) >> shift for x in (three, four)))]
+    step, shift = np.uint32(0x01000193), np.uint32(32 - GROUP.bit_length() + 1)
+    three = (chars[:-2] * step + chars[1:-1]) * step + chars[2:]
+    four = three[:-1] * step + chars[3:]
+    return [x.astype(np.int64) for x in (hashes & mask, pairs, *(((x ^ x >> np.uint32(15)) * np.uint32(2654435761)) >> shift for x in (three, four)))]
 
 
 def features(batch: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,7 +95,7 @@ def features(batch: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for t in batch:
         at, val = [], []
-        for k, x in enumerate(group_indexes(np.frombuffer(t, np.uint8), words_of([t]).hashes)):
+        for k, x in enumerate(group_indexes(characters(np.frombuffer(t, np.uint8)), words_of([t]).hashes)):
             if len(x):
                 i, n = np.unique(x, return_counts=True)
                 at.append(i + k * GROUP)
@@ -91,9 +107,10 @@ def features(batch: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 def raw_scores(weights: np.ndarray, batch: list[bytes], words: Words) -> np.ndarray:
     """The model's linear score of each text: as from features(), without building the vectors."""
     first, _ = spans(words.n)
-    size = np.array([len(t) for t in batch], np.int64)
+    size = n_characters(batch)
+    at = np.cumsum(size + 1) - size - 1  # a space stands after each text
     out = np.full(len(batch), weights[-1])
-    for k, (x, a, n) in enumerate(zip(group_indexes(words.raw, words.hashes), (first, first, words.at, words.at), (words.n, words.n - 1, size - 2, size - 3), strict=True)):
+    for k, (x, a, n) in enumerate(zip(group_indexes(characters(words.raw), words.hashes), (first, first, at, at), (words.n, words.n - 1, size - 2, size - 3), strict=True)):
         out += range_sums(weights[k * GROUP : (k + 1) * GROUP][x], a, n) / np.maximum(n, 1)
     return out
 

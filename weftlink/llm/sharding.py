@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, quoted
+from .common import materialize, others, quoted
 
 SHARDS = 16
 SEED = 20_241
@@ -24,9 +24,10 @@ def interleave(docs: DataFrame, shards: int = SHARDS, source_col: str = "source"
     then of the fractional rank, the counts are summed up, and only the rows of a run are numbered together.
 
     A null source is a source of its own; null ids and repeated rows are ranked like others (equal rows are interchangeable).
+    Equal texts go their own ways: they are ranked like any rows, and so spread evenly over the shards.
     An empty table gives no rows. Columns of docs named shard or slot are replaced. `tie` should tell all rows apart.
     """
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    kept = others(docs.columns, ("shard", "slot"))
     total = docs.count()
     bits = min(40, max(6, math.ceil(math.log2(max(total, 1) / RUN))))
     src, ties = F.col(quoted(source_col)), [F.col(quoted(c)) for c in tie]
