@@ -195,14 +195,15 @@ def test_components(spark, monkeypatch, hub):
 # --- WARC
 
 
-@pytest.mark.parametrize("chunk", [warc.CHUNK_BYTES, 7])
-def test_archives_come_back(spark, tmp_path, chunk):
+@pytest.mark.parametrize(("chunk", "hot"), [(warc.CHUNK_BYTES, warc.HOT_COPIES), (7, 2)])
+def test_archives_come_back(spark, tmp_path, monkeypatch, chunk, hot):
+    monkeypatch.setattr(warc, "HOT_COPIES", hot)
     html = ["<p>x</p>", "<p>x</p>", None, "", "a\r\n\r\nb\r\n\r\n", "\r\n\r\n", "\r\n", "é漢字" * 50, "WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n", "long " * 3000, "<p>x</p>", "end\r", "\r\n\r\n\r\n\r\nx"]
     rows = [(k, f"http://x/{k}\r\n y" if k % 2 else None, t, "more") for k, t in enumerate(html)] + [(None, None, "<p>x</p>", None), (None, None, "alone", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
     warc.write_archives(pages, f"file://{tmp_path}/w", chunk=chunk)
     parts = collections.defaultdict(list)
-    for r in warc.read_chunks(spark, f"file://{tmp_path}/w").collect():
+    for r in warc.read_chunks(spark, f"file://{tmp_path}/w").where("record_type <> 'warcinfo'").collect():
         parts[r.page_id, r.record_id].append(r)
     assert len(parts) == len(rows)
     text = {}
@@ -226,7 +227,15 @@ def test_archives_come_back(spark, tmp_path, chunk):
         assert done == (t if last.record_type == "response" else b"")
     assert sorted((r.record_type, r.refers_to) for r, _ in text[None]) == [("response", None), ("revisit", 10)]
     warc.write_archives(pages.where("false"), f"file://{tmp_path}/none")
-    assert warc.read_chunks(spark, f"file://{tmp_path}/none").count() == 0
+    assert warc.read_chunks(spark, f"file://{tmp_path}/none").where("record_type <> 'warcinfo'").count() == 0
+    for file in tmp_path.glob("w/*.warc.gz"):  # each record is a gzip member of its own
+        rest, members = file.read_bytes(), 0
+        while rest:
+            unzip = zlib.decompressobj(31)
+            one = unzip.decompress(rest)
+            assert one.startswith(b"WARC/1.1\r\n") and one.endswith(b"\r\n\r\n") and unzip.eof
+            rest, members = unzip.unused_data, members + 1
+        assert members
     warc.write_archives(pages, f"file://{tmp_path}/big", revisit_bytes=9)
     assert {r.page_id for r in warc.read_chunks(spark, f"file://{tmp_path}/big", with_payload=False).where("record_type = 'revisit'").collect()} == set()
 

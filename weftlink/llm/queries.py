@@ -32,7 +32,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc.read_chunks(spark, folder, with_payload=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_chunks(spark, folder, with_payload=False).where("last and record_type <> 'warcinfo'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -10,9 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, slices
+
 BREAK = b"\r\n\r\n"
 #: Bytes of a block that one record holds; longer ones go on in continuation records.
 CHUNK_BYTES = 1 << 18
+#: A record is a gzip member, whose last byte is 0 as long as the record is shorter than 2**24 bytes. It is left to Spark's writer,
+#: which puts it after each value.
+MEMBER_END = b"\0"
+#: Equal payloads from which on a group is joined without a shuffle; a 5,000th of all pages, if that is more, so that few groups can be.
+HOT_COPIES, HOT_GROUPS = 10_000, 5000
 #: Payloads from this size on are stored once; equal ones become revisits.
 REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -47,48 +55,86 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, s
         yield header(WARC_Type="revisit", WARC_Record_ID=name, **common, WARC_Profile=profile, WARC_Payload_Digest=f"sha1:{digest}", X_Refers_To_Page=refers_to, X_Payload_Bytes=size, Content_Length=0) + BREAK
         return
     block = HTTP + f"\r\nContent-Length: {len(payload)}".encode() + BREAK
-    parts = list(pieces(payload, chunk))
-    many = len(parts) > 1
-    for k, part in enumerate(parts):
+    many, grown, written = len(payload) > chunk, hashlib.sha1(), 0
+    for k, part in enumerate(pieces(payload, chunk)):  # one piece at a time, and never a second copy of the payload
+        grown.update(part)
+        written += len(part)
+        last = written == len(payload)
+        if last and base64.b32encode(grown.digest()).decode() != digest:
+            raise ValueError(f"page {page_id}: the pieces don't add up to the payload")
         body = block + part if k == 0 else part
         if k == 0:
             head = header(WARC_Type="response", WARC_Record_ID=name, **common, WARC_Payload_Digest=f"sha1:{digest}", Content_Type="application/http; msgtype=response", WARC_Segment_Number=1 if many else None, Content_Length=len(body))
         else:
-            total = len(block) + len(payload) if k == len(parts) - 1 else None
+            total = len(block) + len(payload) if last else None
             head = header(WARC_Type="continuation", WARC_Record_ID=f"{name[:-1]}:{k + 1}>", WARC_Date=DATE, WARC_Segment_Origin_ID=name, WARC_Segment_Number=k + 1, WARC_Segment_Total_Length=total, Content_Length=len(body))
         yield head + BREAK + body
 
 
+def member(record: bytes) -> bytes:
+    """The record as a gzip member of its own, without its last byte."""
+    out = gzip.compress(record + BREAK, 6, mtime=0)
+    if not out.endswith(MEMBER_END):
+        raise ValueError("a record is too long for a gzip member")
+    return out[:-1]
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """rows (page_id, sha1, size, ...) with top, the largest page_id of the rows with the same payload if there are several.
+
+    Large groups of copies, an empty page's or an error page's, aren't brought together: their few digests are broadcast.
+    """
+    best = rows.groupBy(F.col("sha1").alias("s"), F.col("size").alias("b")).agg(F.max("page_id").alias("top"), F.count("*").alias("c")).where(F.col("c") > 1)
+    best = materialize(best, "copies")
+    many = max(HOT_COPIES, rows.count() // HOT_GROUPS)
+    hot, cold = best.where(F.col("c") > many).select("s", "b", "top"), best.where(F.col("c") <= many).select("s", "b", "top")
+    same = (F.col("sha1") == F.col("s")) & (F.col("size") == F.col("b"))
+    if hot.isEmpty():
+        return rows.join(cold, same, "left").drop("s", "b")
+    others = rows.join(F.broadcast(hot.drop("top")), same, "left_anti").join(cold, same, "left").drop("s", "b")
+    return rows.join(F.broadcast(hot), same).drop("s", "b").unionByName(others)
+
+
 def write_archives(pages: DataFrame, folder: str, chunk: int = CHUNK_BYTES, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Write a record for each row of pages (page_id, url, html) into gzipped WARC files in folder.
+    """Write a record for each row of pages (page_id, url, html) into WARC files in folder, each record a gzip member.
 
     Of rows with equal payloads of at least revisit_bytes, those with the largest page_id are responses and the others
     revisits; a null id counts as the smallest, and if all are null, all are responses. A null html is an empty payload.
-    Rows go as they come, repeated or not; an empty table writes files without records. Columns but the three aren't read.
-    A file's records end in two line breaks, which is the line separator that Spark writes and reads them with.
+    Rows go as they come, repeated or not; an empty table writes files without pages. Columns but the three aren't read.
+    A payload is a value of its row and so in memory once; it is written, and its digest checked, piece by piece.
+    Spark's text writer writes the files, which the driver then names .warc.gz.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("body")).withColumn("sha1", F.sha1("body")).withColumn("size", F.octet_length("body").cast("long"))
-    best = rows.groupBy("sha1", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("c")).where(F.col("c") > 1).select(F.col("sha1").alias("s"), F.col("size").alias("b"), "top")
-    rows = rows.join(best, (rows["sha1"] == best["s"]) & (rows["size"] == best["b"]), "left")
+    rows = marked(rows)
     revisit = F.coalesce((F.col("size") >= revisit_bytes) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.lit(False))
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("body")).alias("body"), "sha1", "size", "top", revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = b"software: weftlink\r\nformat: WARC File Format 1.1\r\n"
+        out = [member(header(WARC_Type="warcinfo", WARC_Record_ID="<urn:weftlink:info>", WARC_Date=DATE, Content_Type="application/warc-fields", Content_Length=len(said)) + BREAK + said)]
+        held = 0
         for batch in batches:
-            out, held = [], 0
-            cols = [batch.column(c) for c in ("page_id", "url", "body", "sha1", "size", "top", "revisit")]
-            for k in range(len(batch)):
-                page, url, body, sha1, size, top, again = (c[k].as_py() for c in cols)
-                for r in records(page, url, body or b"", base64.b32encode(bytes.fromhex(sha1)).decode(), size, top, again, chunk):
-                    out.append(r)
-                    held += len(r)
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
-                        out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
-
-    rows.mapInArrow(run, "value string").write.option("lineSep", BREAK.decode()).option("compression", "gzip").option("maxRecordsPerFile", 100_000).text(folder)
+            for part in slices(batch, "body"):
+                cols = [part.column(c) for c in ("page_id", "url", "body", "sha1", "size", "top", "revisit")]
+                for k in range(len(part)):
+                    page, url, body, sha1, size, top, again = (c[k].as_py() for c in cols)
+                    for r in records(page, url, body or b"", base64.b32encode(bytes.fromhex(sha1)).decode(), size, top, again, chunk):
+                        out.append(member(r))
+                        held += len(out[-1])
+                        if held > 4 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                            out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", MEMBER_END.decode()).option("maxRecordsPerFile", 100_000).text(folder)
+    path = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for file in fs.listStatus(path):
+        if file.getPath().getName().endswith(".txt"):
+            fs.rename(file.getPath(), path.suffix("/" + file.getPath().getName().removesuffix(".txt") + ".warc.gz"))
 
 
 class Reader:
@@ -135,7 +181,7 @@ class Reader:
             f = self.fields
             number = lambda k: int(f[k]) if f.get(k) else None
             self.open = {"id": f.get("warc-record-id"), "page": number("x-page-id"), "type": kind, "refers": number("x-refers-to-page"), "sha1": hashlib.sha1(), "bytes": 0, "no": 0, "said": f.get("warc-payload-digest", "").removeprefix("sha1:"), "size": number("x-payload-bytes")}
-        self.phase = "http" if kind == "response" else "payload"
+        self.phase = "http" if kind == "response" else "payload"  # a response's payload comes after its HTTP header
         yield from self.close_block()
 
     def chunk(self, data: bytes, last: bool = False) -> tuple:
@@ -160,8 +206,10 @@ def read_chunks(spark: SparkSession, folder: str, with_payload: bool = True) ->
     """The archives in folder as rows of record and chunk number, in the columns CHUNKS.
 
     payload_bytes and payload_digest (base32 SHA-1) cover the record's payload up to and with the chunk; a record's last row has
-    no bytes of its own and the whole record's values (a revisit's are those its header states). No record is held whole: what is
-    read at a time reaches to the next empty line or the writer's chunk size. gzip files aren't split, so one task reads a file in order.
+    no bytes of its own and the whole record's values (a revisit's are those its header states). A warcinfo record has rows, too,
+    without a page. No record of an archive of write_archives is held whole: what is read at a time reaches to the next empty line or
+    the end of a record, which has at most the writer's chunk size. In an archive from elsewhere a long payload without an empty line
+    comes as one piece. gzip files aren't split, so one task reads a file in order.
     """
     source = spark.read.option("lineSep", BREAK.decode()).text(folder).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
 
