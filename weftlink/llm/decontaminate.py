@@ -17,9 +17,10 @@ WINDOW = 10
 #: Words of a shard, each with a suffix array of its own, and of the benchmark items searched in one pass.
 SHARD_WORDS = 1 << 20
 BLOCK_WORDS = 1 << 19
+#: Tasks that a text's later results are sent to.
+SALTS = 8
 #: Occurrences handled at a time.
 AT_ONCE = 1 << 18
-LISTS = ["hit_starts", "hit_ends"]
 FIELDS = [
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("hit_starts", T.ArrayType(T.LongType())), T.StructField("hit_ends", T.ArrayType(T.LongType())),
@@ -148,47 +149,40 @@ def search(items: Items, hashes: np.ndarray, n_words: np.ndarray) -> tuple[np.nd
     return np.cumsum(hit)[:-1] > 0, np.stack([both // max(len(items.ids), 1), both % max(len(items.ids), 1)], 1), longest
 
 
-def merged(items: Items, batch: list[bytes], before: dict[str, list]) -> list[pa.Array]:
-    """The columns FIELDS of a shard, joined with those of earlier passes."""
+def found(items: Items, batch: list[bytes]) -> list[pa.Array]:
+    """The columns FIELDS of a shard."""
     w = words_of(batch, ALNUM, lower=True)
     hit, pairs, longest = search(items, w.hashes, w.n)
     first, last = spans(w.n)
-    found: list[set] = [set(x or ()) for x in before["items"]]
+    of: list[set] = [set() for _ in batch]
     for d, i in pairs.tolist():
-        found[d].add(items.ids[i])
-    n_hit, starts, ends, top = [], [], [], []
+        of[d].add(items.ids[i])
+    n_hit, starts, ends = [], [], []
     for d in range(len(batch)):
-        mark = hit[first[d] : last[d]]
-        if before["hit_starts"][d]:
-            mark = mark.copy()
-            for a, b in zip(before["hit_starts"][d], before["hit_ends"][d], strict=True):
-                mark[a:b] = True
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[d] : last[d]].astype(np.int8), [0]])))
         starts.append(edge[::2])
         ends.append(edge[1::2])
         n_hit.append(int((edge[1::2] - edge[::2]).sum()))
-        own = (int(longest[d, 0]), items.ids[longest[d, 1]], int(longest[d, 2])) if longest[d, 0] else (0, None, None)
-        top.append(max(own, (before["longest"][d] or 0, before["longest_item"][d], before["longest_at"][d]), key=lambda x: x[0]))
+    top = [(int(n), items.ids[i], int(at)) if n else (0, None, None) for n, i, at in longest.tolist()]
     lists = pa.list_(pa.int64())
     return [
-        pa.array(w.n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(starts, lists), pa.array(ends, lists),
+        pa.array(w.n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in of], pa.list_(pa.string())), pa.array(starts, lists), pa.array(ends, lists),
         pa.array([x[0] for x in top], pa.int64()), pa.array([x[1] for x in top], pa.string()), pa.array([x[2] for x in top], pa.int64()),
     ]
 
 
 def one_pass(docs: DataFrame, items: Items, text_col: str, keep_text: bool) -> DataFrame:
+    """docs with FIELDS, searched for the items in shards, each with a suffix array of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     names = [f.name for f in FIELDS]
-    earlier = all(c in docs.columns for c in names)
     passed = [c for c in others(docs.columns, names) if c != text_col]
-    source = docs.select(*[F.col(quoted(c)) for c in passed], F.col(quoted(text_col)), *([F.col(c) for c in names] if earlier else []))
+    source = docs.select(*[F.col(quoted(c)) for c in passed], F.col(quoted(text_col)))
     kept = passed + [text_col] * keep_text
     schema = T.StructType([source.schema[c] for c in kept] + FIELDS)
 
     def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        before = {c: rows.column(c).to_pylist() if earlier else [None] * len(rows) for c in names}
-        return pa.RecordBatch.from_arrays([rows.column(c) for c in kept] + merged(shared.value, texts(rows, text_col), before), names=kept + names)
+        return pa.RecordBatch.from_arrays([rows.column(c) for c in kept] + found(shared.value, texts(rows, text_col)), names=kept + names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
@@ -206,25 +200,64 @@ def one_pass(docs: DataFrame, items: Items, text_col: str, keep_text: bool) -> D
     return source.mapInArrow(run, schema)
 
 
+def joined_passes(first: DataFrame, more: list[DataFrame]) -> DataFrame:
+    """first, the first block's pass over all documents with the keys __t1 and __t2 of their texts, joined with the later blocks' narrow
+    results of the texts that hold something: hit runs united, items merged, the longest match of all (of equals the earliest block's)."""
+    rest = more[0]
+    for x in more[1:]:
+        rest = rest.unionByName(x)
+    rest = rest.groupBy("__t1", "__t2").agg(F.array_sort(F.collect_list(F.struct("__block", *[F.col(f.name) for f in FIELDS[2:]]))).alias("__r")).select(F.col("__t1").alias("__k1"), F.col("__t2").alias("__k2"), "__r")
+    rest = materialize(rest, "found")
+    # a text that a third of all documents share: its key is dealt over tasks with the documents
+    salted = rest.withColumn("__s0", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = [F.col(quoted(f.name)) for f in first.schema.fields if f.name not in {x.name for x in FIELDS} and "map<" not in f.dataType.simpleString()]
+    out = first.withColumn("__s", F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).join(salted, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")) & (F.col("__s") == F.col("__s0")), "left")
+    runs = lambda starts, ends: F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    every = F.array_sort(F.concat(runs(F.col("hit_starts"), F.col("hit_ends")), F.flatten(F.transform("__r", lambda x: runs(x["hit_starts"], x["hit_ends"])))))
+    # runs in order of their starts: one that begins within the last one, or right after it, makes it longer
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    last = lambda u: F.element_at(u, -1)
+    longer = lambda u, x: F.concat(F.slice(u, 1, F.size(u) - 1), F.array(F.struct(last(u)["a"].alias("a"), F.greatest(last(u)["b"], x["b"]).alias("b"))))
+    united = F.aggregate(every, none, lambda u, x: F.when((F.size(u) > 0) & (F.get(u, F.size(u) - 1)["b"] >= x["a"]), longer(u, x)).otherwise(F.concat(u, F.array(x))))
+    top = F.aggregate("__r", F.struct("longest", "longest_item", "longest_at"), lambda t, x: F.when(x["longest"] > t["longest"], F.struct(x["longest"].alias("longest"), x["longest_item"].alias("longest_item"), x["longest_at"].alias("longest_at"))).otherwise(t))
+    more_found = F.col("__r").isNotNull()
+    out = out.withColumns({"__u": F.when(more_found, united), "__t": F.when(more_found, top)})
+    new = {
+        "n_hit": F.when(more_found, F.aggregate("__u", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])).otherwise(F.col("n_hit")),
+        "items": F.when(more_found, F.array_sort(F.array_union("items", F.flatten(F.col("__r.items"))))).otherwise(F.col("items")),
+        "hit_starts": F.when(more_found, F.col("__u.a")).otherwise(F.col("hit_starts")), "hit_ends": F.when(more_found, F.col("__u.b")).otherwise(F.col("hit_ends")),
+        **{c: F.when(more_found, F.col(f"__t.{c}")).otherwise(F.col(c)) for c in ("longest", "longest_item", "longest_at")},
+    }
+    return out.withColumns(new).drop("__t1", "__t2", "__k1", "__k2", "__r", "__s0", "__s", "__u", "__t")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep_text: bool = True, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Append to docs what of the benchmark they hold: n_words, n_hit, items (ids), hit_starts and hit_ends (runs of hit words),
     and the longest verbatim match: its words, item and word position.
 
-    benchmark has item_id and text. Its items are searched block_words at a time, one pass over docs for each block.
+    benchmark has item_id and text. Its items are searched block_words at a time, one pass over the texts for each block; of the
+    passes after the first only what they find is written, by text, and joined.
     A null or empty text has no words; an item without words is never found, a null item_id reads as the empty text, and
     repeated ids count once. Repeated documents get equal results. Columns of docs with the names of new ones are replaced.
     """
     keyed = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * block_words)))
-    out = docs.drop(*[f.name for f in FIELDS])
-    for k in range(blocks):
+
+    def items(k: int) -> Items:
         rows = (keyed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else keyed).distinct().toPandas()
         rows = rows.sort_values(["item_id", "text"])
-        last = k == blocks - 1
-        out = one_pass(out, items_of(rows["item_id"].tolist(), [t.encode() for t in rows["text"]]), text_col, keep_text or not last)
-        out = out if last else materialize(out, "leaks")
-    return out
+        return items_of(rows["item_id"].tolist(), [t.encode() for t in rows["text"]])
+
+    if blocks == 1:
+        return one_pass(docs, items(0), text_col, keep_text)
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    keys = [F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(7), text).alias("__t2")]
+    more = []
+    for k in range(1, blocks):
+        narrow = one_pass(docs.select(*keys, text.alias("text")), items(k), "text", keep_text=False).where(F.col("n_hit") > 0)
+        more.append(materialize(narrow.dropDuplicates(["__t1", "__t2"]).withColumn("__block", F.lit(k)), "leaks"))
+    return joined_passes(one_pass(docs.select("*", *keys), items(0), text_col, keep_text), more)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
