@@ -195,6 +195,17 @@ def cache_stats(cache: DataFrame, listing: DataFrame) -> DataFrame:
     return cache.join(there, F.lower("ImagePath") == F.col("__p"), "left").agg(F.count("*").alias("entries"), F.count("__there").alias("existing"))
 
 
+def ordered_presets(presets: DataFrame) -> DataFrame:
+    """presets (name, width, height) with their place by area, width, height and name in any case, then as spelled."""
+    keyed = presets.withColumn("__area", F.col("width").cast("long") * F.col("height")).withColumn("__low", F.lower("name"))
+    return numbered(keyed, [], ["__area", "width", "height", "__low", "name"]).drop("__area", "__low")
+
+
+def ordered_unmapped(players: DataFrame) -> DataFrame:
+    """Players with their place by family name, surname and id."""
+    return numbered(players, [], ["FamilyName", "SurName", "PlayerId"])
+
+
 def merged_models(configured: DataFrame, found: DataFrame, col: str = "model") -> DataFrame:
     """Models of both lists, each once in any case, as configured if it is; configured ones first."""
     both = configured.select(col, F.lit(0).alias("rank")).unionByName(found.select(col, F.lit(1).alias("rank"))).where(~blank(F.col(col)))

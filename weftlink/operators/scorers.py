@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import PROVIDERS
-from ..schemas import BATCH, PASSES, SCORER_SURE
+from ..schemas import BATCH, CLOSE, PASSES, SCORER_SURE
 from ..storage import written
 from .matching import listed_pairs, rankable, ranked_candidates, winners, with_names
 
@@ -162,6 +162,15 @@ def judged(answers: DataFrame, threshold: float, margin: float) -> DataFrame:
     return out.select("player_seq", "b.cand_seq", "b.confidence", "b.error", ahead.alias("margin"), F.col("n").cast("int").alias("comparisons"), reason.alias("reason"))
 
 
+def best_of_many(answers: DataFrame, close: float = CLOSE) -> DataFrame:
+    """(player_seq, cand_seq, confidence, ahead, close) of one name asked against many: the best answer (the first of equals), how far
+    it is ahead of the second (of nothing: its confidence), and whether that is so little that the two can't be told apart."""
+    first = answers.groupBy("player_seq").agg(F.max_by(F.struct("cand_seq", "place"), F.struct("confidence", -F.col("place"))).alias("b"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    rest = answers.join(first.select("player_seq", "b.place"), ["player_seq", "place"], "left_anti").groupBy("player_seq").agg(F.max("confidence").alias("second"))
+    rows = first.join(rest, "player_seq", "left").withColumn("ahead", F.col("confidence") - F.coalesce("second", F.lit(0.0)))
+    return rows.select("player_seq", "b.cand_seq", "confidence", "ahead", ((F.col("n") > 1) & (F.col("ahead") < close)).alias("close"))
+
+
 def preferred(batch: DataFrame, single: DataFrame) -> DataFrame:
     """Of a player's two attempts the better one: an accepted single one, else that with the higher confidence, the batch's if equal."""
     cols = [c for c in batch.columns if c != "player_seq"]

@@ -34,6 +34,8 @@ STATUSES = ("Pending", "Completed", "Failed", "Skipped")
 MARGIN, SURE = 0.07, 0.98
 #: The same for scorers, from which confidence on a lead isn't needed.
 SCORER_SURE = 0.90
+#: The lead under which the best two of many count as too close.
+CLOSE = 0.07
 #: Pairs that one scorer call takes.
 BATCH = 24
 #: Shortlists of the scorer's passes: candidates, least score, or distance to the best; and the margin asked for.
