@@ -72,14 +72,6 @@ def test_mixture_of_nothing_and_repeats(spark, docs, empty):
     assert {(r.target, r.copies) for r in mixing.mix(rows, rows.select("source", "h", "size")).collect()} == {(0.0, 1)}
 
 
-def test_mixture_against_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    cur = con.execute(queries.SQL["op1_mix_sources"])
-    cols = [c[0] for c in cur.description]
-    assert sorted(cur.fetchall()) == sorted(tuple(r) for r in queries.op1_mix_sources(spark, SF).select(*cols).collect())
-
-
 # --- near copies
 
 
@@ -282,6 +274,21 @@ def test_shards_query(spark, sample):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+# --- queries with SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(queries.SQL[name])
+    cols = [c[0] for c in cur.description]
+    out = queries.QUERIES[name](spark, SF)
+    assert sorted(cols) == sorted(out.columns)
+    assert sorted(cur.fetchall(), key=str) == sorted((tuple(r) for r in out.select(*cols).collect()), key=str)
+
+
 # --- pipeline
 
 

@@ -1,4 +1,4 @@
-"""The numbered queries, one per operator, over whole tables; and their SQL where SQL can express them."""
+"""The numbered queries, one per operator, over whole tables; their SQL is in oracles."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_cnn, decontaminate, licenses, lm, mixing, ngram_join, pii, quality_rules, sharding, warc
 from .common import id_text, materialize, shared_dir, table
+from .oracles import SQL  # noqa: F401
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,31 +83,3 @@ QUERIES = {
     "op9_pseudonyms": op9_pseudonyms,
     "op10_log_bilinear_lm": op10_log_bilinear_lm,
 }
-
-OP1_SQL = r"""
-WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
-  FROM documents),
-src AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
-turned AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS turn FROM src),
-weighed AS (SELECT *, CASE (turn - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap FROM turned),
-levels AS (
-  SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
-             - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
-            / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER (ORDER BY cap::DOUBLE / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level
-  FROM weighed),
-free AS (SELECT level FROM levels WHERE cap::DOUBLE / weight > level ORDER BY cap::DOUBLE / weight, turn LIMIT 1),
-goals AS (
-  SELECT source, source_size, CASE WHEN cap::DOUBLE / weight <= level THEN cap::DOUBLE ELSE (SELECT level FROM free) * weight END AS target FROM levels),
-parts AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS whole FROM goals),
-runs AS (
-  SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-         sum(size) OVER (PARTITION BY d.source ORDER BY h) - sum(size) OVER (PARTITION BY d.source, h) AS before, sum(size) OVER (PARTITION BY d.source, h) AS words
-  FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN whole < 2 AND (before::DOUBLE + words / 2.0::DOUBLE <= rest OR before + words <= rest) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM runs
-"""
-
-SQL = {"op1_mix_sources": OP1_SQL}

@@ -31,7 +31,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, source_col: str = "source"
     total = docs.count()
     bits = min(40, max(6, math.ceil(math.log2(max(total, 1) / RUN))))
     src, ties = F.col(quoted(source_col)), [F.col(quoted(c)) for c in tie]
-    rows = docs.select(*[F.col(quoted(c)) for c in kept]).withColumn("__h", F.xxhash64(F.lit(seed), *ties)).withColumn("__run", F.shiftright("__h", 64 - bits))
+    rows = docs.select(*[F.col(quoted(c)) for c in kept]).withColumn("__h", seeded_hash(seed, ties)).withColumn("__run", F.shiftright("__h", 60 - bits))
     runs = rows.groupBy(src.alias("__s"), F.col("__run").alias("__r")).agg(F.count("*").alias("__n"))
     by_source = Window.partitionBy("__s")
     runs = runs.withColumn("__before", F.sum("__n").over(by_source.orderBy("__r")) - F.col("__n")).withColumn("__all", F.sum("__n").over(by_source))
@@ -47,6 +47,12 @@ def interleave(docs: DataFrame, shards: int = SHARDS, source_col: str = "source"
     return rows.withColumn("slot", F.expr(f"__place - (cast(shard as bigint) * {total} + {shards - 1}) div {shards}")).select(*[F.col(quoted(c)) for c in kept], "shard", "slot")
 
 
+def seeded_hash(seed: int, ties: list[Column]) -> Column:
+    """60 bits of an MD5 over the seed and the columns as texts; null counts as the empty text."""
+    whole = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in ties])
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def byte_size(text_col: str = "text") -> Column:
     return (F.coalesce(F.octet_length(F.col(quoted(text_col))), F.lit(0)) + 1).cast("long")
 
