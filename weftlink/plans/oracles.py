@@ -5,6 +5,8 @@ from __future__ import annotations
 from ..functions import geometry as g
 from ..functions.filenames import IMAGE, LAYOUTS
 from ..functions.text import AFRICAN, EUROPEAN, IBERIAN, ICELANDIC, PARTICLES, canonical
+from ..operators.images import MOST_BOXES, OVERLAP
+from ..schemas import MARGIN, SURE
 
 
 def quoted(s: str) -> str:
@@ -107,3 +109,68 @@ def crops(box: str) -> str:
  moved AS (SELECT *, greatest(0, least(x0 + round_even(kw * (4.0::DOUBLE / 100.0::DOUBLE), 0)::INT, w - kw)) AS x, greatest(0, least(y0 + round_even(kh * (-6.0::DOUBLE / 100.0::DOUBLE), 0)::INT, h - kh)) AS y, kw / kh::DOUBLE AS aspect FROM placed),
  trimmed AS (SELECT *, CASE WHEN abs(aspect - 0.75) <= 0.01 OR aspect < 0.75 THEN kw ELSE least(greatest(1, round_even(kh * 0.75::DOUBLE, 0)::INT), kw) END AS tw, CASE WHEN abs(aspect - 0.75) > 0.01 AND aspect < 0.75 THEN least(greatest(1, round_even(kw / 0.75::DOUBLE, 0)::INT), kh) ELSE kh END AS th FROM moved)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x::INT AS x, y::INT AS y, kw::INT AS width, kh::INT AS height, (x + greatest(0, (kw - tw) // 2))::INT AS trim_x, tw::INT AS trim_width, th::INT AS trim_height FROM trimmed"""
+
+
+#: A player and a photo for every part, as people_and_photos makes them. All are ASCII, and all tokens are words that name_tokens keeps
+#: as they are but for their spelling.
+NAMED = f"""WITH spelling(v, k) AS (VALUES {", ".join(f"({quoted(v)}, {quoted(k)})" for v, k in canonical().items())}),
+ m AS (SELECT map(list(v), list(k)) AS m FROM spelling),
+ part_names AS (SELECT p_partkey AS seq, p_name AS n, translate(p_partkey::VARCHAR, '0123456789', 'abcdefghij') || 'x' AS x, string_split(p_name, ' ') AS w FROM part),
+ shown AS (SELECT seq, n || ' ' || x AS player, CASE seq % 6 WHEN 0 THEN n || ' ' || x WHEN 1 THEN x || ' ' || n WHEN 2 THEN w[1] || ' middle ' || w[2] || ' ' || x WHEN 3 THEN w[2] || ' ' || x WHEN 4 THEN n || ' ' || x || 's' ELSE n END AS photo FROM part_names),
+ players AS (SELECT seq, {vowels("lower(player)")} AS norm, list_transform(list_filter(string_split(lower(player), ' '), lambda t: NOT list_contains([{", ".join(map(quoted, PARTICLES))}], t)), lambda t: coalesce(m[t], t)) AS tokens FROM shown, m),
+ photos AS (SELECT seq, {vowels("lower(photo)")} AS norm, list_transform(list_filter(string_split(lower(photo), ' '), lambda t: NOT list_contains([{", ".join(map(quoted, PARTICLES))}], t)), lambda t: coalesce(m[t], t)) AS tokens FROM shown, m)"""
+
+
+def token_pair(x: str, y: str) -> str:
+    return f"length({x}) >= 4 AND length({y}) >= 4 AND {x} <> {y} AND ((contains({x}, {y}) AND length({y}) * 2 >= length({x})) OR (contains({y}, {x}) AND length({x}) * 2 >= length({y})))"
+
+
+#: The score of each player with each photo that shares a token or is nearly the same: (player, photo, score). Others score 0.35 at most,
+#: and every player has three that score more.
+ALL_SCORES = NAMED + f""", met AS (
+  SELECT p.seq AS player, c.seq AS photo, p.norm AS ln, c.norm AS rn, p.tokens AS lt, c.tokens AS rt, list_distinct(p.tokens) AS ls, list_distinct(c.tokens) AS rs,
+    len(list_intersect(p.tokens, c.tokens)) AS n, greatest(length(p.norm), length(c.norm)) AS longest
+  FROM players p JOIN photos c ON len(list_intersect(p.tokens, c.tokens)) > 0 OR (abs(length(p.norm) - length(c.norm)) <= 2 AND levenshtein(p.norm, c.norm) <= 2)),
+ sized AS (SELECT *, least(len(ls), len(rs)) AS few, len(ls) + len(rs) - n AS every, CASE WHEN len(ls) <= len(rs) THEN ls ELSE rs END AS small, CASE WHEN len(ls) <= len(rs) THEN rs ELSE ls END AS large,
+    abs(length(ln) - length(rn)) <= 2 AND len(list_filter(range(1, longest + 1), lambda i: substr(ln, i, 1) <> substr(rn, i, 1))) <= CASE WHEN longest <= 10 THEN 1 ELSE 2 END AS near FROM met),
+ lacking AS (SELECT *, CASE WHEN few >= 2 AND n = few - 1 THEN list_filter(small, lambda t: NOT list_contains(large, t))[1] END AS lacks, list_filter(large, lambda t: NOT list_contains(small, t)) AS extra FROM sized),
+ likest AS (SELECT *, list_max(list_transform(extra, lambda e, i: {{'s': {alike("lacks", "e")}, 'k': -i, 'e': e}})) AS best,
+    CASE WHEN len(lt) <= len(rt) THEN {best("lt", "rt")} / len(lt) ELSE {best("rt", "lt")} / len(rt) END AS average FROM lacking WHERE n > 0 OR near),
+ rules AS (SELECT *, lacks IS NOT NULL AND len(list_filter(extra, lambda e: substr(e, 1, 1) = substr(lacks, 1, 1))) > 0 AND substr(lacks, 1, 1) = substr(best.e, 1, 1)
+      AND (best.s >= 0.5 OR (substr(lacks, 1, 2) = substr(best.e, 1, 2) AND least(length(lacks), length(best.e)) >= 2)) AS boosted,
+    n = 1 AND few = 1 AND least(length(ln), length(rn)) <= 8 AND len(large) >= 3 AND length(list_intersect(lt, rt)[1]) >= 4 AS lone,
+    n > 0 AND len(list_filter(lt, lambda x: len(list_filter(rt, lambda y: {token_pair("x", "y")})) > 0)) > 0 AS part,
+    0.45::DOUBLE * (n::DOUBLE / few) + 0.20::DOUBLE * (n::DOUBLE / every) + 0.15::DOUBLE * {alike("ln", "rn")} + 0.20::DOUBLE * average AS plain FROM likest),
+ floored AS (SELECT *, coalesce(boosted, false) AS b, greatest(plain, CASE WHEN n = few AND few >= 2 THEN 0.93 ELSE 0 END, CASE WHEN coalesce(lone, false) THEN 0.88 ELSE 0 END, CASE WHEN coalesce(boosted, false) THEN 0.84 ELSE 0 END)::DOUBLE AS f FROM rules),
+ scores AS (SELECT player, photo, ln = rn AS same, (CASE WHEN ln = rn THEN 1.0 WHEN near THEN 0.95
+    ELSE least(1.0, greatest(CASE WHEN n = 0 THEN least(f, 0.35) WHEN n = 1 AND few >= 2 AND NOT b THEN least(f, 0.79) ELSE f END, CASE WHEN part THEN 0.90 ELSE 0 END)) END)::DOUBLE AS score FROM floored)"""
+
+RANKED = ALL_SCORES + """
+SELECT player AS player_seq, photo AS cand_seq, k AS place, round(score, 9) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, photo)::INT AS k FROM scores) WHERE k <= 3"""
+
+#: Names are all different, so that each player asks for themselves.
+ASKED = ALL_SCORES + f""",
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, photo) AS k, lead(score, 1, 0::DOUBLE) OVER (PARTITION BY player ORDER BY score DESC, photo) AS second FROM scores),
+ asked AS (SELECT * FROM ranked WHERE k = 1 AND score >= 0.8::DOUBLE AND (score - second >= {MARGIN}::DOUBLE OR score >= {SURE}::DOUBLE))"""
+
+PROPOSED = ASKED + " SELECT player AS player_seq, photo AS cand_seq, round(score, 9) AS score FROM asked"
+
+WON = ASKED + """ SELECT player AS player_seq, photo AS cand_seq, round(score, 9) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY score DESC, player) AS turn FROM asked) WHERE turn = 1"""
+
+#: Boxes are taken one after another into the list of kept ones.
+SUPPRESSED = f"""WITH boxes AS (SELECT l_partkey AS picture, {{'id': l_orderkey * 8 + l_linenumber, 'x': (l_suppkey % 60)::DOUBLE, 'y': (l_orderkey % 50)::DOUBLE, 'w': (l_quantity + 20)::DOUBLE, 'h': (l_quantity + 30)::DOUBLE, 's': l_extendedprice::DOUBLE}} AS b FROM lineitem),
+ ordered AS (SELECT picture, list([b] ORDER BY b.s DESC, b.id) AS l FROM boxes GROUP BY picture),
+ kept AS (SELECT picture, list_reduce(l, lambda done, e: CASE WHEN len(list_filter(done, lambda k:
+     greatest(least(k.x + k.w, e[1].x + e[1].w) - greatest(k.x, e[1].x), 0) * greatest(least(k.y + k.h, e[1].y + e[1].h) - greatest(k.y, e[1].y), 0)
+     >= {OVERLAP}::DOUBLE * (k.w * k.h + e[1].w * e[1].h - greatest(least(k.x + k.w, e[1].x + e[1].w) - greatest(k.x, e[1].x), 0) * greatest(least(k.y + k.h, e[1].y + e[1].h) - greatest(k.y, e[1].y), 0)))) > 0 THEN done ELSE done || e END) AS l FROM ordered)
+SELECT picture, unnest(l[1:{MOST_BOXES}]).id AS box_id FROM kept"""
+
+#: Each eye joins the first kept one that it overlaps, whose place at the end of the list their union takes.
+EYES = """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, {'x': (l_partkey % 200)::INT, 'y': (l_suppkey % 40)::INT, 'width': (l_quantity + 5)::INT, 'height': (l_quantity + 8)::INT} AS e FROM lineitem),
+ l AS (SELECT l_orderkey, list([e] ORDER BY l_linenumber, l_partkey, e) AS l FROM f WHERE e.width >= 20 AND e.height >= 20 GROUP BY 1),
+ step AS (SELECT l_orderkey, list_reduce(l, lambda done, n: list_transform([list_position(list_transform(done, lambda d: d.x < n[1].x + n[1].width AND n[1].x < d.x + d.width AND d.y < n[1].y + n[1].height AND n[1].y < d.y + d.height), true)],
+   lambda i: CASE WHEN coalesce(i, 0) = 0 THEN done || n ELSE list_filter(done, lambda d, k: k <> i) || [{'x': least(done[i].x, n[1].x), 'y': least(done[i].y, n[1].y),
+     'width': greatest(done[i].x + done[i].width, n[1].x + n[1].width) - least(done[i].x, n[1].x), 'height': greatest(done[i].y + done[i].height, n[1].y + n[1].height) - least(done[i].y, n[1].y)}] END)[1]) AS l FROM l)
+SELECT l_orderkey, unnest(l, recursive := true) FROM step"""

@@ -231,7 +231,7 @@ def named_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return left, right, written(matching.name_pairs(left, right, 0.8), "pairs")
 
 
-@query()
+@query(oracles.RANKED)
 def rank_topk_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     players, photos = people_and_photos(spark, sf_dir)
     left, right = written(matching.with_names(players, "FullName"), "players"), written(matching.with_names(matching.rankable(photos), "display_name"), "photos")
@@ -240,12 +240,12 @@ def rank_topk_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("player_seq", F.col("name").alias("left_name")).join(ranked, "left_name").select("player_seq", "cand_seq", "place", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(oracles.PROPOSED)
 def propose_round1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.proposals(*named_sides(spark, sf_dir), 0.8).select("player_seq", "cand_seq", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(oracles.WON)
 def assign_round1(spark: SparkSession, sf_dir: str) -> DataFrame:
     players, photos = people_and_photos(spark, sf_dir)
     return matching.assign(players, photos, 0.8, rounds=1).select("player_seq", "cand_seq", F.round("score", 9).alias("score"))
@@ -658,7 +658,7 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.cached_or_due(files, cache, "M").select("id", "due")
 
 
-@query()
+@query(oracles.SUPPRESSED)
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS picture", "l_orderkey * 8 + l_linenumber AS box_id", "cast(l_suppkey % 60 AS double) AS x", "cast(l_orderkey % 50 AS double) AS y", "l_quantity + 20 AS width", "l_quantity + 30 AS height", "l_extendedprice AS score")
     return images.suppress(rows, "picture").select("picture", "box_id")
@@ -693,7 +693,7 @@ def picked_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", (big["width"] * big["height"]).alias("largest"), F.round(weight, 6).alias("surest"))
 
 
-@query()
+@query(oracles.EYES)
 def merged_eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
     eye = F.struct((F.col("l_partkey") % 200).cast("int").alias("x"), (F.col("l_suppkey") % 40).cast("int").alias("y"), (F.col("l_quantity") + 5).cast("int").alias("width"), (F.col("l_quantity") + 8).cast("int").alias("height"))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", eye.alias("eye")))).alias("l"))
