@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..functions.rules import blank
 from ..sources.documents import reusable
 
 OVERLAP, MOST_BOXES = 0.3, 5000
+#: Boxes that are compared with each other and with the kept ones at a time.
+BOXES_AT_ONCE = 256
 DETECTORS = {"opencv-dnn": "opencv-dnn", "dnn": "opencv-dnn", "yolov8-face": "opencv-dnn", "opencv-yunet": "opencv-yunet", "yunet": "opencv-yunet", "haar-cascade": "haar-cascade", "haar": "haar-cascade", "apple-vision": "apple-vision", "vision": "apple-vision", "center": "center", "llava": "llava:7b", "llava:7b": "llava:7b", "qwen3-vl": "qwen3-vl:latest"}
 
 
@@ -61,28 +65,50 @@ def detect(pictures: DataFrame, detector: Callable[[list[bytes]], pd.DataFrame],
     return pictures.select(key, content).mapInPandas(run, f"{key} string, {schema}")
 
 
+def clashes(a: np.ndarray, b: np.ndarray, overlap: float) -> np.ndarray:
+    """Which boxes of a and b (rows x, y, width, height) overlap by `overlap` or more, as a matrix. A box with a null overlaps none."""
+    x, y, w, h = (a[k][:, None] for k in range(4))
+    u, v, p, q = (b[k][None, :] for k in range(4))
+    inter = (np.minimum(x + w, u + p) - np.maximum(x, u)).clip(min=0) * (np.minimum(y + h, v + q) - np.maximum(y, v)).clip(min=0)
+    union = w * h + p * q - inter
+    return (union > 0) & (inter >= overlap * union)
+
+
 def suppress(boxes: DataFrame, key: str, overlap: float = OVERLAP, most: int = MOST_BOXES) -> DataFrame:
     """Of each picture's boxes (key, box_id, x, y, width, height, score) those that overlap no kept one of a higher score by `overlap`
-    or more, at most `most` of a picture. Equal scores go by box_id. One picture's boxes are handled together."""
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["score", "box_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        x, y, w, h = (f[c].to_numpy(float) for c in ("x", "y", "width", "height"))
-        kept: list[int] = []
-        for k in range(len(f)):
-            if len(kept) >= most:
-                break
-            inter_w = (x[kept] + w[kept]).clip(max=x[k] + w[k]) - x[kept].clip(min=x[k])
-            inter_h = (y[kept] + h[kept]).clip(max=y[k] + h[k]) - y[kept].clip(min=y[k])
-            inter = inter_w.clip(min=0) * inter_h.clip(min=0)
-            union = w[kept] * h[kept] + w[k] * h[k] - inter
-            if not ((union > 0) & (inter >= overlap * union)).any():
-                kept.append(k)
-        return f.iloc[kept]
-
-    cols = [key, "box_id", "x", "y", "width", "height", "score"]
-    rows = boxes.select(*cols)
-    return rows.groupBy(key).applyInPandas(one, rows.schema)
+    or more, at most `most` of a picture. Equal scores go by box_id; null scores come last.
+
+    Spark sorts the boxes of a picture; they stream through a task, which holds a batch and the picture's kept boxes, however many
+    there are of others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = object(), np.empty((4, 0))
+        for batch in batches:
+            names = batch.column(key).to_pylist()
+            box = np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y", "width", "height")])
+            cuts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+            taken: list[int] = []
+            for first, end in zip(cuts, [*cuts[1:], len(names)], strict=False):
+                if names[first] != at:
+                    at, kept = names[first], np.empty((4, 0))
+                for base in range(first, end, BOXES_AT_ONCE):
+                    if kept.shape[1] >= most:
+                        break
+                    part = box[:, base : min(end, base + BOXES_AT_ONCE)]
+                    free, own, mine = ~clashes(kept, part, overlap).any(0), clashes(part, part, overlap), []
+                    for k in range(len(free)):
+                        if free[k]:
+                            mine.append(k)
+                            free &= ~own[k]
+                    mine = mine[: most - kept.shape[1]]
+                    kept = np.concatenate([kept, part[:, mine]], 1)
+                    taken += [base + k for k in mine]
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    rows = boxes.select(key, "box_id", "x", "y", "width", "height", "score")
+    score = F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))
+    return rows.repartition(key).sortWithinPartitions(key, score.desc_nulls_last(), "box_id").mapInArrow(run, rows.schema)
 
 
 def default_variant(variants: DataFrame) -> DataFrame:
