@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import full_name
+from ..operators.numbering import numbered
 from ..schemas import PLAYERS, TEAMS
 
 IDS = ("External_Player_ID", "ExternalId")
@@ -120,7 +121,7 @@ def players_from_names(listing: DataFrame, first_is_sur: bool = False, base: int
     words = F.filter(F.split(stem, r"\s+"), lambda w: w != "")
     image = F.lower("name").rlike(r"\.(png|jpg|jpeg|bmp)$")
     folder = F.regexp_replace("path", r"/[^/]*$", "")
-    rows = listing.withColumn("w", words).withColumn("folder", folder).withColumn("k", F.row_number().over(Window.partitionBy("folder").orderBy("path")) - 1)
+    rows = numbered(listing.select("path", "name", words.alias("w"), folder.alias("folder")), ["folder"], ["path"], "k").withColumn("k", F.col("k") - 1)
     rows = rows.where(image & (F.size("w") > 0))
     most = F.array_join(F.expr("slice(w, 1, greatest(size(w) - 1, 1))"), " ")
     rest = F.array_join(F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), " ")
