@@ -97,10 +97,63 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM docs d LEFT JOIN covered c ON c.row = d.row LEFT JOIN named n ON n.row = d.row
 """
 
+
+def annulus_clusters(k: int = 8, rounds: int = 10) -> str:
+    """Every round compares all vectors with all centroids, a row a component."""
+    steps = ["""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+cells AS MATERIALIZED (SELECT row, unnest(range(1, 65)) AS j, unnest(x) AS v FROM kept),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(range(1, 65)) AS j, unnest(x)::HUGEINT AS v FROM (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x FROM kept) WHERE c < %d)""" % k]
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS MATERIALIZED (SELECT row, c, sum((a.v - b.v) * (a.v - b.v)) AS d FROM cells a JOIN c{r} b USING (j) GROUP BY row, c),
+a{r} AS MATERIALIZED (SELECT row, min(d) AS d, arg_min(c, d * {k} + c) AS c FROM d{r} GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS MATERIALIZED (SELECT c, j, sum(v)::HUGEINT AS s, count(*)::HUGEINT AS n FROM cells JOIN a{r} USING (row) GROUP BY c, j),
+c{r + 1} AS MATERIALIZED (SELECT c, j, CASE WHEN n IS NULL THEN v ELSE (s - ((s % n) + n) % n) // n END AS v FROM c{r} LEFT JOIN m{r} USING (c, j))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (row) JOIN (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY c) h ON a.c = h.c
+"""
+
+
+#: The places in order of their length; the patterns each as a regular expression of its own.
+URL_FILTERS = r"""
+WITH tails AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(tail, length(regexp_extract(tail, '^[^/?#]*')) + 1) AS rest FROM tails),
+cut AS (SELECT page_id, host, regexp_extract(rest, '^[^?#]*') AS path, host || rest AS subject FROM parts),
+places(text, host, path, verdict) AS (
+  VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+         ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+patterns(text, expression, verdict) AS (
+  VALUES ('^utm_source=', '.*E_utm_source=', 'block'), ('^utm_campaign=', '.*E_utm_campaign=', 'block'), ('^ref=', '.*E_ref=', 'block'), ('^sessionid=', '.*E_sessionid=', 'block'),
+         ('^phpsessid=', '.*E_phpsessid=', 'block'), ('^replytocom=', '.*E_replytocom=', 'block'), ('^add-to-cart=', '.*E_add-to-cart=', 'block'), ('/cgi-bin/', '.*/cgi-bin/', 'block'),
+         ('/wp-admin/', '.*/wp-admin/', 'block'), ('/wp-login.php', '.*/wp-login\.php', 'block'), ('/login^', '.*/loginE_', 'block'), ('/logout^', '.*/logoutE_', 'block'),
+         ('/signup^', '.*/signupE_', 'block'), ('/cart^', '.*/cartE_', 'block'), ('/checkout^', '.*/checkoutE_', 'block'), ('||ads.*^', '([^/?#]*\.)?ads\..*E_', 'block'),
+         ('||doubleclick.net^', '([^/?#]*\.)?doubleclick\.netE_', 'block'), ('@@||web.archive.org^', '([^/?#]*\.)?web\.archive\.orgE_', 'allow'), ('@@^page=1^', '.*E_page=1E_', 'allow')),
+placed AS (
+  SELECT page_id, max_by(p.text, length(p.text)) AS rule, max_by(p.verdict, length(p.text)) AS verdict FROM cut c
+  JOIN places p ON (c.host = p.host OR ends_with(c.host, '.' || p.host)) AND starts_with(c.path, p.path) GROUP BY page_id),
+met AS (
+  SELECT page_id, max_by(p.text, (p.verdict = 'allow', length(p.text), p.text)) AS pattern, max_by(p.verdict, (p.verdict = 'allow', length(p.text), p.text)) AS verdict FROM cut c
+  JOIN patterns p ON c.subject <> '' AND regexp_matches(c.subject, '^(?:' || replace(p.expression, 'E_', '(?:[^0-9A-Za-z_\-.%\x{80}-\x{10FFFF}]|$)') || ')', 's') GROUP BY page_id)
+SELECT page_id, c.host, c.path, placed.rule, coalesce(placed.verdict, met.verdict, 'allow') AS verdict, CASE WHEN placed.rule IS NULL THEN met.pattern END AS pattern
+FROM cut c LEFT JOIN placed USING (page_id) LEFT JOIN met USING (page_id)
+"""
+
 SQL = {
     "op1_mix_sources": MIX_SOURCES,
     "op2_ngram_jaccard_join": NGRAM_JACCARD,
     "op4_warc": WARC,
     "op5_shards": SHARDS,
     "op6_decontamination": DECONTAMINATION,
+    "op11_annulus_clusters": annulus_clusters(),
+    "op13_url_filters": URL_FILTERS,
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decontaminate, licenses, lm, mixing, ngram_join, pii, quality_rules, sharding, warc
+from . import byte_cnn, clustering, decontaminate, licenses, lm, mixing, ngram_join, pii, quality_rules, sharding, urls, warc, whitening
 from .common import id_text, materialize, shared_dir, table
 from .oracles import SQL  # noqa: F401
 
@@ -71,6 +71,29 @@ def op10_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.annulus_clusters(table(spark, sf_dir, "embeddings"), dim=64, k=8, rounds=10)
+    stats = [(c, n, sum(found.inertia), digest) for c, (n, digest) in enumerate(zip(found.inertia, found.digests(), strict=True))]
+    each = spark.createDataFrame(stats, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.rows.join(F.broadcast(each), "cluster", "left").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_rows(whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000))
+
+
+#: The places that the query judges, beside the usual patterns.
+PLACES = [
+    urls.place_rule("allow", "com", "/"), urls.place_rule("block", "example.com", "/en/"), urls.place_rule("allow", "www.example.com", "/en/"),
+    urls.place_rule("block", "net", "/es/"), urls.place_rule("block", "net", "/fr/"),
+]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.url_verdicts(pages, [*PLACES, *urls.PATTERNS]).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -82,4 +105,7 @@ QUERIES = {
     "op8_licence_scans": op8_licence_scans,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_log_bilinear_lm": op10_log_bilinear_lm,
+    "op11_annulus_clusters": op11_annulus_clusters,
+    "op12_whitening": op12_whitening,
+    "op13_url_filters": op13_url_filters,
 }
