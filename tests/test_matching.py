@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftlink import schemas
 from weftlink.functions.text import with_name_score
-from weftlink.operators import matching, merging, numbering, scorers
+from weftlink.operators import far_names, matching, merging, numbering, scorers
 from weftlink.plans import mapping, queries
 
 
@@ -104,7 +104,7 @@ def lists(scores, k, least, gap):
 @pytest.mark.parametrize(("k", "least", "gap"), [(3, 0.0, 1.0), (8, 0.40, 0.30), (12, 0.25, 0.40)])
 def test_lists_hold_the_best_of_all(spark, monkeypatch, k, least, gap):
     """Also photos that share nothing with a player, and names without tokens; one player's list is full by strict keys."""
-    monkeypatch.setattr(matching, "AT_ONCE", 7)
+    monkeypatch.setattr(far_names, "BLOCK", 5)
     rng = random.Random(4)
     people = [(name(rng), None) for _ in range(30)] + [("Zyxwv Qqq", None), ("Billy", None), ("123", None), (None, None), ("Ann Lee", None)]
     shown = [name(rng) for _ in range(25)] + ["William", "Wilhelm Kraus", "77", "Юрий"] + ["Ann Lee"] * 13

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations, permutations
 
 import pandas as pd
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.rules import blank
 from ..functions.text import name_tokens, normalize_name, with_name_score
 from ..schemas import MARGIN, SURE
-from ..storage import written
+from ..storage import Scratch, written
+from .far_names import far_pairs
 from .numbering import numbered
 
-#: Pairs that don't meet by the strict keys score below STRICT, those that don't meet by the loose ones at most LOOSE.
-STRICT, LOOSE = 0.73, 0.35
-#: Names that are compared with all others at a time.
-AT_ONCE = 500
+#: Names meet by ever looser keys; pairs that don't meet by the keys of a level score at most as much.
+TOP, STRICT, LOOSE = 0.90, 0.73, 0.35
+#: Names of more tokens, or with a longer one, have keys for single tokens and runs of four letters only.
+MANY_TOKENS, LONG_TOKEN = 24, 24
+#: Photos that a list of the rounds holds.
+LISTED = 8
 #: Names whose keys, and pairs whose scores, one task works out.
 NAMES_AT_ONCE, PAIRS_AT_ONCE = 20_000, 200_000
 #: Ids of one key that a task joins with the other side's, and keys that may have more of them.
@@ -60,46 +64,56 @@ def key_of(kind: str, *parts: str) -> str:
     return "\x1f".join((kind, *parts))
 
 
-def marks(token: str) -> list[str]:
-    """A token's first letter, as such, and its pairs of letters."""
-    return ["^" + token[:1], *(token[k : k + 2] for k in range(len(token) - 1))]
+def missing(size: int, bound: float) -> int:
+    """How many of a name's `size` tokens a larger name may lack so that the two can still score more than bound by their tokens."""
+    most = 0
+    while most + 1 < size and 0.45 * (size - most - 1) / size + 0.20 * (size - most - 1) / (size + most + 1) + 0.35 > bound:
+        most += 1
+    return most
 
 
-def keys_of_name(norm: str, tokens: list[str], mine: str, theirs: str, loose: bool) -> set[str]:
-    """The keys under which a name meets others; mine and theirs name the sides, for kinds that go one way.
+def keys_of_name(norm: str, rare: list[str], mine: str, theirs: str, bound: float) -> set[str]:
+    """The keys under which a name meets others, so that all pairs that score more than bound meet (TOP, STRICT or LOOSE).
 
-    Loose: equal names, names alike in every third place, and each token. Strict: what a score of STRICT takes at least.
-    Where a name's tokens are all in the other one: one or two of them, or three. Where one is missing: three others; or two, and
-    a letter to begin with or a pair of letters in common with the missing one; or one, and such a letter. Else a token in
-    common, and one that holds a token of the other name, of at least four letters and half its length.
+    rare: the distinct tokens, the rarest first; mine and theirs name the sides, for kinds that go one way. At every level: equal names,
+    and names alike in every third place. LOOSE: each token. Else, for a larger name that lacks at most m of this name's tokens: this
+    name's m + 1 rarest, one of which the other has; at STRICT rather the pairs of its m + 2 rarest, two of which the other has, and of two
+    tokens one with the first letter of the other. Also at STRICT, a token in common with one that holds a token of the other name, of
+    at least four letters and half its length. Names of many or long tokens have few keys for each token, under which all names meet them.
     """
-    t = sorted(set(tokens))
+    size, most = len(rare), missing(len(rare), bound)
     out = {key_of("=", norm), *(key_of(f"~{c}", norm[c::3]) for c in range(3))}
-    if loose:
-        return out | {key_of("t", x) for x in t}
-    for side, small, large in ((mine, len(t) <= 3, False), (theirs, False, True)):
-        if len(t) == 1 or large:
-            out |= {key_of(f"1{side}", x) for x in t}
-        if len(t) == 2 or (large and len(t) >= 2):
-            out |= {key_of(f"2{side}", x, y) for x, y in combinations(t, 2)}
-            out |= {key_of(f"a{side}", x, "^" + y[:1]) for x, y in permutations(t, 2)}
-        if (small and len(t) == 3) or (large and len(t) >= 3):
-            out |= {key_of(f"m{side}", x, y, m) for x, y in combinations(t, 2) for z in t if z not in (x, y) for m in marks(z)}
-    out |= {key_of("3", *xs) for xs in combinations(t, 3)}
-    long = [y for y in t if len(y) >= 4]
-    out |= {key_of(f"c{theirs}", x, y) for x in t for y in long}
+    if bound <= LOOSE:
+        return out | {key_of("t", x) for x in rare}
+    if bound >= TOP:
+        return out | {key_of(f"t{mine}", x) for x in rare[: most + 1]} | {key_of(f"t{theirs}", x) for x in rare}
+    long = [y for y in rare if len(y) >= 4]
+    heads, runs = {y[:4] for y in long}, {y[k : k + 4] for y in long for k in range(len(y) - 3)}
+    first = rare if size == 2 else rare[: most + 1]
+    out |= {key_of(f"s{mine}", x) for x in first} | {key_of(f"b{theirs}", x) for x in rare} | {key_of(f"d{mine}", h) for h in heads}
+    if size > MANY_TOKENS or max(map(len, rare), default=0) > LONG_TOKEN:
+        out |= {key_of(f"b{mine}", x) for x in first} | {key_of(f"s{theirs}", x) for x in rare}
+        return out | {key_of(f"e{mine}", h) for h in heads} | {key_of(f"d{theirs}", r) for r in runs}
+    out |= {key_of(f"e{theirs}", r) for r in runs} | {key_of(f"1{theirs}", x) for x in rare}
+    out |= {key_of(f"2{theirs}", *sorted(xs)) for xs in combinations(rare, 2)} | {key_of(f"a{theirs}", x, y[:1]) for x, y in permutations(rare, 2)}
+    if size == 1:
+        out.add(key_of(f"1{mine}", rare[0]))
+    elif size > 1:
+        out |= {key_of(f"2{mine}", *sorted(xs)) for xs in combinations(rare[: most + 2], 2)}
+    if size == 2:
+        out |= {key_of(f"a{mine}", x, y[:1]) for x, y in permutations(rare)}
     parts = {y[k : k + n] for y in long for n in range(max(4, -(-len(y) // 2)), len(y)) for k in range(len(y) - n + 1)}
-    return out | {key_of(f"c{mine}", x, g) for x in t for g in parts}
+    return out | {key_of(f"c{mine}", x, y) for x in rare for y in long} | {key_of(f"c{theirs}", x, g) for x in rare for g in parts}
 
 
-def name_keys(names: DataFrame, mine: str, theirs: str, loose: bool) -> DataFrame:
-    """(id, key) of names (id, norm, tokens): each name's keys, hashed. Keys that happen to share a hash only bring more names together."""
+def name_keys(names: DataFrame, mine: str, theirs: str, bound: float) -> DataFrame:
+    """(id, key) of names (id, norm, rare): each name's keys, hashed. Keys that happen to share a hash only bring more names together."""
 
     @F.pandas_udf("array<string>")
-    def keys(norm: pd.Series, tokens: pd.Series) -> pd.Series:
-        return pd.Series([list(keys_of_name(n, list(t), mine, theirs, loose)) for n, t in zip(norm, tokens, strict=True)])
+    def keys(norm: pd.Series, rare: pd.Series) -> pd.Series:
+        return pd.Series([list(keys_of_name(n, list(t), mine, theirs, bound)) for n, t in zip(norm, rare, strict=True)])
 
-    return names.select("id", F.explode(keys("norm", "tokens")).alias("key")).select("id", F.xxhash64("key").alias("key"))
+    return names.select("id", F.explode(keys("norm", "rare")).alias("key")).select("id", F.xxhash64("key").alias("key"))
 
 
 def brought_together(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -115,34 +129,73 @@ def brought_together(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.join(other, ["key", "part"]).select("left_id", "right_id").distinct()
 
 
-def distinct_names(rows: DataFrame) -> DataFrame:
-    """(id, name, norm, tokens) of the distinct names (with_names) that have tokens, written, as ids are only good for a table that stays."""
-    kinds = rows.where(F.size("tokens") > 0).groupBy("name").agg(F.first("norm").alias("norm"), F.first("tokens").alias("tokens"))
-    return written(spread(written(kinds, "names"), NAMES_AT_ONCE).withColumn("id", F.monotonically_increasing_id()), "names")
-
-
 def spread(rows: DataFrame, most: int) -> DataFrame:
     """rows, a written table, dealt to tasks of about `most`, and to all cores at least: narrow tables lie in few files, but what is
     done for each row takes time."""
     return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most)))
 
 
+@dataclass(frozen=True)
+class Sides:
+    """The distinct names of both sides, written: id (good for this table only), name, norm, tokens, rare (the distinct tokens, the rarest
+    in both tables first), and of photos n and the first cand_seq."""
+
+    left: DataFrame
+    right: DataFrame
+    scratch: Scratch
+
+
+def sides(players: DataFrame, photos: DataFrame, scratch: Scratch) -> Sides:
+    """players and photos: with_names; photos with cand_seq."""
+    kinds = [F.first("norm").alias("norm"), F.first("tokens").alias("tokens")]
+    left = scratch.write(players.groupBy("name").agg(*kinds), "names")
+    right = scratch.write(photos.groupBy("name").agg(*kinds, F.count("*").alias("n"), F.min("cand_seq").alias("cand_seq")), "names")
+    tokens = [x.select("name", F.explode(F.array_distinct("tokens")).alias("token")) for x in (left, right)]
+    counts = scratch.write(tokens[0].union(tokens[1]).groupBy("token").agg(F.count("*").alias("c")), "counts")
+
+    def ready(names: DataFrame, each: DataFrame) -> DataFrame:
+        ordered = each.join(counts, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("r"))
+        rows = names.join(ordered, "name", "left").withColumn("rare", F.coalesce(F.col("r.token"), F.array().cast("array<string>"))).drop("r")
+        return scratch.write(spread(scratch.write(rows, "ordered"), NAMES_AT_ONCE).withColumn("id", F.monotonically_increasing_id()), "sides")
+
+    return Sides(ready(left, tokens[0]), ready(right, tokens[1]), scratch)
+
+
+PAIR = ["left_name", "right_name", "score", "equal"]
+
+
+def met_pairs(both: Sides, left: DataFrame, bound: float) -> DataFrame:
+    """PAIR of those rows of both.left that are in `left` with all right names with which they score more than bound, written."""
+    scratch = both.scratch
+    tables = [(x.where(F.size("tokens") > 0), m, o) for x, m, o in ((left, "L", "R"), (both.right, "R", "L"))]
+    keys = [scratch.write(name_keys(x, m, o, bound), "keys") for x, m, o in tables]
+    met = spread(scratch.write(brought_together(*keys), "met"), PAIRS_AT_ONCE)
+    for x, side in ((left, "left"), (both.right, "right")):
+        met = met.join(x.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("norm").alias(f"{side}_norm"), F.col("tokens").alias(f"{side}_tokens")), f"{side}_id")
+    scored = with_name_score(met, "left_tokens", "left_norm", "right_tokens", "right_norm", above=bound + 1e-9)
+    return scratch.write(scored.select("left_name", "right_name", "score", (F.col("left_norm") == F.col("right_norm")).alias("equal")), "pairs")
+
+
 def name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left_name, right_name, score, equal) of the distinct names of both sides (with_names) that can matter at this threshold.
+    """PAIR of the distinct names of both sides (with_names) that can matter at this threshold.
 
-    Names meet by the keys above, never all with all. A pair left out scores less than threshold - MARGIN: it can neither be
+    Names meet by the keys above, never all with all. A pair left out scores at most threshold - MARGIN: it can neither be
     proposed nor keep another from being so. Below LOOSE + MARGIN that would take all pairs, and is an error.
     """
+    scratch = Scratch(left.sparkSession)
+    out = written(met_pairs(*_all(sides(left, right, scratch)), level(threshold)), "pairs")
+    scratch.close()
+    return out
+
+
+def _all(both: Sides) -> tuple[Sides, DataFrame]:
+    return both, both.left
+
+
+def level(threshold: float) -> float:
     if threshold < LOOSE + MARGIN:
         raise ValueError(f"a threshold below {LOOSE + MARGIN} would take a comparison of all names with all")
-    loose = threshold < STRICT + MARGIN - 1e-9
-    names = [distinct_names(x) for x in (left, right)]
-    keys = [written(name_keys(d, m, o, loose), "keys") for d, m, o in zip(names, "LR", "RL", strict=True)]
-    met = spread(written(brought_together(*keys), "met"), PAIRS_AT_ONCE)
-    for d, s in zip(names, ("left", "right"), strict=True):
-        met = met.join(d.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), F.col("norm").alias(f"{s}_norm"), F.col("tokens").alias(f"{s}_tokens")), f"{s}_id")
-    scored = with_name_score(met, "left_tokens", "left_norm", "right_tokens", "right_norm", above=LOOSE if loose else STRICT - 1e-9)
-    return scored.select("left_name", "right_name", "score", (F.col("left_norm") == F.col("right_norm")).alias("equal"))
+    return LOOSE if threshold < STRICT + MARGIN - 1e-9 else STRICT
 
 
 def proposals(players: DataFrame, photos: DataFrame, pairs: DataFrame, threshold: float, margin: float = MARGIN, sure: float = SURE) -> DataFrame:
@@ -163,8 +216,9 @@ def proposals(players: DataFrame, photos: DataFrame, pairs: DataFrame, threshold
 
 def winners(asked: DataFrame) -> DataFrame:
     """Of those who ask for a photo the one with the highest score, then the first."""
-    best = asked.groupBy("cand_seq").agg(F.max(F.struct("score", (-F.col("player_seq")).alias("neg"), "margin", "equal")).alias("w"))
-    return best.select((-F.col("w.neg")).alias("player_seq"), "cand_seq", "w.score", "w.margin", "w.equal")
+    more = [c for c in asked.columns if c not in ("cand_seq", "score", "player_seq")]
+    best = asked.groupBy("cand_seq").agg(F.max(F.struct("score", (-F.col("player_seq")).alias("neg"), *more)).alias("w"))
+    return best.select((-F.col("w.neg")).alias("player_seq"), "cand_seq", "w.score", *[f"w.{c}" for c in more])
 
 
 def equal_rounds(players: DataFrame, photos: DataFrame) -> DataFrame:
@@ -181,40 +235,107 @@ def equal_rounds(players: DataFrame, photos: DataFrame) -> DataFrame:
     return p.join(c, ["norm", "round"]).where(F.col("round") <= (limit or 0)).select("player_seq", "cand_seq", "round")
 
 
-def assign(players: DataFrame, photos: DataFrame, threshold: float, pairs: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Lists:
+    """rows: left_name, cand_seq, score, equal, place: each name's first LISTED photos by score and order, of all that score more than the
+    level's bound. cut: the names that may have more photos than those."""
+
+    rows: DataFrame
+    cut: DataFrame
+
+
+def photo_lists(people: DataFrame, photos: DataFrame, bound: float, scratch: Scratch) -> Lists:
+    """Names that have enough photos above TOP don't meet by looser keys."""
+    both = sides(people, photos, scratch)
+    rest, parts, levels = both.left, [], [TOP, bound]
+    for at in levels:
+        pairs = met_pairs(both, rest, at)
+        have = pairs.join(both.right.select(F.col("name").alias("right_name"), "n"), "right_name").groupBy("left_name").agg(F.sum("n").alias("n"))
+        enough = scratch.write(have.where(F.col("n") >= LISTED).select("left_name"), "enough")
+        parts.append((pairs.join(enough, "left_name", "left_semi") if at != levels[-1] else pairs, enough))
+        rest = scratch.write(rest.join(enough, F.col("name") == F.col("left_name"), "left_anti"), "rest")
+    pairs, cut = (a.unionByName(b) for a, b in zip(*parts, strict=True))
+    equal = pairs.select("left_name", "right_name", "equal")
+    listed = ranked_candidates(pairs, photos, LISTED, 0.0, 1.0, "right_name").join(equal, ["left_name", "right_name"]).drop("right_name")
+    return Lists(scratch.write(listed, "lists"), scratch.write(cut, "cut"))
+
+
+def first_two(lists: DataFrame, threshold: float, margin: float = MARGIN, sure: float = SURE) -> DataFrame:
+    """(left_name, cand_seq, score, margin, equal): what names ask for, given the photos that are left on their lists.
+
+    The best photo of a name, if it reaches the threshold and is `margin` ahead of the second one listed (of nothing: its score), or sure.
+    """
+    ranked = lists.withColumn("k", F.row_number().over(Window.partitionBy("left_name").orderBy("place"))).where("k <= 2")
+    top = ranked.groupBy("left_name").agg(F.min_by(F.struct("cand_seq", "score", "equal"), "k").alias("b"), F.max(F.when(F.col("k") == 2, F.col("score"))).alias("s"))
+    top = top.select("left_name", "b.cand_seq", "b.score", (F.col("b.score") - F.coalesce("s", F.lit(0.0))).alias("margin"), "b.equal")
+    return top.where((F.col("score") >= threshold) & ((F.col("margin") >= margin) | (F.col("score") >= sure)))
+
+
+def assign(players: DataFrame, photos: DataFrame, threshold: float, rounds: int | None = None) -> DataFrame:
     """(player_seq, cand_seq, score, margin, round): rounds of proposals, each photo to the best of those who ask for it, until no
     round takes any; a photo that is gone can free the way for others. rounds: at most so many.
 
-    players: player_seq and FullName; photos: cand_seq, external_id and display_name. Names are scored once. Many people
-    and photos of the very same name would pair off one a round: such rounds are taken together. Every round is written to the
-    shared folder. Null and empty names have no tokens and match nothing; no rows give none.
+    players: player_seq and FullName; photos: cand_seq, external_id and display_name. Names are scored once, into lists of their first
+    photos. After the first round only those names ask again that had a photo on their list which went, or a player who won: all others
+    would get the same answer. A name that has used up its list gets a new one, of the photos that are left. Players who share a name
+    all ask for the same photo: the first of those left stands for them. Many people and photos of the very same name would pair off one a
+    round: such rounds are taken together. The tables of a run are deleted when it ends; its result is a table in the shared folder.
+    margin counts to the second photo that scores more than threshold - MARGIN, or to nothing. Null and empty names have no tokens and
+    match nothing; no rows give none.
     """
-    people = written(with_names(players, "FullName").where(F.size("tokens") > 0).select("player_seq", "name", "norm", "tokens"), "players")
-    left = written(with_names(rankable(photos), "display_name").where(F.size("tokens") > 0).select("cand_seq", "name", "norm", "tokens"), "photos")
-    if pairs is None:
-        pairs = written(name_pairs(people, left, threshold), "pairs")
-    done, number = [], 0
+    spark, bound = players.sparkSession, level(threshold)
+    scratch = Scratch(spark)
+    people = scratch.write(with_names(players, "FullName").where(F.size("tokens") > 0).select("player_seq", "name", "norm", "tokens"), "players")
+    left = scratch.write(with_names(rankable(photos), "display_name").where(F.size("tokens") > 0).select("cand_seq", "name", "norm", "tokens"), "photos")
+    waiting = scratch.write(numbered(people.select("name", "player_seq"), ["name"], ["player_seq"], "turn"), "waiting")
+    lists = photo_lists(people, left, bound, scratch)
+    done, number, active = [], 0, None
+    won = spark.createDataFrame([], "player_seq long, cand_seq long, score double, margin double, left_name string, round int")
     while rounds is None or number < rounds:
-        won = written(winners(proposals(people, left, pairs, threshold)), "round")
-        n, plain = won.agg(F.count("*"), F.sum(F.col("equal").cast("int"))).first()
+        every = won
+        for more in done:
+            every = every.unionByName(more)
+        every = scratch.write(every, "taken") if done else every
+        if active is not None:
+            lists = refilled(lists, active, people, left, every, bound, scratch)
+        open_ = lists.rows if active is None else lists.rows.join(active, "left_name", "left_semi").join(every, "cand_seq", "left_anti")
+        turn = every.groupBy("left_name").agg(F.count("*").alias("used"))
+        asking = first_two(open_, threshold).join(turn, "left_name", "left").withColumn("turn", F.coalesce("used", F.lit(0)) + 1)
+        asking = asking.join(waiting.withColumnRenamed("name", "left_name"), ["left_name", "turn"]).drop("turn", "used")
+        won_now = scratch.write(winners(asking), "round")
+        n, plain = won_now.agg(F.count("*"), F.sum(F.col("equal").cast("int"))).first()
         if not n:
             break
         number += 1
-        won = won.select("player_seq", "cand_seq", "score", "margin", F.lit(number).alias("round"))
+        new = won_now.select("player_seq", "cand_seq", "score", "margin", "left_name", F.lit(number).alias("round"))
         if plain == n and rounds is None:
-            more = equal_rounds(people, left).where(F.col("round") > 1)
-            won = written(won.union(more.select("player_seq", "cand_seq", F.lit(1.0), F.lit(0.0), (F.col("round") + number - 1).cast("int"))), "rounds")
-            number = won.agg(F.max("round")).first()[0]
-        done.append(won)
-        people = written(people.join(won, "player_seq", "left_anti"), "players")
-        left = written(left.join(won, "cand_seq", "left_anti"), "photos")
-    out = players.sparkSession.createDataFrame([], "player_seq long, cand_seq long, score double, margin double, round int")
-    for won in done:
-        out = out.unionByName(won)
+            more = equal_rounds(people.join(every, "player_seq", "left_anti"), left.join(every, "cand_seq", "left_anti")).where(F.col("round") > 1)
+            more = more.join(people.select("player_seq", F.col("name").alias("left_name")), "player_seq")
+            new = scratch.write(new.union(more.select("player_seq", "cand_seq", F.lit(1.0), F.lit(0.0), "left_name", (F.col("round") + number - 1).cast("int"))), "rounds")
+            number = new.agg(F.max("round")).first()[0]
+        done.append(new)
+        active = scratch.write(lists.rows.join(new, "cand_seq", "left_semi").select("left_name").union(new.select("left_name")).distinct(), "active")
+    out = won
+    for more in done:
+        out = out.unionByName(more)
+    out = written(out.drop("left_name"), "assigned")
+    scratch.close()
     return out
 
 
-def ranked_candidates(pairs: DataFrame, photos: DataFrame, k: int, least: float, gap: float) -> DataFrame:
+def refilled(lists: Lists, active: DataFrame, people: DataFrame, photos: DataFrame, taken: DataFrame, bound: float, scratch: Scratch) -> Lists:
+    """The lists, with new ones of the photos left for those active names that may have more photos than their list still shows two of."""
+    short = lists.cut.join(active, "left_name", "left_semi").join(lists.rows.join(taken, "cand_seq", "left_anti").groupBy("left_name").count(), "left_name", "left")
+    short = scratch.write(short.where(F.coalesce("count", F.lit(0)) < 2).select("left_name"), "short")
+    if short.isEmpty():
+        return lists
+    again = people.join(short, F.col("name") == F.col("left_name"), "left_semi").join(taken, "player_seq", "left_anti")
+    new = photo_lists(again, photos.join(taken, "cand_seq", "left_anti"), bound, scratch)
+    rows, cut = (a.join(short, "left_name", "left_anti").unionByName(b) for a, b in ((lists.rows, new.rows), (lists.cut, new.cut)))
+    return Lists(scratch.write(rows, "lists"), scratch.write(cut, "cut"))
+
+
+def ranked_candidates(pairs: DataFrame, photos: DataFrame, k: int, least: float, gap: float, *more: str) -> DataFrame:
     """(left_name, cand_seq, score, place): each name's first k photos by score, then by order, of those that reach `least` or are
     within `gap` of its best. At most k photos of a name take part, as more can't be listed."""
     firsts = photos.withColumn("j", F.row_number().over(Window.partitionBy("name").orderBy("cand_seq"))).where(F.col("j") <= k)
@@ -222,39 +343,37 @@ def ranked_candidates(pairs: DataFrame, photos: DataFrame, k: int, least: float,
     order = Window.partitionBy("left_name").orderBy(F.desc("score"), "cand_seq")
     rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     top = F.max("score").over(Window.partitionBy("left_name"))
-    return rows.withColumn("top", top).where((F.col("score") >= least) | (F.col("top") - F.col("score") <= gap)).select("left_name", "cand_seq", "score", "place")
+    return rows.withColumn("top", top).where((F.col("score") >= least) | (F.col("top") - F.col("score") <= gap)).select("left_name", "cand_seq", "score", "place", *more)
 
 
 def listed_pairs(players: DataFrame, photos: DataFrame, k: int, least: float, gap: float) -> DataFrame:
-    """name_pairs' columns, with all pairs that ranked_candidates may list of all names with all (with_names), whatever they score.
+    """PAIR, with all pairs that ranked_candidates may list of all names with all (with_names), whatever they score.
 
-    Names meet by the strict keys. Those whose list isn't full by what scores above the keys' bound, so that a pair left out might
-    stand in it, meet by the loose keys; and those for which that isn't enough are compared with every name, AT_ONCE at a time.
+    Names meet by the keys of one level after another, until their list is full by what scores more than the level's bound, so that no
+    pair left out can stand in it. Lists that are still open then take what comes of a search by bounds (far_pairs); names without tokens
+    score 0 with all photos, and list the first ones.
     """
-    kinds = ["name", "norm", "tokens"]
-    have = photos.select(*kinds, "cand_seq").groupBy("name").agg(F.first("norm").alias("norm"), F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.min("cand_seq").alias("cand_seq"))
-    have = written(have, "names")
-    rest = written(players.groupBy("name").agg(F.first("norm").alias("norm"), F.first("tokens").alias("tokens")), "names")
-    done = []
-    for bound in (STRICT, LOOSE):
-        pairs = written(name_pairs(rest, have, bound + MARGIN), "pairs")
-        above = pairs.where(F.col("score") > bound + 1e-9).join(have.select(F.col("name").alias("right_name"), "n"), "right_name")
+    scratch = Scratch(players.sparkSession)
+    both = sides(players, photos, scratch)
+    rest, done = scratch.write(both.left.where(F.size("tokens") > 0), "rest"), []
+    counts = both.right.select(F.col("name").alias("right_name"), "n")
+    for bound in (TOP, STRICT, LOOSE):
+        pairs = met_pairs(both, rest, bound)
         full = F.col("n") >= k
         if least > bound + 1e-9:
             full = full | (F.col("top") - gap > bound + 1e-9)
-        complete = above.groupBy("left_name").agg(F.sum("n").alias("n"), F.max("score").alias("top")).where(full).select("left_name")
+        have = pairs.join(counts, "right_name").groupBy("left_name").agg(F.sum("n").alias("n"), F.max("score").alias("top"))
+        complete = scratch.write(have.where(full).select("left_name"), "complete")
         done.append(pairs.join(complete, "left_name", "left_semi"))
-        rest = written(rest.join(complete, F.col("name") == F.col("left_name"), "left_anti"), "rest")
-    n = rest.count()
-    asked = written(numbered(rest, [], ["name"], "i"), "asked") if n else rest
-    dealt = have.repartition(2 * have.sparkSession.sparkContext.defaultParallelism).select(F.col("name").alias("right_name"), F.col("norm").alias("right_norm"), F.col("tokens").alias("right_tokens"), "cand_seq")
-    for first in range(1, n + 1, AT_ONCE):
-        some = asked.where(F.col("i").between(first, first + AT_ONCE - 1)).select(F.col("name").alias("left_name"), F.col("norm").alias("left_norm"), F.col("tokens").alias("left_tokens"))
-        scored = with_name_score(dealt.crossJoin(F.broadcast(some)), "left_tokens", "left_norm", "right_tokens", "right_norm")
-        scored = scored.select("left_name", "right_name", "cand_seq", "score", (F.col("left_norm") == F.col("right_norm")).alias("equal"))
-        best = scored.withColumn("j", F.row_number().over(Window.partitionBy("left_name").orderBy(F.desc("score"), "cand_seq"))).where(F.col("j") <= k)
-        done.append(written(best.select("left_name", "right_name", "score", "equal"), "best"))
+        rest = scratch.write(rest.join(complete, F.col("name") == F.col("left_name"), "left_anti"), "rest")
+    if not rest.isEmpty():
+        done.append(far_pairs(rest, both.right, pairs, k, least, gap, scratch))
+    firsts = [r.name for r in both.right.orderBy("cand_seq").limit(k).collect()]
+    silent = both.left.where(F.size("tokens") == 0).select(F.col("name").alias("left_name"), F.explode(F.array(*map(F.lit, firsts)) if firsts else F.array().cast("array<string>")).alias("right_name"))
+    done.append(silent.select("left_name", "right_name", F.lit(0.0).alias("score"), F.lit(False).alias("equal")))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    out = written(out.select(*PAIR), "listed")
+    scratch.close()
     return out
