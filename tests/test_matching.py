@@ -215,3 +215,39 @@ def test_shortlists_take_the_best_of_all(spark, number):
     want = lists(all_scores(p, c), *[schemas.PASSES[number][k] for k in ("k", "least", "gap")])
     got = {(r.player_seq, r.cand_seq, r.place, r.score) for r in scorers.shortlists(p, c, number).collect()}
     assert got == want and {r[0] for r in got} == {0, 1, 2, 3}
+
+
+def test_short_lists_are_filled_again(spark, monkeypatch):
+    """Names that ask for photos which others win, one after another, until looser keys have to bring more."""
+    monkeypatch.setattr(matching, "LISTED", 2)
+    people = [(x, None) for x in ["Ann Lee Garcia", "Anna Lee Garcia", "Ann Lea Garcia", "Ann Leo Garcia", "Lee Garcia", "Garcia Ann", "Ann Clarke", "Ann Clark", "Ann Clarks"]]
+    shown = ["Ann Lee Garcia", "Lee Ann Garcia Xy", "Garcia Lee", "Ann Garcia", "Ann Leo Garcia", "Ann Clark", "Ann Clarkes", "Ann Smith Clark", "Ann Lea Garcias"]
+    p, c = frames(spark, people, [(f"x{i}", x) for i, x in enumerate(shown)])
+    got = {r.player_seq: (r.cand_seq, r.score) for r in matching.assign(p, c, 0.72).collect()}
+    assert got == rounds(all_scores(p, c), 0.72) and len(got) > 3
+
+
+def test_keys_of_long_names_are_few():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    for tokens in ([word(7) for _ in range(40)], [word(7) for _ in range(400)], [word(5000), "ann"]):
+        for bound in (matching.TOP, matching.STRICT, matching.LOOSE):
+            letters = sum(map(len, tokens))
+            assert len(matching.keys_of_name(" ".join(tokens), tokens, "L", "R", bound)) < 60 + 4 * letters
+    assert len(matching.keys_of_name("x", [word(7) for _ in range(24)], "L", "R", matching.STRICT)) < 10_000
+
+
+def test_no_join_of_all_with_all(spark):
+    """Nothing but equality joins, also where lists are filled by bounds."""
+    p, c = frames(spark, [("Zyxwv Qqq", None), ("Ann Lee", None)], [(f"x{i}", x) for i, x in enumerate(["Bob Ray", "Ann Lee", "Jo Sutton"])])
+    a, b = matching.with_names(p, "FullName"), matching.with_names(matching.rankable(c), "display_name")
+    plans, write = [], matching.Scratch.write
+
+    def seen(self, df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, tag)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(matching.Scratch, "write", seen)
+        assert matching.listed_pairs(a, b, 3, 0.0, 1.0).count() == 6
+    assert len(plans) > 20 and not any("Cartesian" in x or "NestedLoop" in x for x in plans)

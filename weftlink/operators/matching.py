@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, permutations
 
 import pandas as pd
@@ -237,27 +238,36 @@ def equal_rounds(players: DataFrame, photos: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Lists:
-    """rows: left_name, cand_seq, score, equal, place: each name's first LISTED photos by score and order, of all that score more than the
-    level's bound. cut: the names that may have more photos than those."""
+    """pairs: PAIR of all names that met so far. rows: left_name, cand_seq, score, equal, place: each name's first LISTED photos of those, by
+    score and order. open: the names that stopped at TOP, so that looser keys may bring them more."""
 
+    pairs: DataFrame
     rows: DataFrame
-    cut: DataFrame
+    open: DataFrame
+
+    def without(self, names: DataFrame) -> Lists:
+        return Lists(*[x.join(names, "left_name", "left_anti") for x in (self.pairs, self.rows, self.open)])
+
+    def with_those_of(self, other: Lists, scratch: Scratch) -> Lists:
+        both = zip((self.pairs, self.rows, self.open), (other.pairs, other.rows, other.open), strict=True)
+        return Lists(*[scratch.write(x.unionByName(y), "lists") for x, y in both])
 
 
 def photo_lists(people: DataFrame, photos: DataFrame, bound: float, scratch: Scratch) -> Lists:
-    """Names that have enough photos above TOP don't meet by looser keys."""
+    """The lists of all photos that score more than bound; names that have enough of them above TOP don't meet by looser keys."""
     both = sides(people, photos, scratch)
-    rest, parts, levels = both.left, [], [TOP, bound]
-    for at in levels:
-        pairs = met_pairs(both, rest, at)
-        have = pairs.join(both.right.select(F.col("name").alias("right_name"), "n"), "right_name").groupBy("left_name").agg(F.sum("n").alias("n"))
-        enough = scratch.write(have.where(F.col("n") >= LISTED).select("left_name"), "enough")
-        parts.append((pairs.join(enough, "left_name", "left_semi") if at != levels[-1] else pairs, enough))
-        rest = scratch.write(rest.join(enough, F.col("name") == F.col("left_name"), "left_anti"), "rest")
-    pairs, cut = (a.unionByName(b) for a, b in zip(*parts, strict=True))
-    equal = pairs.select("left_name", "right_name", "equal")
-    listed = ranked_candidates(pairs, photos, LISTED, 0.0, 1.0, "right_name").join(equal, ["left_name", "right_name"]).drop("right_name")
-    return Lists(scratch.write(listed, "lists"), scratch.write(cut, "cut"))
+    pairs = met_pairs(both, both.left, TOP)
+    have = pairs.join(both.right.select(F.col("name").alias("right_name"), "n"), "right_name").groupBy("left_name").agg(F.sum("n").alias("n"))
+    enough = scratch.write(have.where(F.col("n") >= LISTED).select("left_name"), "enough")
+    rest = scratch.write(both.left.join(enough, F.col("name") == F.col("left_name"), "left_anti"), "rest")
+    if not rest.isEmpty():
+        pairs = pairs.join(enough, "left_name", "left_semi").unionByName(met_pairs(both, rest, bound))
+    return Lists(pairs, scratch.write(listed(pairs, photos), "lists"), enough)
+
+
+def listed(pairs: DataFrame, photos: DataFrame) -> DataFrame:
+    rows = ranked_candidates(pairs, photos, LISTED, 0.0, 1.0, "right_name").join(pairs.select("left_name", "right_name", "equal"), ["left_name", "right_name"])
+    return rows.drop("right_name")
 
 
 def first_two(lists: DataFrame, threshold: float, margin: float = MARGIN, sure: float = SURE) -> DataFrame:
@@ -292,10 +302,7 @@ def assign(players: DataFrame, photos: DataFrame, threshold: float, rounds: int
     done, number, active = [], 0, None
     won = spark.createDataFrame([], "player_seq long, cand_seq long, score double, margin double, left_name string, round int")
     while rounds is None or number < rounds:
-        every = won
-        for more in done:
-            every = every.unionByName(more)
-        every = scratch.write(every, "taken") if done else every
+        every = scratch.write(reduce(DataFrame.unionByName, done), "taken") if done else won
         if active is not None:
             lists = refilled(lists, active, people, left, every, bound, scratch)
         open_ = lists.rows if active is None else lists.rows.join(active, "left_name", "left_semi").join(every, "cand_seq", "left_anti")
@@ -315,24 +322,30 @@ def assign(players: DataFrame, photos: DataFrame, threshold: float, rounds: int
             number = new.agg(F.max("round")).first()[0]
         done.append(new)
         active = scratch.write(lists.rows.join(new, "cand_seq", "left_semi").select("left_name").union(new.select("left_name")).distinct(), "active")
-    out = won
-    for more in done:
-        out = out.unionByName(more)
-    out = written(out.drop("left_name"), "assigned")
+    out = written(reduce(DataFrame.unionByName, done, won).drop("left_name"), "assigned")
     scratch.close()
     return out
 
 
 def refilled(lists: Lists, active: DataFrame, people: DataFrame, photos: DataFrame, taken: DataFrame, bound: float, scratch: Scratch) -> Lists:
-    """The lists, with new ones of the photos left for those active names that may have more photos than their list still shows two of."""
-    short = lists.cut.join(active, "left_name", "left_semi").join(lists.rows.join(taken, "cand_seq", "left_anti").groupBy("left_name").count(), "left_name", "left")
-    short = scratch.write(short.where(F.coalesce("count", F.lit(0)) < 2).select("left_name"), "short")
+    """The lists, with new ones of the photos left for those active names that still have players, and a full list of which fewer than two
+    photos are left: from the pairs they have met; where these are used up, from those of looser keys."""
+    left = photos.join(taken, "cand_seq", "left_anti")
+    again = people.join(active, F.col("name") == F.col("left_name"), "left_semi").join(taken, "player_seq", "left_anti")
+    full = lists.rows.join(active, "left_name", "left_semi").where(F.col("place") == LISTED).select("left_name")
+    still = lists.rows.join(taken, "cand_seq", "left_anti").groupBy("left_name").count()
+    short = full.join(again.select(F.col("name").alias("left_name")), "left_name", "left_semi").join(still, "left_name", "left").where(F.coalesce("count", F.lit(0)) < 2)
+    short = scratch.write(short.select("left_name"), "short")
     if short.isEmpty():
         return lists
-    again = people.join(short, F.col("name") == F.col("left_name"), "left_semi").join(taken, "player_seq", "left_anti")
-    new = photo_lists(again, photos.join(taken, "cand_seq", "left_anti"), bound, scratch)
-    rows, cut = (a.join(short, "left_name", "left_anti").unionByName(b) for a, b in ((lists.rows, new.rows), (lists.cut, new.cut)))
-    return Lists(scratch.write(rows, "lists"), scratch.write(cut, "cut"))
+    pairs = lists.pairs.join(short, "left_name", "left_semi")
+    rows = scratch.write(listed(pairs, left), "lists")
+    used = lists.open.join(short, "left_name", "left_semi").join(rows.where("place = 2"), "left_name", "left_anti")
+    used = scratch.write(used.select("left_name"), "short")
+    new = Lists(pairs, rows, lists.open.join(short, "left_name", "left_semi"))
+    if not used.isEmpty():
+        new = new.without(used).with_those_of(photo_lists(again.join(used, F.col("name") == F.col("left_name"), "left_semi"), left, bound, scratch), scratch)
+    return lists.without(short).with_those_of(new, scratch)
 
 
 def ranked_candidates(pairs: DataFrame, photos: DataFrame, k: int, least: float, gap: float, *more: str) -> DataFrame:
@@ -358,6 +371,8 @@ def listed_pairs(players: DataFrame, photos: DataFrame, k: int, least: float, ga
     rest, done = scratch.write(both.left.where(F.size("tokens") > 0), "rest"), []
     counts = both.right.select(F.col("name").alias("right_name"), "n")
     for bound in (TOP, STRICT, LOOSE):
+        if done and rest.isEmpty():
+            break
         pairs = met_pairs(both, rest, bound)
         full = F.col("n") >= k
         if least > bound + 1e-9:
@@ -366,14 +381,12 @@ def listed_pairs(players: DataFrame, photos: DataFrame, k: int, least: float, ga
         complete = scratch.write(have.where(full).select("left_name"), "complete")
         done.append(pairs.join(complete, "left_name", "left_semi"))
         rest = scratch.write(rest.join(complete, F.col("name") == F.col("left_name"), "left_anti"), "rest")
-    if not rest.isEmpty():
-        done.append(far_pairs(rest, both.right, pairs, k, least, gap, scratch))
+    else:
+        if not rest.isEmpty():
+            done.append(far_pairs(rest, both.right, pairs, k, least, gap, scratch))
     firsts = [r.name for r in both.right.orderBy("cand_seq").limit(k).collect()]
     silent = both.left.where(F.size("tokens") == 0).select(F.col("name").alias("left_name"), F.explode(F.array(*map(F.lit, firsts)) if firsts else F.array().cast("array<string>")).alias("right_name"))
     done.append(silent.select("left_name", "right_name", F.lit(0.0).alias("score"), F.lit(False).alias("equal")))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    out = written(out.select(*PAIR), "listed")
+    out = written(reduce(DataFrame.unionByName, done).select(*PAIR), "listed")
     scratch.close()
     return out

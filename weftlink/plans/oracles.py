@@ -6,7 +6,7 @@ from ..functions import geometry as g
 from ..functions.filenames import IMAGE, LAYOUTS
 from ..functions.text import AFRICAN, EUROPEAN, IBERIAN, ICELANDIC, PARTICLES, canonical
 from ..operators.images import MOST_BOXES, OVERLAP
-from ..schemas import MARGIN, SURE
+from ..schemas import MARGIN, PASSES, SURE
 
 
 def quoted(s: str) -> str:
@@ -159,6 +159,26 @@ PROPOSED = ASKED + " SELECT player AS player_seq, photo AS cand_seq, round(score
 WON = ASKED + """ SELECT player AS player_seq, photo AS cand_seq, round(score, 9) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY score DESC, player) AS turn FROM asked) WHERE turn = 1"""
 
+#: The lists of the scorers' first pass: the first eight photos, as far as they reach 0.40 or are within 0.30 of the best, and of photos shown
+#: by the same name the first. Every player has eight that share a token.
+SHORTLISTS = ALL_SCORES + f""",
+ placed AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, photo)::INT AS place, max(score) OVER (PARTITION BY player) AS top FROM scores),
+ listed AS (SELECT p.player, p.photo, p.place, p.score, lower(s.photo) AS name FROM placed p JOIN shown s ON s.seq = p.photo WHERE place <= {PASSES[0]["k"]} AND (score >= {PASSES[0]["least"]}::DOUBLE OR top - score <= {PASSES[0]["gap"]}::DOUBLE))
+SELECT player AS player_seq, arg_min(photo, place) AS cand_seq, min(place) AS place, round(arg_min(score, place), 9) AS score FROM listed GROUP BY player, name"""
+
+
+def all_rounds(most: int = 16) -> str:
+    """Rounds of asking and winning over all pairs of what is left, one after another; the last ones find nothing more to take."""
+    steps = [ALL_SCORES + """, pairs AS MATERIALIZED (SELECT player, photo, score FROM scores WHERE score > 0.73::DOUBLE),
+ won0 AS MATERIALIZED (SELECT player, photo, score, 0 AS round FROM pairs WHERE false)"""]
+    for r in range(1, most + 1):
+        steps.append(f""", ranked{r} AS (SELECT *, row_number() OVER w AS k, lead(score, 1, 0::DOUBLE) OVER w AS second FROM pairs
+   WHERE player NOT IN (SELECT player FROM won{r - 1}) AND photo NOT IN (SELECT photo FROM won{r - 1}) WINDOW w AS (PARTITION BY player ORDER BY score DESC, photo)),
+ won{r} AS MATERIALIZED (SELECT * FROM won{r - 1} UNION ALL SELECT player, photo, score, {r} FROM (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY score DESC, player) AS turn FROM ranked{r}
+   WHERE k = 1 AND score >= 0.8::DOUBLE AND (score - second >= {MARGIN}::DOUBLE OR score >= {SURE}::DOUBLE)) WHERE turn = 1)""")
+    return "".join(steps) + f" SELECT player AS player_seq, photo AS cand_seq, round(score, 9) AS score, round FROM won{most}"
+
+
 #: Boxes are taken one after another into the list of kept ones.
 SUPPRESSED = f"""WITH boxes AS (SELECT l_partkey AS picture, {{'id': l_orderkey * 8 + l_linenumber, 'x': (l_suppkey % 60)::DOUBLE, 'y': (l_orderkey % 50)::DOUBLE, 'w': (l_quantity + 20)::DOUBLE, 'h': (l_quantity + 30)::DOUBLE, 's': l_extendedprice::DOUBLE}} AS b FROM lineitem),
  ordered AS (SELECT picture, list([b] ORDER BY b.s DESC, b.id) AS l FROM boxes GROUP BY picture),

@@ -251,7 +251,7 @@ def assign_round1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.assign(players, photos, 0.8, rounds=1).select("player_seq", "cand_seq", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(oracles.all_rounds())
 def assign_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     players, photos = people_and_photos(spark, sf_dir)
     return matching.assign(players, photos, 0.8).select("player_seq", "cand_seq", F.round("score", 9).alias("score"), "round")
@@ -274,7 +274,7 @@ def letters_scorer(a: str, b: str) -> float:
     return len(x & y) / max(1, min(len(x), len(y)))
 
 
-@query()
+@query(oracles.SHORTLISTS)
 def scorer_shortlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     players, photos = people_and_photos(spark, sf_dir)
     return scorers.shortlists(players, photos, 0).select("player_seq", "cand_seq", "place", F.round("score", 9).alias("score"))
