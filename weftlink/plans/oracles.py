@@ -128,7 +128,7 @@ def token_pair(x: str, y: str) -> str:
 #: The score of each player with each photo that shares a token or is nearly the same: (player, photo, score). Others score 0.35 at most,
 #: and every player has three that score more.
 ALL_SCORES = NAMED + f""", met AS (
-  SELECT p.seq AS player, c.seq AS photo, p.norm AS ln, c.norm AS rn, p.tokens AS lt, c.tokens AS rt, list_distinct(p.tokens) AS ls, list_distinct(c.tokens) AS rs,
+  SELECT p.seq AS player, c.seq AS photo, p.norm AS ln, c.norm AS rn, p.tokens AS lt, c.tokens AS rt, list_filter(p.tokens, lambda t, i: list_position(p.tokens, t) = i) AS ls, list_filter(c.tokens, lambda t, i: list_position(c.tokens, t) = i) AS rs,
     len(list_intersect(p.tokens, c.tokens)) AS n, greatest(length(p.norm), length(c.norm)) AS longest
   FROM players p JOIN photos c ON len(list_intersect(p.tokens, c.tokens)) > 0 OR (abs(length(p.norm) - length(c.norm)) <= 2 AND levenshtein(p.norm, c.norm) <= 2)),
  sized AS (SELECT *, least(len(ls), len(rs)) AS few, len(ls) + len(rs) - n AS every, CASE WHEN len(ls) <= len(rs) THEN ls ELSE rs END AS small, CASE WHEN len(ls) <= len(rs) THEN rs ELSE ls END AS large,
