@@ -167,3 +167,49 @@ def test_queries_and_their_sql(spark):
         have = [c[0] for c in said.description]
         assert sorted(have) == cols, name
         assert sorted(plain(r) for r in rows.select(*cols).collect()) == sorted(plain([r[have.index(c)] for c in cols]) for r in said.fetchall()), name
+
+
+def test_parameters_are_marks_only():
+    q = "SELECT ':TeamId', \"@TeamId\", x::int, -- :TeamId ?\n /* {TeamId} */ y FROM {t} WHERE a = :TeamId AND b = @teamid AND c = {TEAMID} AND d = :other AND e = ?"
+    got = people.bound_query(q, {"TeamId": 10})
+    assert got == "SELECT ':TeamId', \"@TeamId\", x::int, -- :TeamId ?\n /* {TeamId} */ y FROM {t} WHERE a = 10 AND b = 10 AND c = 10 AND d = :other AND e = 10"
+    assert people.bound_query("? ?", {"a": "O'Neil", "b": None}) == "'O''Neil' NULL"
+    with pytest.raises(ValueError):
+        people.bound_query("? ?", {"a": 1})
+
+
+def test_database_by_ranges(spark):
+    """An embedded database among Spark's own jars; a text that looks like a parameter stays as it is."""
+    jdbc = {"url": "jdbc:derby:memory:players;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(1000).selectExpr("cast(id AS int) AS PlayerId", "cast(id % 7 AS int) AS TeamId", "concat('F', id) AS FamilyName", "concat('S', id) AS SurName")
+    rows.write.format("jdbc").options(**jdbc).option("dbtable", "people").mode("overwrite").save()
+    query = 'SELECT "PlayerId", "TeamId", "FamilyName", \':TeamId\' AS "SurName" FROM people WHERE "TeamId" = :TeamId'
+    got = people.sql_players(spark, query, {"TeamId": 3}, jdbc, parts=('"PlayerId"', 4))
+    assert got.rdd.getNumPartitions() == 4 and {r.PlayerId for r in got.collect()} == set(range(3, 1000, 7)) and {r.SurName for r in got.collect()} == {":TeamId"}
+    assert people.sql_players(spark, query, {"TeamId": 99}, jdbc, parts=('"PlayerId"', 4)).count() == 0
+    assert people.sql_players(spark, query.replace(":TeamId AS", "x AS"), {"TeamId": 3}, jdbc).count() == 143
+
+
+def test_rows_of_several_files_in_order(spark, tmp_path):
+    folder = tmp_path / "mapped_players"
+    folder.mkdir()
+    head = "PlayerId,TeamId,FamilyName,SurName,External_Player_ID,ValidMapping,Confidence\n"
+    (folder / "part-0.csv").write_text(head + "1,1,First,x,a,True,0.5\n")
+    (folder / "part-1.csv").write_text(head + '1,1,Second,x,b,True,0.5\n2,1,"two\nlines",y,c,True,0.5\n' + "3,1,Filler,z,d,True,0.5\n" * 500)
+    rows = people.csv_mapped(spark, str(folder))
+    got = {r.PlayerId: r.FamilyName for r in people.last_by_player(rows).collect()}
+    assert got == {1: "Second", 2: "two\nlines", 3: "Filler"}
+    in_order = [r.FamilyName for r in rows.orderBy("seq").collect()]
+    assert in_order[:3] == ["First", "Second", "two\nlines"] and len(in_order) == 503
+
+
+def test_sizes_behind_long_segments(spark, tmp_path):
+    folder = tmp_path / "images"
+    folder.mkdir()
+    segment = b"\xff\xe1\xff\xff" + b"\0" * 65533
+    size = b"\xff\xc0\x00\x11\x08" + (300).to_bytes(2, "big") + (200).to_bytes(2, "big") + b"\0" * 10
+    for k in (0, 1, 16):
+        (folder / f"{k}.jpg").write_bytes(b"\xff\xd8" + segment * k + size)
+    (folder / "none.jpg").write_bytes(b"\xff\xd8" + segment * 3)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in listing.image_sizes(spark, str(folder)).collect()}
+    assert got == {"0.jpg": (200, 300), "1.jpg": (200, 300), "16.jpg": (200, 300), "none.jpg": (None, None)}

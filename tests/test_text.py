@@ -111,3 +111,24 @@ def test_answers(spark):
     asked = spark.range(1).select(responses.ask_one(F.lit("a"), F.lit('b"')).alias("q")).first().q
     assert asked.endswith('{"name1":"a","name2":"b\\""}')
     assert spark.range(1).select(responses.number(F.lit(0.9)).alias("n"), responses.number(F.lit(2.0)).alias("m")).first() == ("0.9", "2")
+
+
+def test_white_space_and_units(spark):
+    from weftlink.functions import rules
+
+    rows = spark.createDataFrame([("\tJohn Smith\n", "a"), ("  Ann\u0085 Lee \x0b", "😀a"), ("\t\n", "a😀😁"), (None, None), ("x𠀀y", "\U0001f600\U0001f601")], "n string, a string")
+    got = rows.select(text.normalize_name(F.col("n")).alias("n"), rules.blank(F.col("n")).alias("b"), text.distance(F.col("a"), F.lit("a")).alias("d"), text.text_similarity(F.col("a"), F.lit("😁")).alias("s"), F.length(text.code_units(F.col("a"))).alias("u")).collect()
+    assert [r.n for r in got] == ["john smith", "ann le", "", "", "xy"] and [r.b for r in got] == [False, False, True, True, False]
+    units = lambda t: [*memoryview((t or "").encode("utf-16-le")).cast("H")]
+
+    def plain(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, above = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (a != b)))
+        return row[-1]
+
+    texts = ["a", "😀a", "a😀😁", None, "\U0001f600\U0001f601"]
+    assert [r.u for r in got] == [len(units(t)) for t in texts] and [r.d for r in got] == [plain(units(t), units("a")) for t in texts]
+    assert [round(r.s, 9) for r in got] == [round(1 - plain(units(t), units("😁")) / max(len(units(t)), 2), 9) for t in texts]

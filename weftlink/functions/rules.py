@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CLI_FLOOR
+from .text import is_blank
 
 # The providers a scorer's name can begin with, and those that are paid for.
 PROVIDERS = ("ollama", "openai", "anthropic", "claude", "zai", "minimax")
@@ -14,7 +15,7 @@ ACCENTS = "áéíóúñ"
 
 
 def blank(c: Column) -> Column:
-    return F.trim(F.coalesce(c, F.lit(""))) == ""
+    return is_blank(c)
 
 
 def threshold(asked: float, floor: float | None = CLI_FLOOR) -> float:

@@ -36,9 +36,12 @@ def vowels(column: str) -> str:
     return column
 
 
+#: White space of all scripts, inside a character class.
+WHITE = r"\s\x0B\x{85}\p{Z}"
+
 NORMALIZED = f"""WITH a AS (SELECT doc_id, {written_out("translate(coalesce(text, ''), '-_', '  ')", EUROPEAN | IBERIAN | AFRICAN)} AS t FROM documents),
- b AS (SELECT doc_id, regexp_replace(trim(lower(strip_accents(t)), ' '), '[^\\p{{L}}\\p{{Nd}}\\s]', '', 'g') AS t FROM a)
-SELECT doc_id, {vowels("regexp_replace(t, '\\s+', ' ', 'g')")} AS normalized FROM b"""
+ b AS (SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(t)), '^[{WHITE}]+|[{WHITE}]+$', '', 'g'), '[^\\p{{L}}\\p{{Nd}}{WHITE}]|[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g') AS t FROM a)
+SELECT doc_id, {vowels(f"regexp_replace(t, '[{WHITE}]+', ' ', 'g')")} AS normalized FROM b"""
 
 CORE_TOKENS = f"""WITH spelling(v, k) AS (VALUES {", ".join(f"({quoted(v)}, {quoted(k)})" for v, k in canonical().items())}),
  m AS (SELECT map(list(v), list(k)) AS m FROM spelling),

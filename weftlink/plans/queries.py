@@ -135,6 +135,33 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_name(F.col("text")).alias("normalized"))
 
 
+#: Names with white space of several kinds around and within, and characters beyond 16 bits.
+PADDED = "concat(CASE c_custkey % 4 WHEN 0 THEN decode(unhex('09'), 'UTF-8') WHEN 1 THEN decode(unhex('C2A00A'), 'UTF-8') WHEN 2 THEN decode(unhex('E280A8'), 'UTF-8') ELSE '' END, c_name, CASE c_custkey % 3 WHEN 0 THEN decode(unhex('F09F9880'), 'UTF-8') WHEN 1 THEN decode(unhex('0B'), 'UTF-8') ELSE '' END, c_mktsegment, CASE c_custkey % 5 WHEN 0 THEN decode(unhex('0D0A'), 'UTF-8') WHEN 1 THEN decode(unhex('F09F988120'), 'UTF-8') ELSE '' END)"
+PADDED_SQL = "CASE c_custkey % 4 WHEN 0 THEN chr(9) WHEN 1 THEN chr(160) || chr(10) WHEN 2 THEN chr(8232) ELSE '' END || c_name || CASE c_custkey % 3 WHEN 0 THEN chr(128512) WHEN 1 THEN chr(11) ELSE '' END || c_mktsegment || CASE c_custkey % 5 WHEN 0 THEN chr(13) || chr(10) WHEN 1 THEN chr(128513) || ' ' ELSE '' END"
+
+
+@query(f"""WITH n AS (SELECT c_custkey, {PADDED_SQL} AS name FROM customer),
+ t AS (SELECT c_custkey, lower(replace(replace(trim(regexp_replace(name, '[' || chr(9) || chr(10) || chr(11) || chr(13) || chr(160) || chr(8232) || ' ]+', ' ', 'g')), chr(128512), ''), chr(128513), '')) AS t FROM n)
+SELECT c_custkey, {oracles.vowels("regexp_replace(replace(t, '#', ''), ' +', ' ', 'g')")} AS normalized FROM t""")
+def padded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normalize_name(F.expr(PADDED)).alias("normalized"))
+
+
+#: The two characters, each as two units of which the first is the same.
+UNITS = "replace(replace({}, chr(128512), '!$'), chr(128513), '!%')"
+
+
+@query(f"""WITH n AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN chr(128512) WHEN 1 THEN chr(128513) || chr(128512) ELSE '' END || c_name AS a, c_mktsegment || CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN chr(128512) ELSE chr(128513) END AS b FROM customer),
+ u AS (SELECT c_custkey, {UNITS.format("a")} AS a, {UNITS.format("b")} AS b FROM n)
+SELECT c_custkey, levenshtein(a, b)::INT AS distance, round(1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 9) AS similarity FROM u""")
+def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances in units of UTF-16."""
+    smile, grin = ("decode(unhex('F09F988%d'), 'UTF-8')" % k for k in (0, 1))
+    a = F.expr(f"concat(CASE c_custkey % 3 WHEN 0 THEN {smile} WHEN 1 THEN concat({grin}, {smile}) ELSE '' END, c_name)")
+    b = F.expr(f"concat(c_mktsegment, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN {smile} ELSE {grin} END)")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.distance(a, b).alias("distance"), F.round(text.text_similarity(a, b), 9).alias("similarity"))
+
+
 @query(oracles.CORE_TOKENS)
 def core_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.core_tokens(F.col("text")), " ").alias("tokens"))

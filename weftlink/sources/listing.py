@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.filenames import auto_detect, best_record, stem, with_template
 from ..functions.text import display_name
 from ..operators.numbering import numbered
+from ..storage import written
 
 IMAGES = ("png", "jpg", "jpeg", "bmp")
 
+#: Bytes of an image that are looked at first.
+HEAD = 1 << 16
+
 
 def files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """(path, name, depth, length, modified) of every file that isn't empty; contents aren't read."""
@@ -105,7 +109,10 @@ def header_size(data: bytes) -> tuple[int, int] | None:
 
 
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, width, height) of the images below folder; null where the header isn't one of a PNG or JPEG."""
+    """(path, length, width, height) of the images below folder; null where the header isn't one of a PNG or JPEG.
+
+    A JPEG's size may stand behind other segments, of any length: files whose first HEAD bytes don't tell are read whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +120,12 @@ def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array([w for w, _ in sizes], pa.int32()), pa.array([h for _, h in sizes], pa.int32())], names=["path", "length", "width", "height"])
 
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    rows = rows.where(F.lower("path").rlike(r"\.(png|jpg|jpeg|bmp)$")).select("path", "length", F.substring("content", 1, 1 << 18).alias("head"))
-    return rows.mapInArrow(run, "path string, length long, width int, height int")
+    rows = rows.where(F.lower("path").rlike(r"\.(png|jpg|jpeg|bmp)$"))
+    kinds = "path string, length long, width int, height int"
+    told = written(rows.select("path", "length", F.substring("content", 1, HEAD).alias("head")).mapInArrow(run, kinds), "sizes")
+    untold = F.col("width").isNull() & (F.col("length") > HEAD)
+    whole = rows.join(told.where(untold).select("path"), "path", "left_semi").select("path", "length", F.col("content").alias("head"))
+    return told.where(~untold).unionByName(whole.mapInArrow(run, kinds))
 
 
 def content_hashes(spark: SparkSession, folder: str, run: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import full_name
+from ..functions.text import full_name, is_blank
 from ..operators.numbering import numbered
 from ..schemas import PLAYERS, TEAMS
 
@@ -25,7 +26,7 @@ def as_players(rows: DataFrame, keep_flags: bool = False) -> DataFrame:
     """rows in the columns of a player, and FullName. Without keep_flags, ValidMapping and Confidence follow from the ID alone:
     true and 1.0 where there is one. Missing names are empty texts; seq, if rows has it, stays as the order of the input."""
     ident = folded(rows, IDS)
-    given = F.coalesce(F.trim(ident), F.lit("")) != ""
+    given = ~is_blank(ident)
     have = {c.lower() for c in rows.columns}
     flags = [given, F.when(given, 1.0).otherwise(0.0)]
     if keep_flags:
@@ -43,34 +44,79 @@ def as_teams(rows: DataFrame) -> DataFrame:
     return rows.select(ident.alias("TeamId"), name.alias("TeamName"), F.concat(ident.cast("string"), F.lit(" - "), name).alias("DisplayName"), safe.alias("SafeTeamName"))
 
 
-def sql_rows(spark: SparkSession, query: str, params: dict | None = None, jdbc: dict[str, str] | None = None, **tables: DataFrame) -> DataFrame:
-    """A query's rows: over the session's tables, or tables given as {name}, with named parameters (:name); or, with jdbc options,
-    in the database.
+def sql_rows(spark: SparkSession, query: str, params: dict | None = None, jdbc: dict[str, str] | None = None, parts: tuple[str, int] | None = None, **tables: DataFrame) -> DataFrame:
+    """A query's rows: over the session's tables, or tables given as {name}; or, with jdbc options, in the database.
 
-    A database has no parameters through Spark's reader; numbers and quoted texts are put in place of :name.
+    Parameters stand in the query as :name, @name or {name}, in any case; or as ?, one after another in the order of params. They stand
+    for numbers and texts. parts: a column with numbers and how many partitions its range is read in; by default a database is
+    read by one task.
     """
-    params = params or {}
     if jdbc is None:
-        return spark.sql(query, args=params, **tables)
-    for name, value in sorted(params.items(), key=lambda kv: -len(kv[0])):
-        literal = str(value) if isinstance(value, int | float) else "'" + str(value).replace("'", "''") + "'"
-        query = query.replace(f":{name}", literal).replace(f"@{name}", literal)
-    return spark.read.format("jdbc").options(query=query, **jdbc).load()
+        return spark.sql(bound_query(query, params or {}), **tables)
+    query = bound_query(query, params or {})
+    reader = spark.read.format("jdbc").options(**jdbc)
+    if parts is None:
+        return reader.option("query", query).load()
+    column, n = parts
+    low, high = reader.option("query", f"SELECT MIN(q.{column}) AS low, MAX(q.{column}) AS high FROM ({query}) q").load().first()
+    if low is None:  # no rows, or none with a number
+        return reader.option("query", query).load()
+    return spark.read.format("jdbc").options(**jdbc).option("dbtable", f"({query}) q").options(partitionColumn=column, lowerBound=str(low), upperBound=str(int(high) + 1), numPartitions=str(n)).load()
 
 
-def sql_players(spark: SparkSession, query: str, params: dict | None = None, jdbc: dict[str, str] | None = None, **tables: DataFrame) -> DataFrame:
-    return as_players(sql_rows(spark, query, params, jdbc, **tables))
+#: What isn't looked into for parameters: texts, quoted names, comments, casts; then the parameters' forms.
+MARKS = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/|::|(?P<next>\?)|[:@](?P<name>[A-Za-z_]\w*)|\{(?P<braced>[A-Za-z_]\w*)\}""", re.DOTALL)
 
 
-def sql_teams(spark: SparkSession, query: str, params: dict | None = None, jdbc: dict[str, str] | None = None, **tables: DataFrame) -> DataFrame:
-    return as_teams(sql_rows(spark, query, params, jdbc, **tables))
+def bound_query(query: str, params: dict) -> str:
+    """The query with the parameters' values in place of their marks; marks without a parameter stay, as {name} can be a table.
+    More ? than parameters are an error."""
+    values, order = {k.lower(): v for k, v in params.items()}, iter(params.values())
+
+    def put(m: re.Match) -> str:
+        name = (m["name"] or m["braced"] or "").lower()
+        if m["next"]:
+            return literal(next(order))
+        return literal(values[name]) if name in values else m[0]
+
+    try:
+        return MARKS.sub(put, query)
+    except StopIteration:
+        raise ValueError("the query has more ? than parameters") from None
+
+
+def literal(value: str | int | float | None) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool) or not isinstance(value, int | float):
+        return "'" + str(value).replace("'", "''") + "'"
+    return str(value)
+
+
+def sql_players(spark: SparkSession, query: str, params: dict | None = None, jdbc: dict[str, str] | None = None, parts: tuple[str, int] | None = None, **tables: DataFrame) -> DataFrame:
+    return as_players(sql_rows(spark, query, params, jdbc, parts, **tables))
+
+
+def sql_teams(spark: SparkSession, query: str, params: dict | None = None, jdbc: dict[str, str] | None = None, parts: tuple[str, int] | None = None, **tables: DataFrame) -> DataFrame:
+    return as_teams(sql_rows(spark, query, params, jdbc, parts, **tables))
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV's rows as text, in columns named by its header, blank lines left out. Columns are matched by name, so the
-    header may hold more, or other orders; seq numbers the rows in the order of the file."""
-    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"', ignoreLeadingWhiteSpace=True)
-    return rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("seq")).drop("__file")
+    header may hold more, or other orders.
+
+    seq grows in the order of the rows: of a folder's files by name, of a file's blocks by where they begin, of a block's rows as they come.
+    Spark hands files to tasks by size; only within a block, which lies in one task, do its row numbers follow the file. A text
+    may go on in the next line within quotes; files with such texts aren't split, so that each is read by one task.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=broken, escape='"', ignoreLeadingWhiteSpace=True)
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    blocks = rows.select(*place).distinct().withColumn("__rank", F.row_number().over(Window.orderBy("__file", "__block")))
+    rows = rows.select("*", *place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__row"))
+    seq = F.shiftleft(F.col("__rank").cast("long"), 33) + F.col("__row")
+    return rows.join(blocks, ["__file", "__block"]).withColumn("seq", seq).drop("__file", "__block", "__rank", "__row")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
