@@ -324,3 +324,17 @@ def test_pipeline_of_odd_rows(spark, docs, empty):
             now = stage(spark, now, SF)
             assert k == 4 or now.columns == source.columns
         assert now.count() >= 0
+
+
+def test_labelled_sample_is_bounded(spark):
+    """By rows and by bytes, also where thousands of rows share an id."""
+    from weftlink.llm.common import labelled_sample
+
+    docs = spark.range(5000).selectExpr("id % 3 AS doc_id", "repeat('x', cast(id % 50 AS int)) AS text").union(spark.createDataFrame([(9, None), (None, "y"), (8, "z" * 5000)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 2), (8, 1), (9, 0), (None, 1)], "doc_id long, quality int")
+    assert labelled_sample(docs, labels, "quality", 10).count() == 10
+    rows = labelled_sample(docs, labels, "quality", 4000).collect()
+    assert {(r.doc_id, r.y) for r in rows} == {(0, 1.0), (1, 0.0), (8, 1.0), (9, 0.0)} and len(rows) == sum(k % 3 < 2 for k in range(5000)) + 2
+    few = labelled_sample(docs, labels, "quality", 4000, most_bytes=1000).collect()
+    assert 0 < len(few) < len(rows) and sum(len(r.text or "") for r in few) <= 1000
+    assert labelled_sample(docs.where("false"), labels, "quality", 10).count() == 0

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,14 +204,22 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int, only=None) -> DataFrame:
-    """At most `limit` labelled documents, chosen by a hash of the id: (doc_id, text, y).
+#: Bytes of text that a labelled sample has at most.
+SAMPLE_BYTES = 64 << 20
 
-    The ids are chosen among the labels, so that the broadcast side has at most `limit` rows.
-    Null ids and labels other than 0 and 1 are left out; of repeated labels the smallest counts.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int, only=None, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most `limit` labelled documents with at most `most_bytes` of text in all, in the order of a hash of the id: (doc_id, text, y).
+
+    The ids are chosen among the labels, so that the broadcast side has at most `limit` rows; several documents of one id count each. From
+    the row on that would go beyond most_bytes, documents are left out. Null ids and labels other than 0 and 1 are left out; of repeated
+    labels the smallest counts.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1))
     if only is not None:
         chosen = chosen.where(only)
     chosen = chosen.groupBy("doc_id").agg(F.min(target).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(limit)
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__bytes", size).where(F.col("__bytes") <= most_bytes).drop("__bytes")
