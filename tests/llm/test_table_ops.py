@@ -335,6 +335,6 @@ def test_labelled_sample_is_bounded(spark):
     assert labelled_sample(docs, labels, "quality", 10).count() == 10
     rows = labelled_sample(docs, labels, "quality", 4000).collect()
     assert {(r.doc_id, r.y) for r in rows} == {(0, 1.0), (1, 0.0), (8, 1.0), (9, 0.0)} and len(rows) == sum(k % 3 < 2 for k in range(5000)) + 2
-    few = labelled_sample(docs, labels, "quality", 4000, most_bytes=1000).collect()
+    few = labelled_sample(docs, labels, "quality", 4000, most_bytes=1000).collect()  # without the long document
     assert 0 < len(few) < len(rows) and sum(len(r.text or "") for r in few) <= 1000
     assert labelled_sample(docs.where("false"), labels, "quality", 10).count() == 0

@@ -211,8 +211,8 @@ SAMPLE_BYTES = 64 << 20
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int, only=None, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """At most `limit` labelled documents with at most `most_bytes` of text in all, in the order of a hash of the id: (doc_id, text, y).
 
-    The ids are chosen among the labels, so that the broadcast side has at most `limit` rows; several documents of one id count each. From
-    the row on that would go beyond most_bytes, documents are left out. Null ids and labels other than 0 and 1 are left out; of repeated
+    The ids are chosen among the labels, so that the broadcast side has at most `limit` rows; several documents of one id count each.
+    Documents longer than a sixteenth of most_bytes are left out, and all from the one on that would go beyond most_bytes. Null ids and labels other than 0 and 1 are left out; of repeated
     labels the smallest counts.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1))
@@ -220,6 +220,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int,
         chosen = chosen.where(only)
     chosen = chosen.groupBy("doc_id").agg(F.min(target).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(limit)
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = docs.select("doc_id", "text").where(bytes_ <= most_bytes // 16).join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(limit)
+    size = F.sum(bytes_).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("__bytes", size).where(F.col("__bytes") <= most_bytes).drop("__bytes")
