@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trace_text
+from .geometry import landmark_error, point, rect, scaled
+from .text import bound, trace_text
 
 ONE = "confidence double, isMatch boolean, reason string"
+PLACE = "struct<x double, y double>"
+FACE = f"faceDetected boolean, bothEyesDetected boolean, faceRect struct<x double, y double, width double, height double>, leftEye {PLACE}, rightEye {PLACE}, faceCenter {PLACE}, confidence double"
 MANY = "results array<struct<index int, confidence double, isMatch boolean, reason string>>"
 TASK = "Decide whether two names belong to one person. Word order, spelling, accents, short forms and left-out middle names may differ. "
 ASK_ONE = TASK + 'Answer with JSON only: {"confidence": a number from 0 to 1, "isMatch": true or false, "reason": a few words}. Names: '
@@ -63,6 +66,36 @@ def parse_many(response: Column) -> Column:
     return F.when(F.size(last) > 0, F.map_from_arrays(F.transform(last, lambda r: r["index"]), F.transform(last, lambda r: F.struct(F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"), r["isMatch"].alias("isMatch"), F.coalesce(r["reason"], F.lit("")).alias("reason")))))
 
 
+def parse_landmarks(response: Column, width: Column, height: Column) -> Column:
+    """(face_detected, both_eyes, face, left_eye, right_eye, center, confidence, error) of a vision model's answer, in pixels.
+
+    What stands from the first opening to the last closing brace is read as JSON; fractions count as shares of the picture's size. An answer
+    that has no JSON, or none that can be read, or landmarks that can't be right, detects nothing and says why; null reads as no JSON.
+    """
+    json = outer_object(F.coalesce(response, F.lit("")))
+    once = F.struct(json.alias("json"), F.from_json(json, FACE).alias("data"), width.cast("int").alias("width"), height.cast("int").alias("height"))
+    return bound(once, lambda said: bound(_placed(said), lambda p: _judged(said, p)))
+
+
+def _placed(said: Column) -> Column:
+    data, width, height = said["data"], said["width"], said["height"]
+    at = lambda p: F.when(p.isNotNull(), point(scaled(p["x"], width), scaled(p["y"], height)))
+    box, found = data["faceRect"], F.coalesce(data["faceDetected"], F.lit(False))
+    face = F.when(found & box.isNotNull(), rect(scaled(box["x"], width), scaled(box["y"], height), scaled(box["width"], width), scaled(box["height"], height)))
+    return F.struct(found.alias("found"), face.alias("face"), at(data["leftEye"]).alias("left_eye"), at(data["rightEye"]).alias("right_eye"), at(data["faceCenter"]).alias("center"))
+
+
+def _judged(said: Column, p: Column) -> Column:
+    json, data = said["json"], said["data"]
+    wrong = landmark_error(p["found"], p["face"], p["left_eye"], p["right_eye"], said["width"], said["height"])
+    error = F.when(json.isNull(), "no_json").when(F.try_parse_json(json).isNull(), "broken_json").otherwise(wrong)
+    both = F.coalesce(data["bothEyesDetected"], F.lit(False))
+    told = F.struct(p["found"].alias("face_detected"), both.alias("both_eyes"), p["face"].alias("face"), p["left_eye"].alias("left_eye"), p["right_eye"].alias("right_eye"), p["center"].alias("center"), data["confidence"].alias("confidence"), F.lit(None).cast("string").alias("error"))
+    kinds = "struct<face_detected boolean, both_eyes boolean, face struct<x int, y int, width int, height int>, left_eye struct<x int, y int>, right_eye struct<x int, y int>, center struct<x int, y int>, confidence double, error string>"
+    none = F.struct(F.lit(False), F.lit(False), *[F.lit(None)] * 5, error).cast(kinds)
+    return F.when(error.isNull(), told.cast(kinds)).otherwise(none)
+
+
 def number(c: Column) -> Column:
     """A number with up to three decimals and no more than it needs."""
     return F.regexp_replace(F.format_string("%.3f", c.cast("double")), r"\.?0+$", "")

@@ -143,3 +143,12 @@ def only_player(players: DataFrame, ident: str | None) -> DataFrame:
         return rows
     same: Column = (F.col("PlayerId").cast("string") == ident) | (F.lower("External_Player_ID") == ident.lower())
     return rows.where(same)
+
+
+def first_answers(attempts: DataFrame, key: str = "path", most: int = 3) -> DataFrame:
+    """(key, attempt, response, error) of attempts (key, attempt from 1, response, error): each picture's first attempt that was answered,
+    within the first `most`; without one the last of them, whose error stands. A null response wasn't answered; empty ones were."""
+    tried = attempts.where(F.col("attempt") <= most)
+    answered = F.col("response").isNotNull()
+    best = F.min_by(F.struct("attempt", "response", "error"), F.struct((~answered).cast("int"), F.when(answered, F.col("attempt")).otherwise(-F.col("attempt"))))
+    return tried.groupBy(key).agg(best.alias("b")).select(key, "b.attempt", "b.response", F.when(F.col("b.response").isNull(), F.col("b.error")).alias("error"))

@@ -41,6 +41,28 @@ def benchmark_metrics(rows: DataFrame, by: str = "model") -> DataFrame:
     return rows.groupBy(by).agg(*metrics)
 
 
+def threshold_sweep(rows: DataFrame, by: str = "preset", steps: int = 100) -> DataFrame:
+    """What each threshold 0, 1/steps, ... 1 would give, by preset, in one pass over results (by, expected, confidence): by, threshold, tests,
+    accepted (confidence at or above it), right (accepted and expected), accuracy, precision (1 if none is accepted) and recall (1 if none
+    is expected).
+
+    Confidences are counted by step; a threshold takes in all steps from it on. What comes together for a preset is its steps, not
+    its rows. Null confidences count as 0, those beyond 0 and 1 as the nearer of the two; null as expected counts as false.
+    """
+    step = F.floor(F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * steps + 1e-9).cast("int")
+    yes = F.coalesce(F.col("expected"), F.lit(False)).cast("long")
+    counted = rows.groupBy(by, step.alias("step")).agg(F.count("*").alias("n"), F.sum(yes).alias("y"))
+    presets = counted.groupBy(by).agg(F.sum("n").alias("tests"), F.sum("y").alias("positives"))
+    grid = presets.select(by, "tests", "positives", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    counted = counted.withColumnRenamed(by, "__by")
+    full = grid.join(counted, F.col("__by").eqNullSafe(F.col(by)) & (grid["step"] == counted["step"]), "left").select(by, "tests", "positives", grid["step"], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("y", F.lit(0)).alias("y"))
+    after = Window.partitionBy(by).orderBy("step").rowsBetween(0, Window.unboundedFollowing)
+    full = full.withColumns({"accepted": F.sum("n").over(after), "right": F.sum("y").over(after)})
+    accuracy = (F.col("right") + (F.col("tests") - F.col("accepted")) - (F.col("positives") - F.col("right"))) / F.col("tests")
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(1.0)
+    return full.select(by, (F.col("step") / steps).alias("threshold"), "tests", "accepted", "right", accuracy.alias("accuracy"), share("right", "accepted").alias("precision"), share("right", "positives").alias("recall"))
+
+
 def face_metrics(rows: DataFrame, by: str = "model") -> DataFrame:
     """The same of detections (by, expected faces, found, confidence, ms): a picture counts as 0 or 1 faces."""
     return benchmark_metrics(rows.select(by, (F.col("expected") == F.col("found").cast("int")).alias("expected"), F.lit(True).alias("predicted"), F.when(F.col("found"), F.col("confidence")).alias("confidence"), "ms"), by)

@@ -60,7 +60,8 @@ def face_cache_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "cache.json")
     mark = "named_struct('face_detected', s_suppkey % 2 = 0, 'model_used', CASE s_suppkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN '' ELSE 'other' END, 'metadata', CASE s_suppkey % 5 WHEN 0 THEN map('parse_error', 'x') ELSE map('k', 'v') END)"
     rows = table(spark, sf_dir, "supplier").selectExpr("concat('/p/', s_suppkey, '.png') AS ImagePath", "s_suppkey * 10 AS FileSize", "'2024-01-01T00:00:00Z' AS LastModified", f"{mark} AS Landmarks", "'M' AS Model")
-    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).coalesce(1).write.text(path)
+    chunks = rows.groupBy(F.floor(F.col("FileSize") / 500).alias("chunk")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    chunks.repartition("chunk").write.partitionBy("chunk").text(path)  # a list of fifty entries a file
     return documents.face_cache(spark, path).select("ImagePath", "FileSize", "Model", F.col("Landmarks.face_detected").alias("found"))
 
 
@@ -83,11 +84,14 @@ def expected_faces_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.with_expected_faces(listed, documents.expected_faces(spark, [path]), "/top").select("id", "expected_faces")
 
 
-@query("SELECT * FROM (VALUES ('small', 34, 50, 's', NULL), ('Big', 200, 300, NULL, '/p.png')) t(key, width, height, \"outputSubfolder\", \"placeholderPath\")")
+@query("""SELECT 'S' || p_size AS key, p_size::INT AS width, (p_size * 3 // 2)::INT AS height, CASE WHEN n % 2 = 0 THEN 's' END AS "outputSubfolder", CASE WHEN n % 2 = 1 THEN '/p.png' END AS "placeholderPath" FROM (SELECT p_size, count(*) AS n FROM part WHERE p_size > 0 GROUP BY 1)""")
 def size_profile_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile with a variant for every size that parts have, of which there are a few dozen; with a comment, and a comma at a list's end."""
     path = new_path(spark, "profile.json")
-    said = '{"Name": "x", // sizes\n "variants": [{"Key": "small", "width": 34, "Height": 50, "outputSubfolder": "s"}, {"key": "Big", "width": 200, "height": 300, "placeholderPath": "/p.png",}]}'
-    spark.createDataFrame([(said,)], "value string").coalesce(1).write.text(path)
+    sizes = table(spark, sf_dir, "part").where("p_size > 0").groupBy("p_size").agg(F.count("*").alias("n"))
+    variants = sizes.selectExpr("concat('S', p_size) AS Key", "p_size AS width", "p_size * 3 div 2 AS Height", "CASE WHEN n % 2 = 0 THEN 's' END AS outputSubfolder", "CASE WHEN n % 2 = 1 THEN '/p.png' END AS placeholderPath")
+    listed = F.regexp_replace(F.to_json(F.collect_list(F.struct("*"))), r"\]$", ",]")
+    variants.agg(F.concat(F.lit('{"Name": "x", // sizes\n "variants": '), listed, F.lit("}")).alias("value")).write.text(path)
     return documents.size_profile(spark, path)
 
 
@@ -97,14 +101,11 @@ def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.reference_mapping(people.first_with_rows(rows.where("false"), rows))
 
 
-@query("""SELECT * FROM (VALUES (1, 1, 'Rodríguez Sánchez'), (2, 1, 'Ramos Sergio'), (3, 1, 'Iniesta Andrés')) t("PlayerId", "TeamId", "FullName")
- UNION ALL SELECT k::INT, t::INT, 'Family' || k || ' Sur' || k FROM (SELECT 2 AS t, unnest(range(1, 11)) AS k UNION ALL SELECT 3, unnest(range(1, 26)))""")
+@query("""SELECT p.* FROM (SELECT * FROM (VALUES (1, 1, 'Rodríguez Sánchez'), (2, 1, 'Ramos Sergio'), (3, 1, 'Iniesta Andrés')) t("PlayerId", "TeamId", "FullName")
+ UNION ALL SELECT k::INT, t::INT, 'Family' || k || ' Sur' || k FROM (SELECT 2 AS t, unnest(range(1, 11)) AS k UNION ALL SELECT 3, unnest(range(1, 26)))) p JOIN supplier ON s_suppkey = "TeamId" """)
 def made_up_players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-ins for a database, only where they are asked for."""
-    out = people.sample_players(spark, 1)
-    for team in (2, 3, 4):
-        out = out.unionByName(people.sample_players(spark, team))
-    return out.select("PlayerId", "TeamId", "FullName")
+    """The stand-ins for a database, only where they are asked for: here for a team a supplier."""
+    return people.stand_ins(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS TeamId")).select("PlayerId", "TeamId", "FullName")
 
 
 TEMPLATE = r"'^(\d+)_([^{}_]+)_([^{}.]+)\.png$'"

@@ -435,6 +435,17 @@ def tests(spark: SparkSession, sf_dir: str, late: bool | None = None) -> DataFra
 METRICS_SQL = "SELECT event_type AS model, count(*) AS tests, sum(((user_id % 2 = 0) = (value >= 20))::INT)::BIGINT AS correct, avg(((user_id % 2 = 0) = (value >= 20))::INT) AS accuracy, avg(event_id % 100) AS avg_ms, coalesce(sum(value) FILTER (value >= 20) / count(*) FILTER (value >= 20), 0) AS avg_confidence FROM events"
 
 
+@query("""WITH r AS (SELECT l_returnflag AS preset, expected_ AS expected, c FROM (SELECT l_returnflag, l_suppkey % 3 > 0 AS expected_, CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE (l_orderkey * 7 + l_linenumber * 13 + l_suppkey % 3 * 20) % 101 END AS c FROM lineitem)),
+ g AS (SELECT preset, t FROM (SELECT DISTINCT preset FROM r), (SELECT unnest(range(0, 101)) AS t)),
+ m AS (SELECT g.preset, t, count(*) AS tests, sum((c >= t)::INT) AS accepted, sum((c >= t AND expected)::INT) AS hits, sum(((c >= t) = expected)::INT) AS same, sum(expected::INT) AS positives FROM g JOIN r ON r.preset = g.preset GROUP BY g.preset, t)
+SELECT preset, t / 100.0::DOUBLE AS threshold, tests, accepted::BIGINT AS accepted, hits::BIGINT AS "right", round(same / tests::DOUBLE, 9) AS accuracy, round(CASE WHEN accepted > 0 THEN hits / accepted::DOUBLE ELSE 1 END, 9) AS precision, round(CASE WHEN positives > 0 THEN hits / positives::DOUBLE ELSE 1 END, 9) AS recall FROM m""")
+def sweep_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of three presets at a hundred and one thresholds."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS preset", "l_suppkey % 3 > 0 AS expected", "CASE WHEN l_partkey % 50 > 0 THEN (l_orderkey * 7 + l_linenumber * 13 + l_suppkey % 3 * 20) % 101 / 100D END AS confidence")
+    out = reports.threshold_sweep(rows)
+    return out.select("preset", "threshold", "tests", "accepted", "right", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall")])
+
+
 @query(f"SELECT model, tests, correct, round(accuracy, 6) AS accuracy, round(avg_ms, 6) AS avg_ms, round(avg_confidence, 6) AS avg_confidence FROM ({METRICS_SQL} GROUP BY 1)")
 def benchmark_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.benchmark_metrics(tests(spark, sf_dir)).select("model", "tests", "correct", *[F.round(c, 6).alias(c) for c in ("accuracy", "avg_ms", "avg_confidence")])
@@ -639,6 +650,21 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_orderkey % 4 AS kind, CASE WHEN l_orderkey % 3 = 0 THEN 1 WHEN l_orderkey % 3 = 1 THEN 2 ELSE 3 END AS attempt, l_partkey % 60 AS x, l_suppkey % 40 AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, attempt, kind < 2 AS face_detected, CASE kind WHEN 0 THEN trunc((x + 1) / 100.0::DOUBLE * 800)::INT WHEN 1 THEN (x + 1) * 8 END AS face_x, CASE kind WHEN 0 THEN trunc((y + 1) / 100.0::DOUBLE * 600)::INT WHEN 1 THEN (y + 1) * 6 END AS face_y,
+ CASE WHEN kind < 2 THEN 160 END AS face_width, CASE WHEN kind = 0 THEN trunc(((x + 1) / 100.0::DOUBLE + 0.05::DOUBLE) * 800)::INT END AS eye_x,
+ CASE kind WHEN 2 THEN 'no_json' WHEN 3 THEN 'broken_json' END AS error FROM a""")
+def parse_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in prose and code fences, in fractions or pixels, some without JSON or with a broken one; up to three attempts a picture."""
+    x, y = "(l_partkey % 60 + 1)", "(l_suppkey % 40 + 1)"
+    said = f"""CASE l_orderkey % 4 WHEN 0 THEN concat('Sure: ```json {{"faceDetected": true, "bothEyesDetected": true, "faceRect": {{"x": ', {x} / 100D, ', "y": ', {y} / 100D, ', "width": 0.2, "height": 0.25}}, "leftEye": {{"x": ', {x} / 100D + 0.05, ', "y": ', {y} / 100D + 0.1, '}}, "confidence": 0.9}} ```')
+      WHEN 1 THEN concat('{{"faceDetected": true, "faceRect": {{"x": ', {x} * 8, ', "y": ', {y} * 6, ', "width": 160, "height": 150}}, "confidence": 0.8}}') WHEN 2 THEN 'I see nobody.' ELSE 'Well {{"faceDetected": true, }} indeed' END"""
+    rows = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("path"), F.expr(said).alias("said"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"))
+    attempts = rows.select("path", "attempt", F.when(F.col("attempt") > F.col("path.l_orderkey") % 3, F.col("said")).alias("response"), F.lit("timeout").alias("error"))
+    first = images.first_answers(attempts).withColumn("p", responses.parse_landmarks(F.col("response"), F.lit(800), F.lit(600)))
+    return first.select("path.l_orderkey", "path.l_linenumber", "path.l_partkey", "path.l_suppkey", "attempt", "p.face_detected", F.col("p.face.x").alias("face_x"), F.col("p.face.y").alias("face_y"), F.col("p.face.width").alias("face_width"), F.col("p.left_eye.x").alias("eye_x"), "p.error")
+
+
 @query(oracles.landmarks(BOX))
 def landmark_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select(*LINE, geometry.landmark_error(*[F.col(c) for c in ("found", "face", "left", "right", "w", "h")]).alias("error"))

@@ -150,12 +150,25 @@ def sample_teams(spark: SparkSession) -> DataFrame:
     return as_teams(spark.createDataFrame([(k, f"Team {k}") for k in range(1, 6)], TEAMS))
 
 
+# The made-up players of the first team, and how many the next ones have.
+FIRST_TEAM = ((1, "Rodríguez", "Sánchez"), (2, "Ramos", "Sergio"), (3, "Iniesta", "Andrés"))
+TEAM_SIZES = {2: 10, 3: 25}
+
+
+def stand_ins(teams: DataFrame) -> DataFrame:
+    """Made-up players for each row of teams (TeamId): 3, 10 and 25 for the teams 1 to 3, else none."""
+    fixed = F.array(*[F.struct(F.lit(k).alias("PlayerId"), F.lit(family).alias("FamilyName"), F.lit(sur).alias("SurName")) for k, family, sur in FIRST_TEAM])
+    size = F.coalesce(*[F.when(F.col("TeamId") == t, n) for t, n in TEAM_SIZES.items()])
+    first = teams.where("TeamId = 1").select(F.col("TeamId").cast("int").alias("TeamId"), F.explode(fixed).alias("p"))
+    k = F.col("k").cast("string")
+    more = teams.where(size.isNotNull()).select(F.col("TeamId").cast("int").alias("TeamId"), F.explode(F.sequence(F.lit(1), size)).alias("k"))
+    each = first.unionByName(more.select("TeamId", F.struct(F.col("k").alias("PlayerId"), F.concat(F.lit("Family"), k).alias("FamilyName"), F.concat(F.lit("Sur"), k).alias("SurName")).alias("p")))
+    return as_players(each.select("p.PlayerId", "TeamId", "p.FamilyName", "p.SurName"))
+
+
 def sample_players(spark: SparkSession, team: int) -> DataFrame:
-    """Made-up players: 3, 10 and 25 for the teams 1 to 3, else none."""
-    first = [(1, "Rodríguez", "Sánchez"), (2, "Ramos", "Sergio"), (3, "Iniesta", "Andrés")]
-    names = first if team == 1 else [(k + 1, f"Family{k + 1}", f"Sur{k + 1}") for k in range({2: 10, 3: 25}.get(team, 0))]
-    rows = [(k, team, family, sur, None, None, None) for k, family, sur in names]
-    return as_players(spark.createDataFrame(rows, PLAYERS))
+    """The made-up players of one team."""
+    return stand_ins(spark.createDataFrame([(team,)], "TeamId int"))
 
 
 def players_from_names(listing: DataFrame, first_is_sur: bool = False, base: int = 900_000_000) -> DataFrame:
