@@ -132,3 +132,31 @@ def test_white_space_and_units(spark):
     texts = ["a", "😀a", "a😀😁", None, "\U0001f600\U0001f601"]
     assert [r.u for r in got] == [len(units(t)) for t in texts] and [r.d for r in got] == [plain(units(t), units("a")) for t in texts]
     assert [round(r.s, 9) for r in got] == [round(1 - plain(units(t), units("😁")) / max(len(units(t)), 2), 9) for t in texts]
+
+
+def test_thresholds_swept(spark):
+    from weftlink.operators import reports
+
+    rows = [("a", True, 0.9), ("a", False, 0.9), ("a", True, None), ("a", None, 0.29), ("b", False, 7.0), (None, True, -1.0), (None, True, 0.5)]
+    out = reports.threshold_sweep(spark.createDataFrame(rows, "preset string, expected boolean, confidence double"), steps=10).collect()
+    assert len(out) == 33
+    for r in out:
+        mine = [(bool(e), min(max(c or 0.0, 0.0), 1.0)) for p, e, c in rows if p == r.preset]
+        taken = [e for e, c in mine if c >= r.threshold]
+        assert (r.tests, r.accepted, r.right) == (len(mine), len(taken), sum(taken))
+        assert r.accuracy == pytest.approx(sum((c >= r.threshold) == e for e, c in mine) / len(mine))
+        assert r.precision == pytest.approx(sum(taken) / len(taken) if taken else 1) and r.recall == pytest.approx(sum(taken) / sum(e for e, _ in mine) if any(e for e, _ in mine) else 1)
+    assert reports.threshold_sweep(spark.createDataFrame([], "preset string, expected boolean, confidence double")).count() == 0
+
+
+def test_vision_answers(spark):
+    from weftlink.operators import images
+
+    tries = [("a", 1, None, "timeout"), ("a", 2, "", None), ("a", 3, "{}", None), ("b", 1, None, "x"), ("b", 2, None, "y"), ("b", 3, None, "z"), ("b", 4, "{}", None)]
+    got = {r.path: tuple(r)[1:] for r in images.first_answers(spark.createDataFrame(tries, "path string, attempt int, response string, error string")).collect()}
+    assert got == {"a": (2, "", None), "b": (3, None, "z")}
+    said = ['x {"faceDetected": true, "faceRect": {"x": 0.1, "y": 20, "width": 0.2, "height": 30}, "leftEye": {"x": 0.9, "y": 25}, "confidence": 0.5} y', '{"faceDetected": true}', '{"faceDetected": false, "confidence": 0}', "{", None, "{]}",
+            '```json {"faceDetected": true, "bothEyesDetected": true, "faceRect": {"x": 10, "y": 20, "width": 30, "height": 30}, "leftEye": {"x": 15, "y": 25}, "rightEye": {"x": 30, "y": 25}} ```']
+    rows = [r.p for r in spark.createDataFrame([(s,) for s in said], "s string").select(responses.parse_landmarks(F.col("s"), F.lit(100), F.lit(100)).alias("p")).collect()]
+    assert [r.error for r in rows] == ["left_eye_outside_face_rect", "face_detected_without_face_rect", None, "no_json", "no_json", "broken_json", None]
+    assert [r.face_detected for r in rows] == [False] * 6 + [True] and rows[6].both_eyes and tuple(rows[6].face) == (10, 20, 30, 30) and tuple(rows[6].right_eye) == (30, 25) and rows[0].face is None
