@@ -34,14 +34,19 @@ def first_of(rows: DataFrame, key: Column, seq: str, *cols: str) -> DataFrame:
     return rows.groupBy(key.alias("__key")).agg(F.min(F.struct(seq, *cols)).alias("__first"))
 
 
-def direct_matches(players: DataFrame, photos: DataFrame) -> DataFrame:
+def direct_matches(players: DataFrame, photos: DataFrame, within: str | None = None) -> DataFrame:
     """players that have an id, with the photo of the same id in any case (path), method and reason.
 
     The first photo of an id counts, and goes to the first player of the id; the others of that id, and ids without a photo, have
     none, and are not matched by name either. players: player_seq and External_Player_ID; photos: cand_seq, path, external_id.
+    within: a column of both; ids then count within its values, and photos go to players of the same one. A null there is one value more.
     """
-    asked = players.where(~blank(F.col("External_Player_ID"))).withColumn("__id", F.lower("External_Player_ID"))
-    have = first_of(photos.where(~blank(F.col("external_id"))), F.lower("external_id"), "cand_seq", "path")
+
+    def ident(col: str) -> Column:
+        return F.lower(col) if within is None else F.struct(F.coalesce(F.col(within).cast("string"), F.lit("")).alias("w"), F.lower(col).alias("i"))
+
+    asked = players.where(~blank(F.col("External_Player_ID"))).withColumn("__id", ident("External_Player_ID"))
+    have = first_of(photos.where(~blank(F.col("external_id"))), ident("external_id"), "cand_seq", "path")
     have = have.select(F.col("__key").alias("__photo_id"), F.col("__first.cand_seq").alias("cand_seq"), F.col("__first.path").alias("path"))
     firsts = first_of(asked, F.col("__id"), "player_seq").select(F.col("__key").alias("__owner_id"), F.col("__first.player_seq").alias("__owner"))
     won = firsts.join(have, F.col("__owner_id") == F.col("__photo_id")).select(F.col("__owner"), "cand_seq", "path")
@@ -54,11 +59,14 @@ def rankable(photos: DataFrame) -> DataFrame:
     return photos.where(~blank(F.col("external_id")) & ~blank(F.col("display_name")))
 
 
-def with_names(rows: DataFrame, col: str) -> DataFrame:
-    """rows with the normalised name, its tokens, and name, a text that stands for both."""
+def with_names(rows: DataFrame, col: str, within: str | None = None) -> DataFrame:
+    """rows with the normalised name, its tokens, and name, a text that stands for both; and scope, the value of the column `within` as
+    a text, empty if there is none. Names meet others of their scope only, and name stands for it, too."""
+    rows = rows.withColumn("scope", F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit("")))
     rows = rows.withColumn("norm", normalize_name(F.col(col)))
     rows = rows.withColumn("tokens", name_tokens(F.col(col), F.col("norm")))
-    return rows.withColumn("name", F.concat_ws("|", F.col("norm"), F.array_join("tokens", " ")))
+    before = [] if within is None else [F.col("scope")]
+    return rows.withColumn("name", F.concat_ws("|", *before, F.col("norm"), F.array_join("tokens", " ")))
 
 
 def key_of(kind: str, *parts: str) -> str:
@@ -108,13 +116,13 @@ def keys_of_name(norm: str, rare: list[str], mine: str, theirs: str, bound: floa
 
 
 def name_keys(names: DataFrame, mine: str, theirs: str, bound: float) -> DataFrame:
-    """(id, key) of names (id, norm, rare): each name's keys, hashed. Keys that happen to share a hash only bring more names together."""
+    """(id, key) of names (id, scope, norm, rare): each name's keys, hashed with its scope. Keys that happen to share a hash only bring more names together."""
 
     @F.pandas_udf("array<string>")
     def keys(norm: pd.Series, rare: pd.Series) -> pd.Series:
         return pd.Series([list(keys_of_name(n, list(t), mine, theirs, bound)) for n, t in zip(norm, rare, strict=True)])
 
-    return names.select("id", F.explode(keys("norm", "rare")).alias("key")).select("id", F.xxhash64("key").alias("key"))
+    return names.select("id", "scope", F.explode(keys("norm", "rare")).alias("key")).select("id", F.xxhash64("scope", "key").alias("key"))
 
 
 def brought_together(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -138,7 +146,7 @@ def spread(rows: DataFrame, most: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sides:
-    """The distinct names of both sides, written: id (good for this table only), name, norm, tokens, rare (the distinct tokens, the rarest
+    """The distinct names of both sides, written: id (good for this table only), name, norm, tokens, scope, rare (the distinct tokens, the rarest
     in both tables first), and of photos n and the first cand_seq."""
 
     left: DataFrame
@@ -148,7 +156,7 @@ class Sides:
 
 def sides(players: DataFrame, photos: DataFrame, scratch: Scratch) -> Sides:
     """players and photos: with_names; photos with cand_seq."""
-    kinds = [F.first("norm").alias("norm"), F.first("tokens").alias("tokens")]
+    kinds = [F.first(c).alias(c) for c in ("norm", "tokens", "scope")]
     left = scratch.write(players.groupBy("name").agg(*kinds), "names")
     right = scratch.write(photos.groupBy("name").agg(*kinds, F.count("*").alias("n"), F.min("cand_seq").alias("cand_seq")), "names")
     tokens = [x.select("name", F.explode(F.array_distinct("tokens")).alias("token")) for x in (left, right)]
@@ -172,7 +180,8 @@ def met_pairs(both: Sides, left: DataFrame, bound: float) -> DataFrame:
     keys = [scratch.write(name_keys(x, m, o, bound), "keys") for x, m, o in tables]
     met = spread(scratch.write(brought_together(*keys), "met"), PAIRS_AT_ONCE)
     for x, side in ((left, "left"), (both.right, "right")):
-        met = met.join(x.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("norm").alias(f"{side}_norm"), F.col("tokens").alias(f"{side}_tokens")), f"{side}_id")
+        met = met.join(x.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("norm").alias(f"{side}_norm"), F.col("tokens").alias(f"{side}_tokens"), F.col("scope").alias(f"{side}_scope")), f"{side}_id")
+    met = met.where("left_scope = right_scope")
     scored = with_name_score(met, "left_tokens", "left_norm", "right_tokens", "right_norm", above=bound + 1e-9)
     return scratch.write(scored.select("left_name", "right_name", "score", (F.col("left_norm") == F.col("right_norm")).alias("equal")), "pairs")
 
@@ -223,17 +232,17 @@ def winners(asked: DataFrame) -> DataFrame:
 
 
 def equal_rounds(players: DataFrame, photos: DataFrame) -> DataFrame:
-    """(player_seq, cand_seq, round): how players and photos of the same normalised name pair off, one a round, if nobody else comes
+    """(player_seq, cand_seq, round): how players and photos of the same normalised name pair off within a scope, one a round, if nobody else comes
     between; and only as many rounds of it as pass before a name runs out on either side, or comes down to one photo."""
-    players = players.join(photos.select("norm").distinct(), "norm", "left_semi")
-    photos = photos.join(players.select("norm").distinct(), "norm", "left_semi")
-    p, c = numbered(players.select("norm", "player_seq"), ["norm"], ["player_seq"], "round"), numbered(photos.select("norm", "name", "cand_seq"), ["norm"], ["cand_seq"], "round")
-    asked = p.groupBy("norm").agg(F.max("round").alias("asked"))
-    groups = c.groupBy("norm", "name").agg(F.count("*").alias("n"), F.max("round").alias("last"))
-    behind = c.join(groups.select("norm", "name", "last"), ["norm", "name"]).where(F.col("round") < F.col("last")).groupBy("norm", "name").agg(F.max("round").alias("next_to_last"))
-    each = groups.join(behind, ["norm", "name"], "left").groupBy("norm").agg(F.count("*").alias("names"), F.max("last").alias("last"), F.min(F.coalesce("next_to_last", F.lit(1))).alias("early"))
-    limit = each.join(asked, "norm").select(F.when(F.col("names") == 1, F.least("asked", "last")).otherwise(F.greatest(F.lit(1), F.least("early", "asked"))).alias("r")).agg(F.min("r")).first()[0]
-    return p.join(c, ["norm", "round"]).where(F.col("round") <= (limit or 0)).select("player_seq", "cand_seq", "round")
+    players = players.join(photos.select("scope", "norm").distinct(), ["scope", "norm"], "left_semi")
+    photos = photos.join(players.select("scope", "norm").distinct(), ["scope", "norm"], "left_semi")
+    p, c = numbered(players.select("scope", "norm", "player_seq"), ["scope", "norm"], ["player_seq"], "round"), numbered(photos.select("scope", "norm", "name", "cand_seq"), ["scope", "norm"], ["cand_seq"], "round")
+    asked = p.groupBy("scope", "norm").agg(F.max("round").alias("asked"))
+    groups = c.groupBy("scope", "norm", "name").agg(F.count("*").alias("n"), F.max("round").alias("last"))
+    behind = c.join(groups.select("scope", "norm", "name", "last"), ["scope", "norm", "name"]).where(F.col("round") < F.col("last")).groupBy("scope", "norm", "name").agg(F.max("round").alias("next_to_last"))
+    each = groups.join(behind, ["scope", "norm", "name"], "left").groupBy("scope", "norm").agg(F.count("*").alias("names"), F.max("last").alias("last"), F.min(F.coalesce("next_to_last", F.lit(1))).alias("early"))
+    limit = each.join(asked, ["scope", "norm"]).select(F.when(F.col("names") == 1, F.least("asked", "last")).otherwise(F.greatest(F.lit(1), F.least("early", "asked"))).alias("r")).agg(F.min("r")).first()[0]
+    return p.join(c, ["scope", "norm", "round"]).where(F.col("round") <= (limit or 0)).select("player_seq", "cand_seq", "round")
 
 
 @dataclass(frozen=True)
@@ -281,7 +290,7 @@ def first_two(lists: DataFrame, threshold: float, margin: float = MARGIN, sure:
     return top.where((F.col("score") >= threshold) & ((F.col("margin") >= margin) | (F.col("score") >= sure)))
 
 
-def assign(players: DataFrame, photos: DataFrame, threshold: float, rounds: int | None = None) -> DataFrame:
+def assign(players: DataFrame, photos: DataFrame, threshold: float, rounds: int | None = None, within: str | None = None) -> DataFrame:
     """(player_seq, cand_seq, score, margin, round): rounds of proposals, each photo to the best of those who ask for it, until no
     round takes any; a photo that is gone can free the way for others. rounds: at most so many.
 
@@ -291,12 +300,12 @@ def assign(players: DataFrame, photos: DataFrame, threshold: float, rounds: int
     all ask for the same photo: the first of those left stands for them. Many people and photos of the very same name would pair off one a
     round: such rounds are taken together. The tables of a run are deleted when it ends; its result is a table in the shared folder.
     margin counts to the second photo that scores more than threshold - MARGIN, or to nothing. Null and empty names have no tokens and
-    match nothing; no rows give none.
+    match nothing; no rows give none. within: a column of both, as of a team; its values are assigned each by itself, in the same rounds.
     """
     spark, bound = players.sparkSession, level(threshold)
     scratch = Scratch(spark)
-    people = scratch.write(with_names(players, "FullName").where(F.size("tokens") > 0).select("player_seq", "name", "norm", "tokens"), "players")
-    left = scratch.write(with_names(rankable(photos), "display_name").where(F.size("tokens") > 0).select("cand_seq", "name", "norm", "tokens"), "photos")
+    people = scratch.write(with_names(players, "FullName", within).where(F.size("tokens") > 0).select("player_seq", "name", "norm", "tokens", "scope"), "players")
+    left = scratch.write(with_names(rankable(photos), "display_name", within).where(F.size("tokens") > 0).select("cand_seq", "name", "norm", "tokens", "scope"), "photos")
     waiting = scratch.write(numbered(people.select("name", "player_seq"), ["name"], ["player_seq"], "turn"), "waiting")
     lists = photo_lists(people, left, bound, scratch)
     done, number, active = [], 0, None

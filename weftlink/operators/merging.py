@@ -11,11 +11,11 @@ from .matching import first_of
 KEPT = ("External_Player_ID", "ValidMapping", "Confidence")
 
 
-def merge_prior(players: DataFrame, prior: DataFrame) -> DataFrame:
-    """players with the id, flag and confidence of earlier output (one row per PlayerId) where they have no id now; preserved
-    tells where an earlier row was found, even if that had no id either."""
-    old = prior.select(F.col("PlayerId").alias("__id"), F.struct(*KEPT).alias("__old"))
-    rows = players.join(old, F.col("PlayerId") == F.col("__id"), "left")
+def merge_prior(players: DataFrame, prior: DataFrame, keys: tuple[str, ...] = ("PlayerId",)) -> DataFrame:
+    """players with the id, flag and confidence of earlier output (one row per PlayerId, or per keys) where they have no id now;
+    preserved tells where an earlier row was found, even if that had no id either."""
+    old = prior.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*KEPT).alias("__old"))
+    rows = players.join(old, [F.col(k) == F.col(f"__{k}") for k in keys], "left")
     use = (F.coalesce("External_Player_ID", F.lit("")) == "") & F.col("__old").isNotNull()
     out = rows.select(*[F.when(use, F.col("__old")[c]).otherwise(F.col(c)).alias(c) if c in KEPT else F.col(c) for c in players.columns], use.alias("preserved"))
     return out

@@ -27,15 +27,18 @@ class Run:
 RESULT = ["player_seq", "PlayerId", "cand_seq", "confidence", "method", "model_used", "pass", "reason"]
 
 
-def map_players(players: DataFrame, photos: DataFrame, threshold: float = 0.8, scorer: Scorer | None = None, second_pass: bool = False, scorer_only: bool = False, prior: DataFrame | None = None, strict_id: bool = False) -> Run:
+def map_players(players: DataFrame, photos: DataFrame, threshold: float = 0.8, scorer: Scorer | None = None, second_pass: bool = False, scorer_only: bool = False, prior: DataFrame | None = None, strict_id: bool = False, within: str | None = None) -> Run:
     """Match players (player_seq, PlayerId, TeamId, FullName, External_Player_ID, ValidMapping, Confidence) to photos (cand_seq,
     path, external_id, display_name), each photo to one player.
 
     First by id; players with an id that no photo has stay as they are. Then by names, in rounds; then, with a scorer, one pass or two
     over those who are left. strict_id: an id goes to one player only, even if several photos have it. prior: earlier output, which
-    keeps ids for players that have none now. Results say of everybody what came of it.
+    keeps ids for players that have none now. Results say of everybody what came of it. within: a column of both, as TeamId: ids and names
+    match, and earlier output is kept, within its values only; by names in rounds over all of them at once. It can't go with a scorer or strict_id.
     """
-    direct = written(direct_matches(players, photos).select("player_seq", "PlayerId", "cand_seq", "method", "reason"), "direct")
+    if within is not None and (scorer is not None or strict_id):
+        raise ValueError("within can't go with a scorer or strict_id")
+    direct = written(direct_matches(players, photos, within).select("player_seq", "PlayerId", "cand_seq", "method", "reason"), "direct")
     free = written(photos.join(direct.where("cand_seq is not null").select("cand_seq"), "cand_seq", "left_anti"), "free")
     if strict_id:
         used = photos.join(direct.select("cand_seq"), "cand_seq", "left_semi").select(F.lower("external_id").alias("__u"))
@@ -46,7 +49,7 @@ def map_players(players: DataFrame, photos: DataFrame, threshold: float = 0.8, s
     parts = [direct.select("player_seq", "PlayerId", "cand_seq", F.when(hit, 1.0).otherwise(0.0).alias("confidence"), "method", F.when(hit, "DirectIdMatch").alias("model_used"), F.lit(0).alias("pass"), "reason")]
     if not scorer_only:
         said = F.concat(F.lit("deterministic_score="), number(F.col("score")), F.lit(";margin="), number(F.col("margin")))
-        won = written(assign(open_, free, threshold).select("player_seq", "cand_seq", F.col("score").alias("confidence"), said.alias("reason")), "named")
+        won = written(assign(open_, free, threshold, within=within).select("player_seq", "cand_seq", F.col("score").alias("confidence"), said.alias("reason")), "named")
         parts.append(won.join(open_.select("player_seq", "PlayerId"), "player_seq").select("player_seq", "PlayerId", "cand_seq", "confidence", F.lit("AiNameMatching").alias("method"), F.lit("StringMatching").alias("model_used"), F.lit(0).alias("pass"), "reason"))
         open_, free = open_.join(won, "player_seq", "left_anti"), free.join(won, "cand_seq", "left_anti")
     usage, why = [], "No match" if scorer is None else "No AI match"
@@ -72,5 +75,5 @@ def map_players(players: DataFrame, photos: DataFrame, threshold: float = 0.8, s
     after = after.withColumn("External_Player_ID", F.coalesce("__ext", "External_Player_ID")).withColumn("ValidMapping", F.when(got, F.col("__conf") >= threshold).otherwise(F.col("ValidMapping")))
     after = after.withColumn("Confidence", F.coalesce("__conf", "Confidence")).drop("__ext", "__conf")
     if prior is not None:
-        after = merge_prior(after, prior)
+        after = merge_prior(after, prior, ("PlayerId",) if within is None else (within, "PlayerId"))
     return Run(results, after, mapping_summary(results), usage)
