@@ -104,6 +104,23 @@ def test_suppression_equals_a_plain_loop(spark):
         want |= {(p, r[1]) for r in kept}
     assert {(r.p, r.box_id) for r in images.suppress(df, "p", most=12).collect()} == want
     assert images.suppress(df.where("false"), "p").count() == 0
+    assert {(r.p, r.box_id) for r in images.suppress(df, "p", most=12, stream=0).collect()} == want
+    assert images.suppress(df.where("false"), "p", stream=0).count() == 0
+
+
+def test_tiles_keep_what_a_stream_keeps(spark):
+    """Sizes from 1 to 500, chains across tiles, repeated rows and scores, nulls, infinities and sides that are no sides."""
+    rng = random.Random(9)
+    size = lambda: 1.5 ** rng.randint(0, 15)
+    rows = [(p, k, rng.uniform(-900, 900), rng.uniform(-900, 900), size(), size(), float(rng.randint(0, 30))) for p in ("a", "b") for k in range(900)]
+    rows += [("a", 10_000 + k, k * 4.0, 5000.0, 8.0, 8.0, -float(k)) for k in range(700)]  # each overlaps the next by a third
+    rows += [(None, 1, 0.0, 0.0, 5.0, 5.0, None), (None, 1, 0.0, 0.0, 5.0, 5.0, None), (None, 2, 1.0, 0.0, 5.0, 5.0, 1.0), (None, 3, None, 0.0, 5.0, 5.0, 1.0)]
+    rows += [("c", k, x, 0.0, w, 5.0, s) for k, (x, w, s) in enumerate([(0.0, float("inf"), 1.0), (0.0, 0.0, 1.0), (5.0, -5.0, 1.0), (1e300, 1.0, 1.0), (float("nan"), 1.0, 1.0), (0.0, 5.0, float("nan")), (0.0, 5.0, 0.0), (0.0, 5.0, -0.0)])]
+    df = spark.createDataFrame(rows, "p string, box_id long, x double, y double, width double, height double, score double").withColumn("kept", F.lit("clash")).withColumn("level", F.lit(1))
+    for overlap, most in ((0.3, 100), (0.75, 5000), (0.04, 5000), (0.0, 10)):
+        stream, tiles = (sorted(map(repr, images.suppress(df, "p", overlap, most, stream=n).collect())) for n in (10**6, 0))
+        assert stream == tiles, (overlap, most)
+    assert sorted(map(repr, images.suppress(df, "p", stream=1000).collect())) == sorted(map(repr, images.suppress(df, "p").collect()))
 
 
 def test_chain_and_cache(spark):

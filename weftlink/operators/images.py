@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,10 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.geometry import aspect_trim, with_crop
 from ..functions.rules import blank
 from ..sources.documents import reusable
+from ..storage import Scratch, written
+from .numbering import numbered
 
 OVERLAP, MOST_BOXES = 0.3, 5000
 #: Boxes that are compared with each other and with the kept ones at a time.
 BOXES_AT_ONCE = 256
+#: Pictures of more boxes are cut into tiles; a tile is so many times as long as the shortest boxes of its level.
+STREAMED_BOXES, TILE_SIDES = 100_000, 64
+BOX = ("x", "y", "width", "height")
 DETECTORS = {"opencv-dnn": "opencv-dnn", "dnn": "opencv-dnn", "yolov8-face": "opencv-dnn", "opencv-yunet": "opencv-yunet", "yunet": "opencv-yunet", "haar-cascade": "haar-cascade", "haar": "haar-cascade", "apple-vision": "apple-vision", "vision": "apple-vision", "center": "center", "llava": "llava:7b", "llava:7b": "llava:7b", "qwen3-vl": "qwen3-vl:latest"}
 
 
@@ -74,19 +81,42 @@ def clashes(a: np.ndarray, b: np.ndarray, overlap: float) -> np.ndarray:
     return (union > 0) & (inter >= overlap * union)
 
 
-def suppress(boxes: DataFrame, key: str, overlap: float = OVERLAP, most: int = MOST_BOXES) -> DataFrame:
+def suppress(boxes: DataFrame, key: str, overlap: float = OVERLAP, most: int = MOST_BOXES, stream: int = STREAMED_BOXES) -> DataFrame:
     """Of each picture's boxes (key, box_id, x, y, width, height, score) those that overlap no kept one of a higher score by `overlap`
-    or more, at most `most` of a picture. Equal scores go by box_id; null scores come last.
+    or more, at most `most` of a picture. Equal scores go by box_id, then by place and size; null scores come last.
 
     Spark sorts the boxes of a picture; they stream through a task, which holds a batch and the picture's kept boxes, however many
-    there are of others.
+    there are of others. Pictures of more than `stream` boxes are cut into tiles instead (in_tiles), with the same result. With an
+    overlap of 0 or less every box is in the way of all others, and pictures of any size stream.
     """
+    rows = boxes.select(key, "box_id", "x", "y", "width", "height", "score")
+    if overlap <= 0:
+        return streamed(rows, key, overlap, most)
+    large = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > stream)
+    if large.isEmpty():
+        return streamed(rows, key, overlap, most)
+    large = written(large.select("__key"), "large")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    small = streamed(rows.join(large, same, "left_anti"), key, overlap, most)
+    return small.unionByName(in_tiles(rows.join(large, same, "left_semi"), key, overlap, most))
+
+
+def by_score() -> Column:
+    return F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))
+
+
+def side_arrays(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in BOX])
+
+
+def streamed(rows: DataFrame, key: str, overlap: float, most: int) -> DataFrame:
+    """suppress() by a stream of each picture's boxes, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, kept = object(), np.empty((4, 0))
         for batch in batches:
             names = batch.column(key).to_pylist()
-            box = np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y", "width", "height")])
+            box = side_arrays(batch)
             cuts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
             taken: list[int] = []
             for first, end in zip(cuts, [*cuts[1:], len(names)], strict=False):
@@ -106,9 +136,104 @@ def suppress(boxes: DataFrame, key: str, overlap: float = OVERLAP, most: int = M
                     taken += [base + k for k in mine]
             yield batch.take(pa.array(taken, pa.int64()))
 
-    rows = boxes.select(key, "box_id", "x", "y", "width", "height", "score")
-    score = F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))
-    return rows.repartition(key).sortWithinPartitions(key, score.desc_nulls_last(), "box_id").mapInArrow(run, rows.schema)
+    return rows.repartition(key).sortWithinPartitions(key, by_score().desc_nulls_last(), "box_id", *BOX).mapInArrow(run, rows.schema)
+
+
+def in_tiles(rows: DataFrame, key: str, overlap: float, most: int) -> DataFrame:
+    """suppress() for pictures of any number of boxes: tiles decide what they can, in rounds, until no box is open.
+
+    Boxes that overlap by a share t differ in width and height by a factor of 1 / t at most. So boxes lie in levels by their longer
+    side, each 1 / t times the one before, and in square tiles of their level by their centre; a box is sent to its own tile and to
+    those of its level and the two beside it that have centres within its reach. A tile goes through its boxes, best first: one that
+    a kept box overlaps goes; one of its own that no kept or open box overlaps is kept; all others stay open until the tiles beside
+    have decided. A round is sent the open boxes and what was kept, for tiles with open boxes only. The best open box of a picture
+    is always decided, and chains within a tile are decided at once: there are as many rounds as a chain of overlaps crosses borders.
+    """
+    scratch = Scratch(rows.sparkSession)
+    ordered = rows.withColumn("__last", by_score().isNull()).withColumn("__down", F.lit(0.0) - by_score())
+    places = numbered(ordered, [key], ["__last", "__down", "box_id", *BOX], "__place").select(*rows.columns, "__place")
+    sides = {c: F.col(c).cast("double") for c in BOX}
+    finite = lambda c: F.abs(c) < float("inf")
+    whole = finite(sides["width"] * sides["height"])
+    for at, side in (("x", "width"), ("y", "height")):
+        whole = whole & finite(sides[at] + sides[side]) & (sides[at] + sides[side] > sides[at])
+    places = scratch.write(places.withColumn("__whole", F.coalesce(whole, F.lit(False))), "places")
+    lone = places.where("NOT __whole")  # overlap nothing, and are kept
+
+    step = max(1.000001 / overlap, 2.0)
+    level = F.floor(F.log(F.greatest("width", "height")) / math.log(step)).cast("int")
+    spread = lambda at: F.lit(float(TILE_SIDES)) * F.pow(F.lit(step), at)
+    middle = {"x": F.col("x") + F.col("width") / 2, "y": F.col("y") + F.col("height") / 2}
+    tile = lambda c, at: F.floor(c / spread(at))
+    still = places.where("__whole").select(F.col(key).alias("__key"), "__place", *[c.alias(n) for n, c in sides.items()], F.lit(False).alias("kept")).withColumn("level", level)
+    still = still.withColumn("i", tile(middle["x"], F.col("level"))).withColumn("j", tile(middle["y"], F.col("level")))
+
+    def sent(live: DataFrame) -> DataFrame:
+        """Boxes with every tile (l, p, q) that they can matter to; own: the one that decides them."""
+        out = live.withColumn("l", F.explode(F.array(*[F.col("level") + d for d in (-1, 0, 1)])))
+        for n, c, side in (("p", "x", "width"), ("q", "y", "height")):
+            longest = F.least(F.col(side) * step, F.pow(F.lit(step), F.col("l") + 1))
+            reach = (longest + F.col(side)) * 0.500001 + F.abs(middle[c]) * 1e-15  # of centres of such boxes, and a hair more
+            out = out.withColumn(n, F.explode(F.sequence(tile(middle[c] - reach, F.col("l")), tile(middle[c] + reach, F.col("l")))))
+        own = (F.col("l") == F.col("level")) & (F.col("p") == F.col("i")) & (F.col("q") == F.col("j")) & ~F.col("kept")
+        return out.withColumn("own", own)
+
+    taken, open_tiles, live = [], None, still
+    try:
+        while True:
+            copies = sent(live)
+            if open_tiles is not None:
+                same = F.col("__key").eqNullSafe(F.col("__k")) & (F.col("l") == F.col("__l")) & (F.col("p") == F.col("__p")) & (F.col("q") == F.col("__q"))
+                copies = copies.join(open_tiles, same, "left_semi")
+            where = ("__key", "l", "p", "q")
+            out = scratch.write(copies.repartition(*where).sortWithinPartitions(*where, "__place").mapInArrow(tile_decisions(overlap), still.schema), "round")
+            taken.append(out.where("kept"))
+            rest = out.where("NOT kept")
+            if rest.isEmpty():
+                break
+            open_tiles = scratch.write(rest.selectExpr("__key AS __k", "level AS __l", "i AS __p", "j AS __q").distinct(), "open")
+            live = reduce(DataFrame.unionByName, taken, rest)
+        won = reduce(DataFrame.unionByName, taken).select("__key", F.col("__place").alias("__p"))
+        good = places.join(won, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__place") == F.col("__p")), "left_semi").unionByName(lone)
+        return written(numbered(good, [key], ["__place"], "__nth").where(F.col("__nth") <= most).select(*rows.columns), "boxes")
+    finally:
+        scratch.close()
+
+
+def tile_decisions(overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches sorted by tile and place to the tiles' own boxes that are kept or still open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept, still = None, np.empty((4, 0)), np.empty((4, 0))
+        for batch in batches:
+            tiles = list(zip(*[batch.column(c).to_pylist() for c in ("__key", "l", "p", "q")], strict=True))
+            box = side_arrays(batch)
+            before, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kept", "own"))
+            won, rows = before.copy(), []
+            cuts = [k for k in range(len(tiles)) if k == 0 or tiles[k] != tiles[k - 1]]
+            for first, end in zip(cuts, [*cuts[1:], len(tiles)], strict=False):
+                if tiles[first] != at:
+                    at, kept, still = tiles[first], np.empty((4, 0)), np.empty((4, 0))
+                for base in range(first, end, BOXES_AT_ONCE):
+                    part = box[:, base : min(end, base + BOXES_AT_ONCE)]
+                    gone, unsure, each = clashes(kept, part, overlap).any(0), clashes(still, part, overlap).any(0), clashes(part, part, overlap)
+                    new_kept, new_still = [], []
+                    for k in range(part.shape[1]):
+                        if before[base + k] or (own[base + k] and not gone[k] and not unsure[k]):
+                            won[base + k] = True
+                            new_kept.append(k)
+                            gone |= each[k]
+                        elif not gone[k]:
+                            new_still.append(k)
+                            unsure |= each[k]
+                    kept, still = np.concatenate([kept, part[:, new_kept]], 1), np.concatenate([still, part[:, new_still]], 1)
+                    rows += [base + k for k in (*new_kept, *new_still) if own[base + k]]
+            kept_rows = batch.take(pa.array(rows, pa.int64()))
+            at_kept = kept_rows.schema.get_field_index("kept")
+            kept_rows = kept_rows.set_column(at_kept, "kept", pa.array(won[rows] if rows else [], pa.bool_()))
+            yield kept_rows.select(["__key", "__place", *BOX, "kept", "level", "i", "j"])
+
+    return run
 
 
 def default_variant(variants: DataFrame) -> DataFrame:

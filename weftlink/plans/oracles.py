@@ -190,6 +190,21 @@ SUPPRESSED = f"""WITH boxes AS (SELECT l_partkey AS picture, {{'id': l_orderkey
      >= {OVERLAP}::DOUBLE * (k.w * k.h + e[1].w * e[1].h - greatest(least(k.x + k.w, e[1].x + e[1].w) - greatest(k.x, e[1].x), 0) * greatest(least(k.y + k.h, e[1].y + e[1].h) - greatest(k.y, e[1].y), 0)))) > 0 THEN done ELSE done || e END) AS l FROM ordered)
 SELECT picture, unnest(l[1:{MOST_BOXES}]).id AS box_id FROM kept"""
 
+#: Rounds: an open box that no better open one overlaps is kept, and what it overlaps goes. A box is kept if none of those that overlap
+#: it was open when it left.
+SUPPRESSED_IN_ROUNDS = f"""WITH RECURSIVE raw AS (SELECT l_linenumber <= 3 AS picture, l_orderkey * 8 + l_linenumber AS box_id, l_orderkey * 0.5::DOUBLE AS x, l_suppkey * 37 % 1009 + l_linenumber * 0.25::DOUBLE AS y, (l_quantity + 20)::DOUBLE AS w, (l_partkey % 90 + 4)::DOUBLE AS h, l_extendedprice AS s FROM lineitem),
+ boxes AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY s DESC, box_id, x, y, w, h) AS k FROM raw),
+ near AS (SELECT *, unnest(range((x // 70)::BIGINT - 1, (x // 70)::BIGINT + 2)) AS cell FROM boxes),
+ pairs AS (SELECT a.k AS better, b.k AS worse, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS shared, a.w * a.h + b.w * b.h AS areas
+   FROM near a JOIN boxes b ON a.picture = b.picture AND a.cell = (b.x // 70)::BIGINT WHERE a.k < b.k),
+ links AS MATERIALIZED (SELECT better, worse FROM pairs WHERE shared >= {OVERLAP}::DOUBLE * (areas - shared)),
+ rounds AS (SELECT k, 0 AS round FROM boxes UNION ALL
+   (WITH held AS (SELECT DISTINCT worse FROM links JOIN rounds o ON o.k = better), best AS (SELECT k FROM rounds WHERE k NOT IN (SELECT worse FROM held))
+    SELECT k, round + 1 FROM rounds WHERE k IN (SELECT worse FROM held) AND k NOT IN (SELECT worse FROM links JOIN best ON best.k = better))),
+ ends AS (SELECT k, max(round) AS left_at FROM rounds GROUP BY 1),
+ lost AS (SELECT worse FROM links JOIN ends b ON b.k = better JOIN ends w ON w.k = worse WHERE b.left_at >= w.left_at)
+SELECT picture, box_id FROM boxes WHERE k NOT IN (SELECT worse FROM lost)"""
+
 #: Each eye joins the first kept one that it overlaps, whose place at the end of the list their union takes.
 EYES = """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, {'x': (l_partkey % 200)::INT, 'y': (l_suppkey % 40)::INT, 'width': (l_quantity + 5)::INT, 'height': (l_quantity + 8)::INT} AS e FROM lineitem),
  l AS (SELECT l_orderkey, list([e] ORDER BY l_linenumber, l_partkey, e) AS l FROM f WHERE e.width >= 20 AND e.height >= 20 GROUP BY 1),

@@ -740,6 +740,13 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.suppress(rows, "picture").select("picture", "box_id")
 
 
+@query(oracles.SUPPRESSED_IN_ROUNDS)
+def nms_huge_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All boxes in two pictures, which grow with the table; in tiles at every size, as huge pictures are."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber <= 3 AS picture", "l_orderkey * 8 + l_linenumber AS box_id", "l_orderkey * 0.5D AS x", "l_suppkey * 37 % 1009 + l_linenumber * 0.25D AS y", "l_quantity + 20 AS width", "l_partkey % 90 + 4 AS height", "l_extendedprice AS score")
+    return images.suppress(rows, "picture", most=1_000_000, stream=0).select("picture", "box_id")
+
+
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 AS c, 0.1 + (l_partkey % 50) / 100.0::DOUBLE AS x, 0.2 + (l_orderkey % 30) / 100.0::DOUBLE AS y FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, trunc(x * 640)::INT AS face_x, trunc(y * 480)::INT AS face_y, trunc((x + 0.25) * 640 - x * 640)::INT AS face_w, (trunc(y * 480) + trunc(trunc((y + 0.375) * 480 - y * 480) * 0.4::DOUBLE))::INT AS eye_y FROM b WHERE round(c, 6) >= 0.7""")
 def decode_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
