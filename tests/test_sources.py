@@ -213,3 +213,36 @@ def test_sizes_behind_long_segments(spark, tmp_path):
     (folder / "none.jpg").write_bytes(b"\xff\xd8" + segment * 3)
     got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in listing.image_sizes(spark, str(folder)).collect()}
     assert got == {"0.jpg": (200, 300), "1.jpg": (200, 300), "16.jpg": (200, 300), "none.jpg": (None, None)}
+
+
+def test_documents_in_blocks(spark, tmp_path):
+    """One document in blocks of 97 bytes: braces, quotes and backslashes in texts, other sections, a name twice; and broken ones."""
+    name = lambda k: ["plain", "br}ce", "q\\\"{", "back\\\\", "[x]", "é}🙂", "", "a" * 300][k % 8] + str(k)
+    photos = {name(k): {"id": str(k), "fullName": name(k + 3), "teamId": k, "more": {"a": [{"b": "}"}]} if k % 5 == 0 else None} for k in range(120)}
+    said = {"note": "a } b { \\\" photos", "tags": [1, [2], {"photos": {"no": {"id": "0"}}}], "other": {"x": {"id": "9"}, "photos": {"y": {"id": "8"}}}, "photos": photos, "end": {"z": 1}}
+    def manifest(text, file="m.json"):
+        return sorted(tuple(r) for r in documents.manifest(spark, put(tmp_path / file, text)).collect())
+    key = "spark.sql.files.maxPartitionBytes"
+    usual, cost = spark.conf.get(key), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set(key, "97")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        want = sorted((k, v["id"], v["fullName"], None, None, v["teamId"]) for k, v in photos.items())
+        assert manifest(json.dumps(said)) == want
+        assert manifest("\ufeff" + json.dumps(said, indent=3, ensure_ascii=False) + "\n") == want
+        twice = '{"photos": {"a": {"id": "1"}, "b": {"id": "2"}, "a": {"id": "3"} } }'
+        assert [r[:2] for r in manifest(twice)] == [("a", "3"), ("b", "2")]
+        for text in ("", "{}", ' {"photos": null}', '{"other": [{"a": {}}]}'):
+            assert manifest(text) == []
+        for text in ("nope}", twice[:-1], twice + "}", twice.replace('"2"', '"2'), '{"photos": nope}', '{"photos": {"a": {"id": "1"}, "b": [] }}'):
+            with pytest.raises(Exception, match="(?i)malformed"):
+                manifest(text)
+        entry = lambda k: {"ImagePath": name(k), "FileSize": k, "LastModified": "2024-01-01T00:00:00Z", "Landmarks": {"face_detected": True, "face": {"x": k, "y": 0, "width": 1, "height": 1}, "metadata": {"k": "}{"}}, "Model": "m"}
+        entries = [entry(k) for k in range(60)]
+        cache = lambda text: sorted((r.ImagePath, r.FileSize, r.Landmarks.face.x) for r in documents.face_cache(spark, put(tmp_path / "c.json", text)).collect())
+        assert cache(json.dumps(entries)) == sorted((e["ImagePath"], e["FileSize"], e["FileSize"]) for e in entries) == cache(json.dumps(entries, indent=1))
+        for text in ("[]", json.dumps(entries)[:-1], json.dumps([*entries, 5]), json.dumps(entries[0]), json.dumps(entries).replace("}, {", "}, x {", 1)):
+            assert cache(text) == []
+    finally:
+        spark.conf.set(key, usual)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)

@@ -65,6 +65,17 @@ def face_cache_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.face_cache(spark, path).select("ImagePath", "FileSize", "Model", F.col("Landmarks.face_detected").alias("found"))
 
 
+@query("""SELECT 'f{' || o_orderkey || '}.png' AS file, o_custkey::VARCHAR AS external_id, 'A "' || o_orderstatus || '" }, { ' || o_orderkey AS full_name, (o_orderkey % 7)::INT AS team_id FROM orders""")
+def manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as the photos of one document, with braces and quotes in its texts, read in blocks."""
+    path = new_path(spark, "manifest.json")
+    said = table(spark, sf_dir, "orders").selectExpr("concat('f{', o_orderkey, '}.png') AS file", "to_json(named_struct('externalId', cast(o_custkey AS string), 'fullName', concat('A \"', o_orderstatus, '\" }, { ', o_orderkey), 'teamId', o_orderkey % 7)) AS e")
+    line = lambda text: spark.createDataFrame([(text,)], "value string")
+    lines = line('{"made": {"by": {"photos": 1}}, "photos": {"f{0}.png": {}').unionByName(said.selectExpr("concat(',\"', file, '\": ', e) AS value")).unionByName(line("}}"))
+    lines.coalesce(1).write.text(path)
+    return documents.manifest(spark, path).where("external_id IS NOT NULL").select("file", "external_id", "full_name", "team_id")
+
+
 @query("""SELECT n_name AS name1, n_name || ' x' AS name2, n_nationkey % 2 = 0 AS expected FROM nation""")
 def name_pairs_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "pairs.csv")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import BENCHMARK, CACHE_ENTRY, MANIFEST, VARIANT
+from ..storage import written
+from .json_parts import json_entries
 from .people import exists
 
 ID_SPELLINGS = ("External_Player_ID", "external_player_id", "externalId", "ExternalId", "id")
@@ -24,14 +26,25 @@ def manifest_entries(text: Column) -> Column:
 
 def manifest_rows(texts: DataFrame, col: str = "value") -> DataFrame:
     """(file, external_id, full_name, family_name, sur_name, team_id) of each photo that the manifests list."""
-    rows = texts.select(F.explode(manifest_entries(F.col(col))).alias("file", "e"))
+    return photo_rows(texts.select(F.explode(manifest_entries(F.col(col))).alias("file", "e")))
+
+
+def photo_rows(rows: DataFrame) -> DataFrame:
     get = lambda k: F.element_at("e", k)
     full = F.coalesce(get("fullName"), F.nullif(F.concat_ws(" ", get("familyName"), get("surName")), F.lit("")))
     return rows.select("file", F.coalesce(*[get(k) for k in ID_SPELLINGS]).alias("external_id"), full.alias("full_name"), get("familyName").alias("family_name"), get("surName").alias("sur_name"), get("teamId").try_cast("int").alias("team_id"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return manifest_rows(spark.read.text(path, wholetext=True))
+    """What manifests of any size list, as manifest_rows; of a file that one names twice the last entry counts. A malformed one is an error."""
+    entries, found = json_entries(spark, path, 2)
+    said = F.from_json("outer", "map<string,string>")
+    bad = found.where(~F.col("whole") | (~F.col("outer").isin("", "null") & said.isNull())).first()
+    if bad:
+        raise ValueError(f"malformed manifest: {bad.document}")
+    pairs = F.from_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")), MANIFEST, {"mode": "FAILFAST"})
+    rows = entries.where("section = 'photos'").select("document", F.struct("block", "n").alias("at"), F.explode(pairs).alias("file", "e"))
+    return photo_rows(rows.groupBy("document", "file").agg(F.max_by("e", "at").alias("e")))
 
 
 def benchmark_results(spark: SparkSession, path: str) -> DataFrame:
@@ -46,11 +59,15 @@ def reusable(landmarks: Column, model: Column) -> Column:
 
 
 def face_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The reusable entries of a cache; without a file, or from one that isn't JSON, none."""
-    none = spark.createDataFrame([], CACHE_ENTRY)
+    """The reusable entries of a cache of any size, a list of objects; without a file, or from one that isn't such JSON, none."""
     if not exists(spark, path):
-        return none
-    rows = spark.read.json(path, schema=CACHE_ENTRY, multiLine=True, mode="DROPMALFORMED")
+        return spark.createDataFrame([], CACHE_ENTRY)
+    entries, found = json_entries(spark, path, 1)
+    fields = T.StructType([*CACHE_ENTRY.fields, T.StructField("__bad", T.StringType())])
+    rows = written(entries.select("document", F.from_json("text", fields, {"columnNameOfCorruptRecord": "__bad"}).alias("e")), "entries")
+    good = found.where(F.col("whole") & F.col("outer").rlike(r"^\[\s*\]$")).select("document")
+    good = good.join(rows.where("e IS NULL OR e.__bad IS NOT NULL"), "document", "left_anti")
+    rows = rows.join(good, "document", "left_semi").select("e.*").select(*CACHE_ENTRY.names)
     return rows.where(F.col("ImagePath").isNotNull() & F.col("Landmarks").isNotNull()).where(reusable(F.col("Landmarks"), F.col("Model")))
 
 
