@@ -40,7 +40,7 @@ def effect(piece: str, inside: bool) -> tuple[bool, int]:
 
 def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block: pieces, bytes, and for both ways it can begin, outside or within a text, how it ends and changes the depth.
-    last_*: the same of its last piece, as if no brace ended it."""
+    bare: its depth if no brace ended its last piece."""
     at, got = None, {}
     for batch in batches:
         files, blocks, sizes, lengths, texts = (batch.column(c).to_pylist() for c in ("document", "block", "size", "length", "value"))
