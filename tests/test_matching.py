@@ -237,6 +237,48 @@ def test_keys_of_long_names_are_few():
     assert len(matching.keys_of_name("x", [word(7) for _ in range(24)], "L", "R", matching.STRICT)) < 10_000
 
 
+def test_nearly_same_names_share_a_key_and_others_hardly():
+    rng = random.Random(8)
+    letters = "abcdefghij"
+    for _ in range(3000):
+        size = rng.randint(1, 20)
+        a = [rng.choice(letters) for _ in range(size)]
+        b = [*a, *(rng.choice(letters) for _ in range(rng.choice([0, 0, 1, 2])))]
+        differ = (1 if len(b) <= 10 else 2) - (len(b) - len(a))
+        for k in rng.sample(range(size), max(0, min(size, differ))):
+            b[k] = rng.choice(letters)
+        if differ >= 0:
+            assert matching.near_keys("".join(a)) & matching.near_keys("".join(b))
+    # numbered people: whoever meets differs in three of the places at most, not in two thirds of them
+    names = [f"hot gear {k:06d}x".translate(str.maketrans("0123456789", letters)) for k in range(0, 400_000, 97)]
+    met = defaultdict(set)
+    for n in names:
+        for k in matching.near_keys(n):
+            met[k].add(n)
+    pairs = {(a, b) for ns in met.values() for a in ns for b in ns if a < b}
+    assert pairs and max(sum(x != y for x, y in zip(a, b, strict=True)) for a, b in pairs) <= 3
+
+
+def test_best_pairs_propose_what_all_pairs_do(spark, monkeypatch):
+    """Names with two photos above TOP don't meet by looser keys; what is proposed stays the same."""
+    rng = random.Random(12)
+    people, shown = [name(rng) for _ in range(60)] + ["Rod Rolando Garcia"], [name(rng) for _ in range(90)] + ["Rolando Garcia"] * 2
+    p, c = frames(spark, [(x, None) for x in people], [(f"x{i}", x) for i, x in enumerate(shown)])
+    a, b = matching.with_names(p, "FullName"), matching.with_names(matching.rankable(c), "display_name")
+    want = {tuple(r) for r in matching.proposals(a, b, matching.name_pairs(a, b, 0.8), 0.8).collect()}
+    asked, met = [], matching.met_pairs
+
+    def seen(both, left, bound):
+        asked.append((bound, {r[0] for r in left.select("name").collect()}))
+        return met(both, left, bound)
+
+    monkeypatch.setattr(matching, "met_pairs", seen)
+    got = {tuple(r) for r in matching.proposals(a, b, matching.best_pairs(a, b, 0.8), 0.8).collect()}
+    assert got == want and len(want) > 5
+    assert [x for x, _ in asked] == [matching.TOP, matching.STRICT] and asked[1][1] < asked[0][1]
+    assert not any(x.startswith("rod rolando garcia") for x in asked[1][1])
+
+
 def test_no_join_of_all_with_all(spark):
     """Nothing but equality joins, also where lists are filled by bounds."""
     p, c = frames(spark, [("Zyxwv Qqq", None), ("Ann Lee", None)], [(f"x{i}", x) for i, x in enumerate(["Bob Ray", "Ann Lee", "Jo Sutton"])])
