@@ -3,9 +3,11 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from weftlink.functions import text
 from weftlink.operators import matching
-from weftlink.plans import batches, mapping
+from weftlink.plans import batches, mapping, queries
 
 ROWS = "PlayerId string, TeamId string, FamilyName string, SurName string, External_Player_ID string, folder string, seq long"
 PHOTOS = "folder string, path string, external_id string, display_name string, TeamId int, seq long"
@@ -87,3 +89,9 @@ def test_teams_match_as_if_each_were_alone(spark):
 def test_within_has_no_scorer(spark):
     with pytest.raises(ValueError):
         mapping.map_players(None, None, strict_id=True, within="TeamId")
+
+
+def test_names_of_a_large_team_stay_apart(spark):
+    """batch_run's SQL takes a team's names as different: they have to be so when they are normalised, too."""
+    names = spark.range(1, 40_001).selectExpr(f"{queries.NUMBERED_NAME.format('id')} AS n")
+    assert names.select(text.normalize_name(F.col("n"))).distinct().count() == 40_000
