@@ -5,7 +5,9 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
+from weftlink.functions import responses
 from weftlink.operators import scorers, services
 
 SAID = {}
@@ -60,3 +62,10 @@ def test_providers(url):
     assert scorers.make_scorer("minimax:m").many([("a", "b")]) == [None] and scorers.answered([("a", "b")], scorers.make_scorer("minimax:m"), batched=True)[0].confidence == 0.9
     with pytest.raises(ValueError):
         services.set_up({"other": {}})
+
+
+def test_answers_are_read_once(spark):
+    """What stands in a lambda is worked out for each element again: the JSON of a batch isn't read there, nor twice to tell an error."""
+    plan = lambda c: spark.range(1).selectExpr("cast(id AS string) AS said").select(c)._jdf.queryExecution().analyzed().toString().lower()
+    assert plan(responses.parse_many(F.col("said"))).count("from_json") == 1
+    assert plan(responses.parse_landmarks(F.col("said"), F.lit(800), F.lit(600))).count("parse_json") == 1

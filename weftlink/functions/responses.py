@@ -60,10 +60,18 @@ def parse_one(response: Column, least: Column | float, metadata: Column | None =
 
 def parse_many(response: Column) -> Column:
     """A map from index to (confidence, isMatch, reason) of a batch's answer, the last of an index counts; null if it can't be read."""
-    rows = F.from_json(any_case(outer_object(F.coalesce(response, F.lit("")))), MANY)["results"]
-    rows = F.filter(rows, lambda r: r["index"].isNotNull())
-    last = F.filter(rows, lambda r, k: ~F.exists(F.slice(rows, k + 2, F.size(rows)), lambda later: later["index"] == r["index"]))
-    return F.when(F.size(last) > 0, F.map_from_arrays(F.transform(last, lambda r: r["index"]), F.transform(last, lambda r: F.struct(F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"), r["isMatch"].alias("isMatch"), F.coalesce(r["reason"], F.lit("")).alias("reason")))))
+    read = F.from_json(any_case(outer_object(F.coalesce(response, F.lit("")))), MANY)["results"]
+    # bound: what stands in a lambda is worked out again for each element
+    return bound(F.filter(read, lambda r: r["index"].isNotNull()), lambda rows: bound(_last_of_each(rows), _by_index))
+
+
+def _last_of_each(rows: Column) -> Column:
+    return F.filter(rows, lambda r, k: ~F.exists(F.slice(rows, k + 2, F.size(rows)), lambda later: later["index"] == r["index"]))
+
+
+def _by_index(rows: Column) -> Column:
+    said = F.transform(rows, lambda r: F.struct(F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"), r["isMatch"].alias("isMatch"), F.coalesce(r["reason"], F.lit("")).alias("reason")))
+    return F.when(F.size(rows) > 0, F.map_from_arrays(F.transform(rows, lambda r: r["index"]), said))
 
 
 def parse_landmarks(response: Column, width: Column, height: Column) -> Column:
@@ -92,8 +100,8 @@ def _judged(said: Column, p: Column) -> Column:
     both = F.coalesce(data["bothEyesDetected"], F.lit(False))
     told = F.struct(p["found"].alias("face_detected"), both.alias("both_eyes"), p["face"].alias("face"), p["left_eye"].alias("left_eye"), p["right_eye"].alias("right_eye"), p["center"].alias("center"), data["confidence"].alias("confidence"), F.lit(None).cast("string").alias("error"))
     kinds = "struct<face_detected boolean, both_eyes boolean, face struct<x int, y int, width int, height int>, left_eye struct<x int, y int>, right_eye struct<x int, y int>, center struct<x int, y int>, confidence double, error string>"
-    none = F.struct(F.lit(False), F.lit(False), *[F.lit(None)] * 5, error).cast(kinds)
-    return F.when(error.isNull(), told.cast(kinds)).otherwise(none)
+    none = lambda e: F.struct(F.lit(False), F.lit(False), *[F.lit(None)] * 5, e).cast(kinds)
+    return bound(error, lambda e: F.when(e.isNull(), told.cast(kinds)).otherwise(none(e)))
 
 
 def number(c: Column) -> Column:
