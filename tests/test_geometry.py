@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftlink.functions import geometry as g
@@ -158,3 +159,17 @@ def test_detector_batches(spark):
     rows = spark.createDataFrame([("a", b"123"), ("b", b"")], "path string, content binary")
     out = images.detect(rows, lambda batch: pd.DataFrame({"n": [len(x) for x in batch]}), "n long")
     assert {(r.path, r.n) for r in out.collect()} == {("a", 3), ("b", 0)}
+
+
+def test_strips_find_what_a_matrix_finds():
+    """Boxes in a strip are compared only with those in reach of each other, and overlap the same ones."""
+    rng = np.random.default_rng(3)
+    box = lambda n: np.stack([rng.integers(-90, 90, n) / 2, rng.integers(0, 40, n) / 2, rng.integers(1, 30, n) * 1.0, rng.integers(1, 20, n) * 1.0])
+    for overlap in (0.1, 0.3, 1.0):
+        strip, every = images.Strip(), np.empty((4, 0))
+        for n in (0, 1, 40, 200):
+            more, part = box(n), box(50)
+            strip.add(more)
+            every = np.concatenate([every, more], 1)
+            assert (strip.overlapped(part, overlap) == images.clashes(every, part, overlap).any(0)).all()
+            assert len(strip.boxes[0]) == every.shape[1]

@@ -23,6 +23,8 @@ OVERLAP, MOST_BOXES = 0.3, 5000
 BOXES_AT_ONCE = 256
 #: Pictures of more boxes are cut into tiles; a tile is so many times as long as the shortest boxes of its level.
 STREAMED_BOXES, TILE_SIDES = 100_000, 64
+#: Boxes of a tile that are compared at a time.
+TILE_BOXES_AT_ONCE = 128
 BOX = ("x", "y", "width", "height")
 DETECTORS = {"opencv-dnn": "opencv-dnn", "dnn": "opencv-dnn", "yolov8-face": "opencv-dnn", "opencv-yunet": "opencv-yunet", "yunet": "opencv-yunet", "haar-cascade": "haar-cascade", "haar": "haar-cascade", "apple-vision": "apple-vision", "vision": "apple-vision", "center": "center", "llava": "llava:7b", "llava:7b": "llava:7b", "qwen3-vl": "qwen3-vl:latest"}
 
@@ -81,6 +83,33 @@ def clashes(a: np.ndarray, b: np.ndarray, overlap: float) -> np.ndarray:
     return (union > 0) & (inter >= overlap * union)
 
 
+class Strip:
+    """Boxes (finite ones) in the order of x, of which others are compared only with those in their reach."""
+
+    def __init__(self) -> None:
+        self.boxes, self.widest = np.empty((4, 0)), 0.0
+
+    def add(self, more: np.ndarray) -> None:
+        if more.shape[1]:
+            more = more[:, np.argsort(more[0], kind="stable")]
+            self.boxes = np.insert(self.boxes, np.searchsorted(self.boxes[0], more[0]), more, axis=1)
+            self.widest = max(self.widest, more[2].max())
+
+    def overlapped(self, part: np.ndarray, overlap: float) -> np.ndarray:
+        """Which boxes of part overlap one of these by `overlap` or more, as clashes() has it."""
+        x, y, w, h = part
+        slack = self.widest * 1e-6 + np.abs(x) * 1e-15
+        first = np.searchsorted(self.boxes[0], x - self.widest - slack, "left")
+        n = np.searchsorted(self.boxes[0], x + w + slack, "right") - first
+        out, mine = np.zeros(len(x), bool), np.repeat(np.arange(len(x)), n)
+        u, v, p, q = self.boxes[:, np.arange(len(mine)) + np.repeat(first - (np.cumsum(n) - n), n)]
+        x, y, w, h = (c[mine] for c in (x, y, w, h))
+        inter = (np.minimum(x + w, u + p) - np.maximum(x, u)).clip(min=0) * (np.minimum(y + h, v + q) - np.maximum(y, v)).clip(min=0)
+        union = w * h + p * q - inter
+        out[mine[(union > 0) & (inter >= overlap * union)]] = True
+        return out
+
+
 def suppress(boxes: DataFrame, key: str, overlap: float = OVERLAP, most: int = MOST_BOXES, stream: int = STREAMED_BOXES) -> DataFrame:
     """Of each picture's boxes (key, box_id, x, y, width, height, score) those that overlap no kept one of a higher score by `overlap`
     or more, at most `most` of a picture. Equal scores go by box_id, then by place and size; null scores come last.
@@ -168,9 +197,11 @@ def in_tiles(rows: DataFrame, key: str, overlap: float, most: int) -> DataFrame:
     still = places.where("__whole").select(F.col(key).alias("__key"), "__place", *[c.alias(n) for n, c in sides.items()], F.lit(False).alias("kept")).withColumn("level", level)
     still = still.withColumn("i", tile(middle["x"], F.col("level"))).withColumn("j", tile(middle["y"], F.col("level")))
 
+    levels = [r[0] for r in places.where("__whole").select(level.alias("l")).distinct().collect()]  # two thousand at most, as sides are doubles
+
     def sent(live: DataFrame) -> DataFrame:
-        """Boxes with every tile (l, p, q) that they can matter to; own: the one that decides them."""
-        out = live.withColumn("l", F.explode(F.array(*[F.col("level") + d for d in (-1, 0, 1)])))
+        """Boxes with every tile (l, p, q) of a level that has boxes that they can matter to; own: the one that decides them."""
+        out = live.withColumn("l", F.explode(F.array(*[F.col("level") + d for d in (-1, 0, 1)]))).where(F.col("l").isin(levels))
         for n, c, side in (("p", "x", "width"), ("q", "y", "height")):
             longest = F.least(F.col(side) * step, F.pow(F.lit(step), F.col("l") + 1))
             reach = (longest + F.col(side)) * 0.500001 + F.abs(middle[c]) * 1e-15  # of centres of such boxes, and a hair more
@@ -204,7 +235,7 @@ def tile_decisions(overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
     """Batches sorted by tile and place to the tiles' own boxes that are kept or still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept, still = None, np.empty((4, 0)), np.empty((4, 0))
+        at, kept, still = None, Strip(), Strip()
         for batch in batches:
             tiles = list(zip(*[batch.column(c).to_pylist() for c in ("__key", "l", "p", "q")], strict=True))
             box = side_arrays(batch)
@@ -213,10 +244,10 @@ def tile_decisions(overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
             cuts = [k for k in range(len(tiles)) if k == 0 or tiles[k] != tiles[k - 1]]
             for first, end in zip(cuts, [*cuts[1:], len(tiles)], strict=False):
                 if tiles[first] != at:
-                    at, kept, still = tiles[first], np.empty((4, 0)), np.empty((4, 0))
-                for base in range(first, end, BOXES_AT_ONCE):
-                    part = box[:, base : min(end, base + BOXES_AT_ONCE)]
-                    gone, unsure, each = clashes(kept, part, overlap).any(0), clashes(still, part, overlap).any(0), clashes(part, part, overlap)
+                    at, kept, still = tiles[first], Strip(), Strip()
+                for base in range(first, end, TILE_BOXES_AT_ONCE):
+                    part = box[:, base : min(end, base + TILE_BOXES_AT_ONCE)]
+                    gone, unsure, each = kept.overlapped(part, overlap), still.overlapped(part, overlap), clashes(part, part, overlap)
                     new_kept, new_still = [], []
                     for k in range(part.shape[1]):
                         if before[base + k] or (own[base + k] and not gone[k] and not unsure[k]):
@@ -226,7 +257,8 @@ def tile_decisions(overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
                         elif not gone[k]:
                             new_still.append(k)
                             unsure |= each[k]
-                    kept, still = np.concatenate([kept, part[:, new_kept]], 1), np.concatenate([still, part[:, new_still]], 1)
+                    kept.add(part[:, new_kept])
+                    still.add(part[:, new_still])
                     rows += [base + k for k in (*new_kept, *new_still) if own[base + k]]
             kept_rows = batch.take(pa.array(rows, pa.int64()))
             at_kept = kept_rows.schema.get_field_index("kept")
