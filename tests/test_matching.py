@@ -10,6 +10,7 @@ from weftlink import schemas
 from weftlink.functions.text import with_name_score
 from weftlink.operators import far_names, matching, merging, numbering, scorers
 from weftlink.plans import mapping, queries
+from weftlink.storage import Scratch
 
 
 def frames(spark, players, photos):
@@ -217,6 +218,24 @@ def test_shortlists_take_the_best_of_all(spark, number):
     assert got == want and {r[0] for r in got} == {0, 1, 2, 3}
 
 
+def test_a_run_brings_names_together_once(spark, monkeypatch):
+    """The rounds and both passes of a scorer go by the same pairs, and list what each would list by itself."""
+    met, real = [], matching.met_pairs
+    monkeypatch.setattr(matching, "met_pairs", lambda both, left, bound: met.append(bound) or real(both, left, bound))
+    names = [f"{a} {b}" for a in ("Ann", "Anne", "Lee") for b in ("Garcia", "Garcias", "Smith")]
+    p, c = frames(spark, [(x, None) for x in [*names, "Billy Zz", ""]], [(f"x{i}", f"{x} {y}".strip()) for i, (x, y) in enumerate((x, y) for x in names for y in ("", "Mia"))])
+    run = mapping.map_players(p, c, 0.8, scorer=scorers.StubScorer(lambda a, b: 0.5), second_pass=True)
+    assert met.count(matching.TOP) == 1 and run.results.count() == p.count()
+    a, b = matching.with_names(p, "FullName"), matching.with_names(matching.rankable(c), "display_name")
+    known = matching.top_pairs(a, b, Scratch(spark))
+    some, left = F.col("player_seq") % 3 > 0, F.col("cand_seq") % 4 > 0
+    for number in (0, 1):
+        want = {tuple(r) for r in scorers.shortlists(p.where(some), c.where(left), number).drop("tokens1", "tokens2").collect()}
+        met.clear()
+        got = {tuple(r) for r in scorers.shortlists(a.where(some), b.where(left), number, known).drop("tokens1", "tokens2").collect()}
+        assert got == want and len({r[1] for r in got}) > 5 and matching.TOP not in met
+
+
 def test_short_lists_are_filled_again(spark, monkeypatch):
     """Names that ask for photos which others win, one after another, until looser keys have to bring more."""
     monkeypatch.setattr(matching, "LISTED", 2)

@@ -179,15 +179,17 @@ def preferred(batch: DataFrame, single: DataFrame) -> DataFrame:
     return both.select("player_seq", F.when(use, F.col("s")).otherwise(F.col("b")).alias("x")).select("player_seq", "x.*")
 
 
-def shortlists(players: DataFrame, photos: DataFrame, number: int) -> DataFrame:
+def shortlists(players: DataFrame, photos: DataFrame, number: int, known: DataFrame | None = None) -> DataFrame:
     """(TeamId, player_seq, cand_seq, place, score, name1, name2, tokens1, tokens2): what a scorer is asked in pass `number`.
 
     Each player's best of all photos by the deterministic score, also those that share nothing with the player's name; the first
-    k, then of photos shown by the same name the best.
+    k, then of photos shown by the same name the best. known: what listed_pairs knows of their names by now; players and photos that can be
+    ranked then come as tables with their names (with_names).
     """
-    p = PASSES[number]
-    people, left = written(with_names(players, "FullName"), "players"), written(with_names(rankable(photos), "display_name"), "photos")
-    pairs = listed_pairs(people, left, p["k"], p["least"], p["gap"])
+    p, people, left = PASSES[number], players, photos
+    if known is None:
+        people, left = written(with_names(players, "FullName"), "players"), written(with_names(rankable(photos), "display_name"), "photos")
+    pairs = listed_pairs(people, left, p["k"], p["least"], p["gap"], known)
     ranked = ranked_candidates(pairs, left, p["k"], p["least"], p["gap"]).join(left.select("cand_seq", "display_name", F.col("tokens").alias("tokens2")), "cand_seq")
     once = ranked.groupBy("left_name", F.lower("display_name").alias("__shown")).agg(F.min_by(F.struct("cand_seq", "score", "place", F.col("display_name").alias("name2"), "tokens2"), "place").alias("r"))
     return people.select("TeamId", "player_seq", F.col("FullName").alias("name1"), F.col("tokens").alias("tokens1"), F.col("name").alias("left_name")).join(once, "left_name").select("TeamId", "player_seq", "r.cand_seq", "r.place", "r.score", "name1", "r.name2", "tokens1", "r.tokens2")
@@ -201,12 +203,12 @@ class Pass:
     quota: bool
 
 
-def scorer_pass(players: DataFrame, photos: DataFrame, scorer: Scorer, threshold: float, number: int) -> Pass:
+def scorer_pass(players: DataFrame, photos: DataFrame, scorer: Scorer, threshold: float, number: int, known: DataFrame | None = None) -> Pass:
     """One pass over unresolved players: batches, then single questions for those that were refused, then one photo for each.
 
-    If the service's quota ends, the pass takes nothing.
+    If the service's quota ends, the pass takes nothing. known: as shortlists takes it.
     """
-    listed = written(shortlists(players, photos, number), "asked")
+    listed = written(shortlists(players, photos, number, known), "asked")
     margin = PASSES[number]["margin"]
     first = asked(listed, scorer, batched=True)
     batch = written(judged(first, threshold, margin), "attempts")
