@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftlink.operators import reports
 from weftlink.plans import batches, queries, registry  # noqa: F401 (queries puts its queries into the registry)
-from weftlink.sources import documents, listing, people, sinks
+from weftlink.sources import documents, json_parts, listing, people, sinks
 from weftlink.streaming import upserts
 
 
@@ -215,6 +215,18 @@ def test_sizes_behind_long_segments(spark, tmp_path):
     assert got == {"0.jpg": (200, 300), "1.jpg": (200, 300), "16.jpg": (200, 300), "none.jpg": (None, None)}
 
 
+def test_tasks_stay_small_however_large_a_document_is(spark, tmp_path, monkeypatch):
+    """Blocks are cut where they are read, without a sort of their text, and more text is dealt to more tasks."""
+    plans, real = {}, json_parts.written
+    monkeypatch.setattr(json_parts, "written", lambda df, tag: plans.update({tag: df._jdf.queryExecution().executedPlan().toString()}) or real(df, tag))
+    monkeypatch.setattr(documents, "TASK_BYTES", 512, raising=False)
+    text = json.dumps({"photos": {f"f{k}.png": {"id": str(k)} for k in range(300)}})
+    rows = documents.manifest(spark, put(tmp_path / "m.json", text))
+    assert "Sort" not in plans["parts"] and "hashpartitioning" not in plans["parts"]
+    assert rows.rdd.getNumPartitions() >= len(text) // 512 > 10
+    assert {(r.file, r.external_id) for r in rows.collect()} == {(f"f{k}.png", str(k)) for k in range(300)}
+
+
 def test_documents_in_blocks(spark, tmp_path):
     """One document in blocks of 97 bytes: braces, quotes and backslashes in texts, other sections, a name twice; and broken ones."""
     name = lambda k: ["plain", "br}ce", "q\\\"{", "back\\\\", "[x]", "é}🙂", "", "a" * 300][k % 8] + str(k)

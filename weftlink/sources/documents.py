@@ -15,6 +15,8 @@ from ..storage import written
 from .json_parts import json_entries
 from .people import exists
 
+#: Bytes of manifests whose entries one task sorts by file name.
+TASK_BYTES = 1 << 25
 ID_SPELLINGS = ("External_Player_ID", "external_player_id", "externalId", "ExternalId", "id")
 
 
@@ -29,22 +31,25 @@ def manifest_rows(texts: DataFrame, col: str = "value") -> DataFrame:
     return photo_rows(texts.select(F.explode(manifest_entries(F.col(col))).alias("file", "e")))
 
 
-def photo_rows(rows: DataFrame) -> DataFrame:
+def photo_rows(rows: DataFrame, *more: str) -> DataFrame:
     get = lambda k: F.element_at("e", k)
     full = F.coalesce(get("fullName"), F.nullif(F.concat_ws(" ", get("familyName"), get("surName")), F.lit("")))
-    return rows.select("file", F.coalesce(*[get(k) for k in ID_SPELLINGS]).alias("external_id"), full.alias("full_name"), get("familyName").alias("family_name"), get("surName").alias("sur_name"), get("teamId").try_cast("int").alias("team_id"))
+    return rows.select(*more, "file", F.coalesce(*[get(k) for k in ID_SPELLINGS]).alias("external_id"), full.alias("full_name"), get("familyName").alias("family_name"), get("surName").alias("sur_name"), get("teamId").try_cast("int").alias("team_id"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """What manifests of any size list, as manifest_rows; of a file that one names twice the last entry counts. A malformed one is an error."""
     entries, found = json_entries(spark, path, 2)
     said = F.from_json("outer", "map<string,string>")
-    bad = found.where(~F.col("whole") | (~F.col("outer").isin("", "null") & said.isNull())).first()
-    if bad:
-        raise ValueError(f"malformed manifest: {bad.document}")
+    bad = ~F.col("whole") | (~F.col("outer").isin("", "null") & said.isNull())
+    seen = found.agg(F.min(F.when(bad, F.col("document"))).alias("bad"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    if seen.bad:
+        raise ValueError(f"malformed manifest: {seen.bad}")
     pairs = F.from_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")), MANIFEST, {"mode": "FAILFAST"})
     rows = entries.where("section = 'photos'").select("document", F.struct("block", "n").alias("at"), F.explode(pairs).alias("file", "e"))
-    return photo_rows(rows.groupBy("document", "file").agg(F.max_by("e", "at").alias("e")))
+    rows = photo_rows(rows, "document", "at")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-seen.bytes // TASK_BYTES))
+    return rows.repartition(tasks, "document", "file").groupBy("document", "file").agg(F.max_by(F.struct(*rows.columns[3:]), "at").alias("r")).select("file", "r.*")
 
 
 def benchmark_results(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,8 @@ TOKEN = re.compile(r'"(?:[^"\\]|\\.)*("|\\?$)|[{\[\]]', re.S)
 TEXT_END = re.compile(r'(?:[^"\\]|\\.)*("|\\?$)', re.S)
 #: Characters of entries that a task hands on at a time.
 HELD = 1 << 22
+#: Bytes of documents that a task of the second pass reads, at least, if there are more than one for each core.
+BLOCK_BYTES = 1 << 27
 
 
 def tokens(piece: str, inside: bool) -> Iterator[tuple[int, int, str]]:
@@ -70,8 +72,8 @@ def packed(got: dict) -> pa.RecordBatch:
 
 
 def begins(blocks: DataFrame) -> DataFrame:
-    """(document, block, inside, depth, bare, whole) of each block: how it begins, which of its pieces no brace ends (-1: none), and
-    whether its document closes all it opens.
+    """(document, block, inside, depth, bare, whole, bytes) of each block: how it begins, which of its pieces no brace ends (-1: none),
+    whether its document closes all it opens, and how large that is.
 
     Whether a block begins within a text follows from the blocks before it: one whose two ways end alike settles it, all others
     keep or turn what they are given.
@@ -94,14 +96,14 @@ def begins(blocks: DataFrame) -> DataFrame:
     bare = last & ((F.col("__bytes") == F.col("size") + 1) | ((F.col("__bytes") != F.col("size")) & (F.col("__ends") != 0)))
     whole = F.when(last, (F.when(bare, F.col("depth") + own("bare")).otherwise(F.col("__ends")) == 0) & ~own("ends"))
     rows = rows.withColumn("bare", F.when(bare, F.col("n") - 1).otherwise(-1)).withColumn("whole", whole)
-    return rows.select("document", "block", "inside", "depth", "bare", F.max("whole").over(Window.partitionBy("document")).alias("whole"))
+    return rows.select("document", "block", "inside", "depth", "bare", F.max("whole").over(Window.partitionBy("document")).alias("whole"), F.col("__bytes").alias("bytes"))
 
 
 PART = "document string, block long, n long, section string, kind string, text string"
 
 
 def parts(level: int):
-    """Pieces, sorted by document, block and place, to parts (PART): `entry`, what closes back to the level; `tail`, what is left when
+    """Pieces, a block's one after the other, to parts (PART): `entry`, what closes back to the level; `tail`, what is left when
     the level itself closes; `open`, what a block ends within; `outer`, all text above the level. `first` marks an entry or tail that
     goes on from the block before."""
 
@@ -132,6 +134,8 @@ def parts(level: int):
             cols = [batch.column(c).to_pylist() for c in ("document", "block", "inside", "depth", "bare", "value")]
             for document, block, starts_inside, starts_deep, bare, piece in zip(*cols, strict=True):
                 if (document, block) != at:
+                    if starts_deep is None:
+                        raise ValueError(f"{document} was cut into other blocks when it was read again")
                     ended()
                     at, inside, depth, held, outer, section, n, row = (document, block), starts_inside, starts_deep, [], [], None, 0, 0
                     on = depth >= level
@@ -179,24 +183,28 @@ def json_entries(spark: SparkSession, path: str, level: int) -> tuple[DataFrame,
     entries (document, block, n, section, text): the members of the list or object at depth `level`, whose text is an object, or a
     pair of a name and an object; plain values beside them come with the next object, or by themselves at the end. With level 1
     section is the bracket of the document itself; with level 2 the name of the object that holds them, empty for a list.
-    Members are in order of (block, n). documents (document, whole, outer): whether a document closes what it opens, and its text
-    without the members, which is short if they make up the document.
+    Members are in order of (block, n). documents (document, whole, bytes, outer): whether a document closes what it opens, its size, and
+    its text without the members, which is short if they make up the document.
 
     Blocks are cut at closing braces. One pass sums up what each block does to depth and texts, from either state it can begin in;
-    their running sums tell how each begins; a second pass cuts out the members. What blocks break apart is put together.
-    A task holds one member at a time; each is to fit in memory.
+    their running sums tell how each begins, which goes to all tasks (a short row for each block); a second pass reads the blocks again and
+    cuts out the members, without a shuffle or a sort of the text. What blocks break apart is put together. A task holds one member at a
+    time; each is to fit in memory.
     """
     at = [F.col("_metadata.file_path").alias("document"), F.col("_metadata.file_block_start").alias("block")]
-    pieces = spark.read.option("lineSep", "}").text(path).select(*at, F.col("_metadata.file_size").alias("size"), F.octet_length("value").cast("long").alias("length"), F.make_valid_utf8("value").alias("value"), F.monotonically_increasing_id().alias("row"))
+    pieces = spark.read.option("lineSep", "}").text(path).select(*at, F.col("_metadata.file_size").alias("size"), F.octet_length("value").cast("long").alias("length"), F.make_valid_utf8("value").alias("value"))
     starts = written(begins(written(pieces.mapInArrow(summaries, SUMMARY), "blocks")), "starts")
-    placed = pieces.select("document", "block", "row", "value").join(starts, ["document", "block"]).select("document", "block", "row", "inside", "depth", "bare", "value")
-    cut = written(placed.repartition("document", "block").sortWithinPartitions("document", "block", "row").mapInArrow(parts(level), PART), "parts")
+    placed = pieces.select("document", "block", "value").join(F.broadcast(starts), ["document", "block"], "left").select("document", "block", "inside", "depth", "bare", "value")
+    # small blocks one after the other in a task, so that what is written lies in few files
+    size = starts.select("document", "bytes").distinct().agg(F.sum("bytes")).first()[0] or 0
+    cut = written(placed.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))).mapInArrow(parts(level), PART), "parts")
 
     order = Window.partitionBy("document").orderBy("block")
-    named = cut.where("section IS NOT NULL").groupBy("document", "block").agg(F.max_by("section", "n").alias("__named"))
+    # by section first, which takes no sort of a block's rows
+    named = cut.where("section IS NOT NULL").groupBy("document", "block", "section").agg(F.max("n").alias("n")).groupBy("document", "block").agg(F.max_by("section", "n").alias("__named"))
     before = F.last("__named", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     said = starts.select("document", "block").join(named, ["document", "block"], "left").select("document", "block", before.alias("__before"))
-    cut = cut.join(said, ["document", "block"]).withColumn("section", F.coalesce("section", "__before")).drop("__before")
+    cut = cut.join(F.broadcast(said), ["document", "block"]).withColumn("section", F.coalesce("section", "__before")).drop("__before")
 
     edges = cut.where("kind LIKE '%open' OR kind LIKE 'first %'").withColumn("__closes", (~F.col("kind").endswith("open")).cast("int"))
     edges = edges.withColumn("__group", F.sum("__closes").over(Window.partitionBy("document").orderBy("block", "n")) - F.col("__closes"))
@@ -207,7 +215,7 @@ def json_entries(spark: SparkSession, path: str, level: int) -> tuple[DataFrame,
     members = whole_parts.where((F.col("kind") == "entry") | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
     entries = members.select("document", "block", "n", "section", F.regexp_replace("text", r"^\s*,?\s*", "").alias("text"))
     outer = cut.where("kind = 'outer'").groupBy("document").agg(in_order().alias("outer"))
-    documents = starts.select("document", "whole").distinct().join(outer, "document", "left")
+    documents = starts.select("document", "whole", "bytes").distinct().join(outer, "document", "left")
     return entries, documents.withColumn("outer", F.trim(F.regexp_replace(F.coalesce("outer", F.lit("")), "^\ufeff", "")))
 
 
