@@ -86,6 +86,22 @@ def test_teams_match_as_if_each_were_alone(spark):
     assert got == Counter(want) and len(want) > 4
 
 
+def test_names_with_their_equals_meet_no_others(spark, tmp_path, monkeypatch):
+    """All of a team's names are nearly the same, so that pairs would grow with its square: nobody meets for photos that equal names take."""
+    met, real = [], matching.met_pairs
+    monkeypatch.setattr(matching, "met_pairs", lambda both, left, bound: met.append((left.count(), both.right.count())) or real(both, left, bound))
+    numbered = spark.range(1, 121).selectExpr("string(id) AS PlayerId", "string(id % 2 + 1) AS TeamId", f"{queries.NUMBERED_NAME.format('id')} AS FamilyName", "'' AS SurName", "string(null) AS External_Player_ID", "'x' AS folder", "id AS seq")
+    shown = numbered.where("seq % 7 > 0").selectExpr("CASE TeamId WHEN '1' THEN 'Red' ELSE 'Blue' END AS folder", "concat('/', seq) AS path", "concat('N', seq) AS external_id", "FamilyName AS display_name", "99 AS TeamId", "seq")
+    done = batches.run_teams(teams(spark, "Red", "Blue"), numbered, shown, str(tmp_path / "out"))
+    assert {k[1]: v for k, v in output(done.output).items()} == {k: f"N{k}" if k % 7 else None for k in range(1, 121)} and not met
+
+    # photos that no equal name takes are what names meet for; the few that reach one are compared with all
+    more = shown.unionByName(photos(spark, ("Red", "z", f"{numbered.where('seq = 14').first().FamilyName} Zyx")))
+    done = batches.run_teams(teams(spark, "Red", "Blue"), numbered, more, str(tmp_path / "out"))
+    assert {k[1]: v for k, v in output(done.output).items()} == {k: f"N{k}" if k % 7 else "z" if k == 14 else None for k in range(1, 121)}
+    assert met and max(a for a, _ in met) == 17 and min(b for _, b in met) == 1
+
+
 def test_within_has_no_scorer(spark):
     with pytest.raises(ValueError):
         mapping.map_players(None, None, strict_id=True, within="TeamId")

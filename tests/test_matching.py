@@ -69,6 +69,19 @@ def test_rounds_equal_the_simulation(spark, seed, threshold):
     assert got == want and len(want) > 5
 
 
+def test_rounds_without_margins_take_the_same(spark):
+    """What equal names take is known beforehand; names without an equal photo ask for what is left, and lose what isn't."""
+    rng = random.Random(5)
+    pool = [name(rng) for _ in range(25)]
+    pick = lambda: rng.choice(pool) if rng.random() < 0.7 else name(rng)
+    p, c = frames(spark, [(pick(), None) for _ in range(50)] + [("", None), (None, None)], [(f"x{k}", pick()) for k in range(50)] + [("y", None)])
+    want = rounds(all_scores(p, c), 0.72)
+    got = {r.player_seq: (r.cand_seq, r.confidence) for r in mapping.map_players(p, c, 0.72, margins=False).results.where("cand_seq is not null").collect()}
+    assert got == want and sum(s == 1 for _, s in got.values()) > 10 and sum(s < 1 for _, s in got.values()) > 5
+    with pytest.raises(ValueError):
+        mapping.map_players(p, c, scorer=scorers.StubScorer(lambda a, b: 0.5), margins=False)
+
+
 def test_many_of_one_name_pair_off(spark):
     players = [("Ann Lee", None)] * 40 + [("Bob Ray", None)] * 3 + [("Anna Lee", None)]
     photos = [(f"x{k}", "Ann Lee") for k in range(25)] + [(f"y{k}", "Bob Ray") for k in range(5)] + [("z", "Lee Ann")] * 3

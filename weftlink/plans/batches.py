@@ -112,7 +112,7 @@ def run_teams(teams: DataFrame, rows: DataFrame, photos: DataFrame, path: str, d
     shown = written(shown.drop("folder", "__folder"), "photos")
     ours = players.join(go, "TeamId", "left_semi")
     prior = old.groupBy("TeamId", "PlayerId").agg(F.max(F.struct("Confidence", "ValidMapping", "External_Player_ID")).alias("r")).select("TeamId", "PlayerId", "r.*") if keep_prior else None
-    after = written(map_players(ours, shown, threshold, prior=prior, within="TeamId").players.select("TeamId", *OUTPUT), "mapped")
+    after = written(map_players(ours, shown, threshold, prior=prior, within="TeamId", margins=False).players.select("TeamId", *OUTPUT), "mapped")
     extracted = written(players.groupBy("TeamId").agg(F.count("*").alias("n")), "counts")
     write_outputs(after, go, path)
 

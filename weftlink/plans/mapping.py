@@ -27,7 +27,7 @@ class Run:
 RESULT = ["player_seq", "PlayerId", "cand_seq", "confidence", "method", "model_used", "pass", "reason"]
 
 
-def map_players(players: DataFrame, photos: DataFrame, threshold: float = 0.8, scorer: Scorer | None = None, second_pass: bool = False, scorer_only: bool = False, prior: DataFrame | None = None, strict_id: bool = False, within: str | None = None) -> Run:
+def map_players(players: DataFrame, photos: DataFrame, threshold: float = 0.8, scorer: Scorer | None = None, second_pass: bool = False, scorer_only: bool = False, prior: DataFrame | None = None, strict_id: bool = False, within: str | None = None, margins: bool = True) -> Run:
     """Match players (player_seq, PlayerId, TeamId, FullName, External_Player_ID, ValidMapping, Confidence) to photos (cand_seq,
     path, external_id, display_name), each photo to one player.
 
@@ -35,9 +35,13 @@ def map_players(players: DataFrame, photos: DataFrame, threshold: float = 0.8, s
     over those who are left; names are normalised and meet once, for all of these. strict_id: an id goes to one player only, even if several photos have it. prior: earlier output, which
     keeps ids for players that have none now. Results say of everybody what came of it. within: a column of both, as TeamId: ids and names
     match, and earlier output is kept, within its values only; by names in rounds over all of them at once. It can't go with a scorer or strict_id.
+    margins: whether reasons tell how far the second photo of a name is behind; if not, names that find their equal needn't be compared with all that
+    are nearly the same, who gets what stays the same. A scorer needs them.
     """
     if within is not None and (scorer is not None or strict_id):
         raise ValueError("within can't go with a scorer or strict_id")
+    if scorer is not None and not margins:
+        raise ValueError("a scorer can't go without margins")
     direct = written(direct_matches(players, photos, within).select("player_seq", "PlayerId", "cand_seq", "method", "reason"), "direct")
     free = written(photos.join(direct.where("cand_seq is not null").select("cand_seq"), "cand_seq", "left_anti"), "free")
     if strict_id:
@@ -51,8 +55,8 @@ def map_players(players: DataFrame, photos: DataFrame, threshold: float = 0.8, s
     hit = F.col("method") == "DirectIdMatch"
     parts = [direct.select("player_seq", "PlayerId", "cand_seq", F.when(hit, 1.0).otherwise(0.0).alias("confidence"), "method", F.when(hit, "DirectIdMatch").alias("model_used"), F.lit(0).alias("pass"), "reason")]
     if not scorer_only:
-        said = F.concat(F.lit("deterministic_score="), number(F.col("score")), F.lit(";margin="), number(F.col("margin")))
-        rows, known = assigned(open_, free, threshold, scratch)
+        said = F.concat(F.lit("deterministic_score="), number(F.col("score")), *([F.lit(";margin="), number(F.col("margin"))] if margins else []))
+        rows, known = assigned(open_, free, threshold, scratch, margins=margins)
         won = written(rows.select("player_seq", "cand_seq", F.col("score").alias("confidence"), said.alias("reason")), "named")
         parts.append(won.join(open_.select("player_seq", "PlayerId"), "player_seq").select("player_seq", "PlayerId", "cand_seq", "confidence", F.lit("AiNameMatching").alias("method"), F.lit("StringMatching").alias("model_used"), F.lit(0).alias("pass"), "reason"))
         open_, free = open_.join(won, "player_seq", "left_anti"), free.join(won, "cand_seq", "left_anti")
